@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from zonalis.llm import mixing, quality, secrets, sharding, url_reputation
+from zonalis.llm import media_avi, mixing, packing, quality, secrets, sharding, url_reputation, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.revisit_report(_table(spark, sf_dir, "pages"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"))
 
@@ -19,6 +23,10 @@ def op3_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.judge_urls(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
 
 
+def op5_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_avi.media_report(_table(spark, sf_dir, "documents"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -27,9 +35,13 @@ def op8_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(_table(spark, sf_dir, "documents"))
 
 
+def op9_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op3_url_reputation, op6_secret_scan, op8_quality_outliers, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_sharding, op3_url_reputation, op5_avi_media, op6_secret_scan, op8_quality_outliers, op9_best_two_fit, op10_source_mix)}
 ORACLE_SQL: dict[str, str] = {}
