@@ -51,7 +51,7 @@ def encode_frame(data: np.ndarray) -> bytes:
     full = len(data) // COEFS
     bits = np.zeros((full, COEFS, 9), np.uint8)
     bits[:, :, 1:] = np.unpackbits(data[: full * COEFS]).reshape(full, COEFS, 8)
-    scan = np.packbits(np.concatenate([np.zeros((full, 1), np.uint8), bits.reshape(full, -1)], axis=1), axis=1).reshape(-1)
+    scan = np.packbits(np.concatenate([np.zeros((full, 1), np.uint8), bits.reshape(full, 9 * COEFS)], axis=1), axis=1).reshape(-1)
     if full < BLOCKS:
         rest = data[full * COEFS :]
         last = np.zeros((len(rest), 9), np.uint8)
@@ -157,12 +157,12 @@ def decode_frame(jpeg: bytes) -> tuple[np.ndarray, np.ndarray, int]:
     width = 1 + 9 * COEFS
     if dc == {(1, 0): 0} and ac == BYTE_CODES:  # blocks of 63 coefficients of 8 bits have all codes at fixed places
         rows = bits[: min(blocks, len(bits) // width) * width].reshape(-1, width)
-        whole = ~rows[:, 0::9][:, :1].any(axis=1) & ~rows[:, 1::9].any(axis=1)
+        whole = ~rows[:, :1].any(axis=1) & ~rows[:, 1::9].any(axis=1)
         done = len(whole) if whole.all() else int(whole.argmin())
         values = np.packbits(rows[:done, 1:].reshape(-1, 9)[:, 1:]).reshape(done, COEFS).astype(np.int16)
         coefs[:done, 1:] = np.where(values < 128, values - 255, values)
         count, p = done * COEFS, done * width
-    text = "".join(map(str, bits[p:].tolist())) if done < blocks else ""
+    text = bin(int.from_bytes(b"\1" + scan[p // 8 :]))[3 + p % 8 :] if done < blocks else ""
     p = last = 0
 
     def symbol(codes):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -19,42 +20,48 @@ PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 RUN = 100_000
 
 
+#: White space that a text's parts must not hold for them to be encoded apart: two in a row, at an end, or other than blank and line feed.
+KNOTTY = re.compile(r"\s\s|[^\S \n]|\A\s|\s\Z")
+
+
 class Encoder:
-    """Ids of a byte-level BPE as little-endian bytes. The tokenizer's own rule for splitting a text is applied first, and each distinct part is encoded once and remembered (most, at most)."""
+    """Ids of a byte-level BPE as little-endian bytes.
+
+    Where white space stands alone, such a tokenizer always begins a new part at a blank, which it keeps with what follows, and at a line feed;
+    so those parts are encoded apart, and what most of them gave is remembered, up to `most`. Other texts are encoded whole.
+    """
 
-    def __init__(self, path: str, pattern: str, most: int = 400_000):
-        import regex
+    def __init__(self, path: str, most: int = 600_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.split, self.known, self.most = regex.compile(pattern).findall, {}, most
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = True
+        self.whole = lambda text: np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        whole = self.whole
+
+        class Known(dict):
+            def __missing__(self, part: str) -> bytes:
+                ids = whole(part if part[0] == "\n" else f" {part}")
+                if len(self) < most:
+                    self[part] = ids
+                return ids
+
+        self.known = Known()
 
     def __call__(self, text: str) -> bytes:
-        parts = self.split(text)
-        known = self.known
-        try:
-            return b"".join([known[p] for p in parts])
-        except KeyError:
-            pass
-        if len(known) > self.most:
-            known.clear()
-        new = list({p for p in parts if p not in known})
-        for part, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[part] = np.asarray(got.ids, "<u4").tobytes()
-        out = b"".join([known[p] for p in parts])
-        if len(text) > 1_000_000:
-            known.clear()
-        return out
-
-
-def token_pieces(docs: DataFrame, length: int = 2048, tokenizer: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        if not text or KNOTTY.search(text):
+            return self.whole(text)
+        first, *parts = text.replace("\n", " \n").split(" ")
+        return self.whole(first) + b"".join(map(self.known.__getitem__, parts))
+
+
+def token_pieces(docs: DataFrame, length: int = 2048, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """PIECE rows: each document's ids and a closing 0, cut into full pieces from the end if longer than `length`, so that its first piece may be shorter."""
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import public_tokenizers
 
-        encode = Encoder(tokenizer or public_tokenizers.path("byte_bpe_50k.json"), pattern or public_tokenizers.PATTERN)
+        encode = Encoder(tokenizer or public_tokenizers.path("byte_bpe_50k.json"))
         for batch in batches:
             rows = []
             for doc, text in zip(batch["doc_id"], batch["text"], strict=True):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from zonalis.llm import media_avi, mixing, packing, quality, secrets, sharding, url_reputation, warc
+from zonalis.llm import media_avi, mixing, near_dup, packing, quality, secrets, sharding, url_reputation, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op3_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.judge_urls(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_dup_report(_table(spark, sf_dir, "documents"))
+
+
 def op5_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_avi.media_report(_table(spark, sf_dir, "documents"))
 
@@ -43,5 +47,5 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_sharding, op3_url_reputation, op5_avi_media, op6_secret_scan, op8_quality_outliers, op9_best_two_fit, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_sharding, op3_url_reputation, op4_near_duplicates, op5_avi_media, op6_secret_scan, op8_quality_outliers, op9_best_two_fit, op10_source_mix)}
 ORACLE_SQL: dict[str, str] = {}
