@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonalis.llm.components import components
+from zonalis.llm.nodes import in_blocks, labelled, mixed_nodes, within_nodes
 from zonalis.llm.shared import text_or_empty, written
 from zonalis.llm.shingles import MinHash, shingle_sets
 
@@ -87,43 +88,8 @@ def _agreeing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(agree, "a long, b long, agree double")
 
 
-def _within_nodes(members: DataFrame) -> DataFrame:
-    """(a, b, agree): of members (node, v, c, sig), the pairs of one node and different components c whose signatures agree in enough places. Nodes are bounded in size and come sorted; one is held at a time."""
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def pairs(x: pd.DataFrame) -> pd.DataFrame:
-            v, c = x["v"].to_numpy(), x["c"].to_numpy()
-            sig = np.frombuffer(b"".join(x["sig"]), np.uint32).reshape(len(x), WIDTH)
-            out = []
-            for i in range(len(x) - 1):
-                other = np.flatnonzero(c[i + 1 :] != c[i]) + i + 1
-                share = (sig[other] == sig[i]).mean(axis=1)
-                near = share >= LEAST_AGREEING
-                if near.any():
-                    out.append(pd.DataFrame({"a": np.minimum(v[i], v[other[near]]), "b": np.maximum(v[i], v[other[near]]), "agree": share[near]}))
-            return pd.concat(out) if out else pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "agree": np.zeros(0)})
-
-        rest = None
-        for batch in batches:
-            batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            last = batch["node"].to_numpy() == batch["node"].iloc[-1] if len(batch) else np.zeros(0, bool)
-            rest = batch[last]
-            for _, x in batch[~last].groupby("node", sort=False):
-                yield pairs(x)
-        if rest is not None and len(rest):
-            yield pairs(rest)
-
-    return members.repartition("node").sortWithinPartitions("node").select("node", "v", "c", "sig").mapInPandas(compare, "a long, b long, agree double")
-
-
-def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    return rows.join(labels, "v", "left").withColumn("c", F.coalesce("c", "v"))
-
-
-def _mixed(rows: DataFrame) -> DataFrame:
-    """Of rows (v, node, c), nodes whose documents aren't all in one component yet; equal nodes once."""
-    nodes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("v")).alias("same"), F.min("c").alias("_low"), F.max("c").alias("_high")).where("_low < _high")
-    return nodes.groupBy("same", "n").agg(F.min("node").alias("node")).select("node", "n")
+def _same_places(one: np.ndarray, others: np.ndarray) -> np.ndarray:
+    return (one.view(np.uint32) == others.view(np.uint32)).mean(axis=1)
 
 
 def linked_documents(docs: DataFrame, size: int = 4, share: tuple[int, int] = (80, 100), trees: int = TREES, small: int = SMALL, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -155,26 +121,23 @@ def linked_documents(docs: DataFrame, size: int = 4, share: tuple[int, int] = (8
     links = written(confirm(_agreeing(star, reps).select("a", "b")), "links0")
     labels = components(links)
 
-    rows = _labelled(members.select("node", "v"), labels)
+    rows = labelled(members.select("node", "v"), labels)
     leaves, level = [], 0
     while True:
-        kept = written(rows.join(_mixed(rows), "node"), f"level{level}")
+        kept = written(rows.join(mixed_nodes(rows), "node"), f"level{level}")
         leaves.append(kept.where(F.col("n") <= small).select("node", "v", "c"))
         large = kept.where(F.col("n") > small)
         if large.isEmpty():
             break
         if level == depth:
-            blocks = F.ceil(F.col("n") * 2 / small).cast("int")
-            own = F.pmod(F.xxhash64("v", F.lit(3)), blocks).cast("int")
-            paired = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.xxhash64("node", F.least(own, o), F.greatest(own, o)))
-            leaves.append(large.select("v", "c", F.explode(paired).alias("node")).select("node", "v", "c"))
+            leaves.append(in_blocks(large, small))
             break
         level += 1
-        rows = _labelled(_branches(large.select("node", "v").join(reps, "v"), [F.col("node")], 2), labels)
+        rows = labelled(_branches(large.select("node", "v").join(reps, "v"), [F.col("node")], 2), labels)
     leaf = leaves[0]
     for more in leaves[1:]:
         leaf = leaf.union(more)
-    near = written(_within_nodes(leaf.join(reps, "v")).groupBy("a", "b").agg(F.max("agree").alias("agree")), "near")
+    near = written(within_nodes(leaf.join(reps, "v"), _same_places, LEAST_AGREEING).groupBy("a", "b").agg(F.max("agree").alias("agree")), "near")
 
     for low, high in ((LIKELY, 2.0), (0.0, LIKELY)):
         band = near.where((F.col("agree") >= low) & (F.col("agree") < high)).select("a", "b")

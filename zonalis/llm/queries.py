@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from zonalis.llm import media_avi, mixing, near_dup, packing, quality, secrets, sharding, url_reputation, warc
+from zonalis.llm import fuzzy_lines, media_avi, mixing, near_dup, packing, quality, secrets, sharding, url_reputation, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_lines.line_report(_table(spark, sf_dir, "documents"))
+
+
 def op8_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(_table(spark, sf_dir, "documents"))
 
@@ -47,5 +51,5 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_sharding, op3_url_reputation, op4_near_duplicates, op5_avi_media, op6_secret_scan, op8_quality_outliers, op9_best_two_fit, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_sharding, op3_url_reputation, op4_near_duplicates, op5_avi_media, op6_secret_scan, op7_fuzzy_lines, op8_quality_outliers, op9_best_two_fit, op10_source_mix)}
 ORACLE_SQL: dict[str, str] = {}

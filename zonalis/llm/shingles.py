@@ -28,28 +28,27 @@ def _powers(n: int) -> np.ndarray:
     return _POWERS
 
 
-def _word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, index of its text), words in order. A-Z count as a-z."""
-    buf = np.frombuffer(b" ".join(t.lower() for t in texts) + b" ", np.uint8)
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, start) of each word of the bytes."""
+    buf = np.frombuffer(raw, np.uint8)
     space = _SPACE[buf]
     starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), starts
     lengths = np.diff(np.append(starts, len(buf)))
     place = np.arange(starts[0], len(buf)) - np.repeat(starts, lengths)
     value = buf[starts[0] :].astype(np.uint64) + np.uint64(1)
     value[space[starts[0] :]] = 0
     place[space[starts[0] :]] = 0
-    hashes = mixed(np.add.reduceat(value * _powers(int(place.max()) + 1)[place], starts - starts[0]))
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    return hashes, np.searchsorted(ends, starts, "right")
+    return mixed(np.add.reduceat(value * _powers(int(place.max()) + 1)[place], starts - starts[0])), starts
 
 
 def shingle_sets(texts: Iterable[str], size: int, chunk: int = 1 << 20) -> Iterator[np.ndarray]:
     """Of each text, the sorted distinct hashes of its runs of `size` words; of a text with fewer words, the one of all of them; without words, none. Texts are whole; a chunk holds one at least."""
 
     def of(part: list[bytes]) -> Iterator[np.ndarray]:
-        hashes, owner = _word_hashes(part)
+        hashes, starts = word_hashes(b" ".join(t.lower() for t in part) + b" ")  # of bytes, so only A-Z change
+        owner = np.searchsorted(np.cumsum([len(t) + 1 for t in part]), starts, "right")
         bounds = np.searchsorted(owner, np.arange(len(part) + 1))
         run = np.zeros(max(0, len(hashes) - size + 1), np.uint64)
         for k in range(size):
