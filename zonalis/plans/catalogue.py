@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from zonalis.plans import measure_queries, text_queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = text_queries.QUERIES | measure_queries.QUERIES
+ORACLE_SQL = text_queries.ORACLE_SQL | measure_queries.ORACLE_SQL
