@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonalis.functions.alphabet import ALPHABET, COMPOSITE, FILLER, LAYOUT, LENGTH, VALUES, WEIGHTS, is_mrz_text
@@ -68,27 +68,32 @@ def composite_payload(line2: Column) -> Column:
 FIELD_ORDER = ("document_code", "issuing_state", "primary_name", "secondary_name", "document_number", "nationality", "birth_date", "expiry_date", "optional_data", "sex")
 
 
-def serialize(fields: dict[str, Column], filler_optional_cd: bool = True) -> Column:
-    """struct(line1, line2, mrz, error) of the ten fields. error names the first that fails, in the order in which they are normalised, then lengths, then the sex; the lines are null then.
+def with_lines(df: DataFrame, fields: dict[str, Column], filler_optional_cd: bool = True) -> DataFrame:
+    """df with line1, line2 and error from the ten fields. error names the first field that fails, in the order in which they are normalised, then lengths, then the sex; the lines are null then.
 
-    filler_optional_cd: an optional field of fillers alone has a filler for its check digit, else 0.
+    filler_optional_cd: an optional field of fillers alone has a filler for its check digit, else 0. Each step is a projection of its own,
+    so that what later steps use several times is worked out once.
     """
     got = {"document_code": F.lit("P<"), "optional_data": F.lit(""), **fields}
     got["sex"] = F.when(F.coalesce(got["sex"], F.lit("")) == "", FILLER).otherwise(got["sex"])
-    plain = {k: normalize(F.coalesce(got[k], F.lit(""))) for k in FIELD_ORDER}
+    step = df.withColumns({f"_{k}": normalize(F.coalesce(got[k], F.lit(""))) for k in FIELD_ORDER})
+    plain = {k: F.col(f"_{k}") for k in FIELD_ORDER}
     error = F.coalesce(
         *[F.when(plain[k].isNull(), k) for k in FIELD_ORDER],
         *[F.when(F.length(plain[k]) != n, k) for k, n in (("birth_date", 6), ("expiry_date", 6), ("sex", 1))],
         F.when(~plain["sex"].isin("M", "F", FILLER), "sex"),
         *[F.when(F.length(plain[k]) > n, k) for k, n in (("document_code", 2), ("issuing_state", 3), ("document_number", 9), ("nationality", 3), ("optional_data", 14))],
     )
-    number, birth, expiry, optional = pad(plain["document_number"], 9), plain["birth_date"], plain["expiry_date"], pad(plain["optional_data"], 14)
+    step = step.withColumns({"error": error, "_number": pad(plain["document_number"], 9), "_optional": pad(plain["optional_data"], 14)})
+    number, birth, expiry, optional = F.col("_number"), plain["birth_date"], plain["expiry_date"], F.col("_optional")
     optional_cd = F.when(optional.rlike(r"\A<*\z"), FILLER if filler_optional_cd else "0").otherwise(check_digit(optional))
-    line1 = F.concat(pad(plain["document_code"], 2), pad(plain["issuing_state"], 3), encode_name(got["primary_name"], got["secondary_name"]))
     body = F.concat(number, check_digit(number), pad(plain["nationality"], 3), birth, check_digit(birth), plain["sex"], expiry, check_digit(expiry), optional, optional_cd)
-    line2 = F.concat(body, check_digit(composite_payload(body)))
-    ok = error.isNull()
-    return F.struct(F.when(ok, line1).alias("line1"), F.when(ok, line2).alias("line2"), F.when(ok, F.concat_ws("\n", line1, line2)).alias("mrz"), error.alias("error"))
+    both = F.when(F.length(plain["secondary_name"]) > 0, F.concat(plain["primary_name"], F.lit("<<"), plain["secondary_name"])).otherwise(plain["primary_name"])
+    line1 = F.concat(pad(plain["document_code"], 2), pad(plain["issuing_state"], 3), F.rpad(F.substring(both, 1, 39), 39, FILLER))
+    step = step.withColumns({"_body": body, "_line1": line1})
+    fine = F.col("error").isNull()
+    line2 = F.concat(F.col("_body"), check_digit(composite_payload(F.col("_body"))))
+    return step.select(*df.columns, F.when(fine, F.col("_line1")).alias("line1"), F.when(fine, line2).alias("line2"), "error")
 
 
 def split_lines(mrz: Column) -> Column:

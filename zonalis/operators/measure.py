@@ -13,6 +13,13 @@ def rate(part: Column, whole: Column) -> Column:
     return F.coalesce(F.try_divide(part, whole), F.lit(0.0))
 
 
+def epoch_seconds(ts: Column) -> Column:
+    """Seconds since 1970 of a timestamp without zone, whatever the session's zone."""
+    since = ts - F.expr("timestamp_ntz'1970-01-01 00:00:00'")
+    part = lambda unit: F.extract(F.lit(unit), since)
+    return part("DAY") * 86400.0 + part("HOUR") * 3600.0 + part("MINUTE") * 60.0 + part("SECOND").cast("double")
+
+
 def outcome(greedy_right: Column, decoded_right: Column) -> Column:
     return F.when(decoded_right & ~greedy_right, "repair").when(greedy_right & ~decoded_right, "regression").otherwise("unchanged")
 
@@ -34,7 +41,7 @@ def tally_by_severity(df: DataFrame, got: tuple[str, str]) -> DataFrame:
 def char_pairs(df: DataFrame, got: str, want: str, *keys: str) -> DataFrame:
     """A row for each position of want: (keys, pos, want, got); got is a blank where the reading is shorter. Longer readings' tails are left out."""
     pairs = F.transform(F.split(want, ""), lambda c, i: F.struct(i.alias("pos"), c.alias("want"), F.substr(F.rpad(F.coalesce(F.col(got), F.lit("")), 44, " "), i + 1, F.lit(1)).alias("got")))
-    return df.select(*keys, F.inline(pairs))
+    return df.select(*keys, F.inline_outer(pairs))
 
 
 def confusions(pairs: DataFrame, first: list[str], most: int | None = None) -> DataFrame:

@@ -46,8 +46,8 @@ def identities(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(c_custkey, line1, line2) serialised, and noisy2: line 2 with one character replaced."""
     ids = identities(spark, sf_dir)
-    mrz = ids.select("c_custkey", codec.serialize({k: F.col(k) for k in codec.FIELD_ORDER if k != "document_code"}).alias("mrz")).select("c_custkey", "mrz.line1", "mrz.line2")
-    return mrz.withColumn("noisy2", noisy(F.col("line2"), F.col("c_custkey")))
+    mrz = codec.with_lines(ids, {k: F.col(k) for k in codec.FIELD_ORDER if k != "document_code"})
+    return mrz.select("c_custkey", "line1", "line2").withColumn("noisy2", noisy(F.col("line2"), F.col("c_custkey")))
 
 
 def noisy(line: Column, key: Column) -> Column:

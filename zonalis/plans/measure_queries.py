@@ -91,7 +91,7 @@ def pair_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {SQL_LINES}, c AS (SELECT substr(line1 || line2, CAST(i AS INTEGER), 1) AS c FROM lines, range(1, 89) r(i)) SELECT c, count(*) AS n FROM c GROUP BY c")
 def charset_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    return lines(spark, sf).select(F.explode(codec.characters(F.concat("line1", "line2"))).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n"))
+    return lines(spark, sf).select(F.explode_outer(codec.characters(F.concat("line1", "line2"))).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {SQL_LINES} SELECT c_custkey % 4 AS stage, count(DISTINCT line2) AS labels FROM lines GROUP BY c_custkey % 4")
@@ -172,7 +172,7 @@ _SECONDS = "(epoch_us(ts) / 1000000.0)"
 @query(f"""SELECT event_id, round((event_id - lag(event_id) OVER w) / greatest({_SECONDS} - lag({_SECONDS}) OVER w, 1e-9), 6) AS rate FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
 def window_rate(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events").select("event_id", "user_id", "ts")
-    rated = measure.window_rate(e, ["user_id"], ["ts", "event_id"], "event_id", F.unix_micros("ts") / 1000000.0)
+    rated = measure.window_rate(e, ["user_id"], ["ts", "event_id"], "event_id", measure.epoch_seconds(F.col("ts")))
     return rated.select("event_id", F.round("rate", 6).alias("rate"))
 
 
@@ -192,10 +192,10 @@ def latest_status(spark: SparkSession, sf: str) -> DataFrame:
 def stale_runs(spark: SparkSession, sf: str) -> DataFrame:
     """Customers as runs, their newest event as the last sign of life; a day of silence is stale."""
     events = table(spark, sf, "events")
-    now = events.agg(F.max("ts")).first()[0]
+    now = events.agg(F.max(F.floor(measure.epoch_seconds(F.col("ts"))))).first()[0]
     newest = monitor.newest(events.withColumn("state", F.lit("training")), "user_id", ["ts"], ["ts", "state"])
     joined = table(spark, sf, "customer").select("c_custkey").join(newest, F.col("c_custkey") == F.col("user_id"), "left")
-    age = F.floor((F.unix_micros(F.lit(now)) / 1000000)) - F.floor(F.unix_micros("ts") / 1000000)
+    age = F.lit(now) - F.floor(measure.epoch_seconds(F.col("ts")))
     return joined.select("c_custkey", monitor.shown_state(F.col("state"), age, 86400).alias("state"))
 
 

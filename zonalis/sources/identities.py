@@ -88,8 +88,9 @@ def line_samples(spark: SparkSession, n: int, seed: int = 1, lowest: float = 0.0
     """(index, document, line_index, severity, text): samples 2d and 2d + 1 are the lines of document d, equally damaged."""
     docs = random_identities(spark, -(-n // 2), seed, config)
     fields = {k: F.col(k) for k in codec.FIELD_ORDER}
-    lines = docs.select(F.col("index").alias("document"), codec.serialize(fields).alias("mrz"), (lowest + (highest - lowest) * draw(F.col("index"), seed, "severity", 10_000) / 10_000.0).alias("severity"))
-    out = lines.select("document", "severity", F.posexplode(F.array("mrz.line1", "mrz.line2")).alias("line_index", "text"))
+    severity = lowest + (highest - lowest) * draw(F.col("index"), seed, "severity", 10_000) / 10_000.0
+    lines = codec.with_lines(docs, fields).select(F.col("index").alias("document"), severity.alias("severity"), "line1", "line2")
+    out = lines.select("document", "severity", F.posexplode(F.array("line1", "line2")).alias("line_index", "text"))
     return out.select((F.col("document") * 2 + F.col("line_index")).alias("index"), "document", "line_index", "severity", "text").where(F.col("index") < n)
 
 
