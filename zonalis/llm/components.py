@@ -8,23 +8,24 @@ from pyspark.sql import functions as F
 from zonalis.llm.shared import written
 
 
+def _follow(parent: DataFrame) -> DataFrame:
+    """(v, p) with every parent replaced by its own."""
+    return parent.join(parent.select(F.col("v").alias("p"), F.col("p").alias("_up")), "p").select("v", F.col("_up").alias("p"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(v, c): for every end of the links (a, b), the smallest value that it can reach.
 
-    Each round gives every vertex its smallest neighbour as parent, follows parents to their roots by doubling, and merges what has one root,
-    until no link is left between roots. Minima are taken before the shuffle, so a vertex with very many links does not weigh on one task.
+    Each round takes every vertex's smallest neighbour as parent, follows parents four steps, and merges vertices into where that leads,
+    until no link is left between what remains. A link from a vertex to its parent becomes one between the places both lead to, so merging
+    before the root is reached loses no connection. Minima are taken before the shuffle, so a vertex with very many links does not weigh on one task.
     """
-    left = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "links")
+    left = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
     labels = links.select(F.col("a").alias("v")).union(links.select("b")).distinct().select("v", F.col("v").alias("c"))
     while not left.isEmpty():
         ends = left.union(left.select("b", "a"))
         parent = written(ends.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("p")).select("v", F.least("v", "p").alias("p")), "parents")
-        while True:
-            up = parent.select(F.col("v").alias("p"), F.col("p").alias("q"))
-            parent = written(parent.join(up, "p").select("v", F.col("q").alias("p"), (F.col("q") != F.col("p")).alias("moved")), "parents")
-            if parent.where("moved").isEmpty():
-                break
-        root = parent.select("v", "p")
+        root = written(_follow(_follow(parent)), "roots")
         labels = written(labels.join(root.withColumnRenamed("v", "c"), "c", "left").select("v", F.coalesce("p", "c").alias("c")), "labels")
         a, b = root.select(F.col("v").alias("a"), F.col("p").alias("ra")), root.select(F.col("v").alias("b"), F.col("p").alias("rb"))
         left = left.join(a, "a").join(b, "b").where("ra <> rb")

@@ -12,15 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonalis.llm.components import components
-from zonalis.llm.nodes import in_blocks, labelled, mixed_nodes, within_nodes
+from zonalis.llm.nodes import in_blocks, labelled, links_within, mixed_nodes
 from zonalis.llm.shared import text_or_empty, written
 from zonalis.llm.shingles import MinHash, shingle_sets
 
 #: Places of a signature; how many of them a branch takes; trees; documents in a small node; how deep a tree grows.
-WIDTH, STEP, TREES, SMALL, DEPTH = 64, 3, 20, 1024, 8
+WIDTH, STEP, TREES, SMALL, DEPTH = 64, 3, 20, 2048, 8
 #: Pairs whose signatures agree in fewer places are not confirmed: four deviations below a similarity of 0.8.
 LEAST_AGREEING = 0.6
-LIKELY = 0.8
 
 
 def profiles(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -55,6 +54,13 @@ def _sizes(rows: DataFrame) -> DataFrame:
     return rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("first"), F.bit_xor(F.xxhash64("v")).alias("same")).where("n > 1")
 
 
+def _alike(p: np.ndarray, q: np.ndarray, share: tuple[int, int]) -> bool:
+    if not len(p) or share[1] * min(len(p), len(q)) < share[0] * max(len(p), len(q)):
+        return False
+    common = len(np.intersect1d(p, q, assume_unique=True))
+    return share[1] * common >= share[0] * (len(p) + len(q) - common)
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, share: tuple[int, int]) -> DataFrame:
     """The pairs (a, b) whose whole shingle sets satisfy share[1] * intersection >= share[0] * union."""
 
@@ -65,9 +71,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, share: tuple[int,
                 sets = {t: s for both in [list(set(part["text_a"]) | set(part["text_b"]))] for t, s in zip(both, shingle_sets(both, size), strict=True)}
                 keep = []
                 for x, y in zip(part["text_a"], part["text_b"], strict=True):
-                    p, q = sets[x], sets[y]
-                    common = len(np.intersect1d(p, q, assume_unique=True)) if share[1] * min(len(p), len(q)) >= share[0] * max(len(p), len(q)) else 0
-                    keep.append(common > 0 and share[1] * common >= share[0] * (len(p) + len(q) - common))
+                    keep.append(_alike(sets[x], sets[y], share))
                 yield part.loc[keep, ["a", "b"]]
 
     left = pairs.join(texts.select(F.col("v").alias("a"), F.col("text").alias("text_a")), "a")
@@ -97,7 +101,7 @@ def linked_documents(docs: DataFrame, size: int = 4, share: tuple[int, int] = (8
 
     Documents with equal sets are one vertex, named by their smallest id. Every tree's first nodes are found; each node's documents are linked to
     its smallest one where that holds, so that large groups of copies become one component with as many checks as documents. What nodes still hold
-    different components goes on: large nodes branch, small ones are compared exhaustively, and pairs between components are confirmed, the likely ones first.
+    different components goes on: large nodes branch, and small ones are compared exhaustively where their documents' texts meet.
     Nodes still large at the last depth are compared whole, in pairs of blocks. A pair at similarity 0.8 shares a first node with a chance of 0.512 a tree.
 
     Null text, or one without words: an empty set, linked with nothing. Null ids take part but never name a component unless all ids of it are null.
@@ -115,10 +119,9 @@ def linked_documents(docs: DataFrame, size: int = 4, share: tuple[int, int] = (8
     involved = members.select("v").distinct()
     named = docs.select(F.col(id_col).cast("long").alias("v"), text_or_empty(text_col).alias("text"))
     texts = written(named.join(involved, "v").dropDuplicates(["v", "text"]), "texts")
-    confirm = lambda pairs: _confirmed(pairs, texts, size, share)
 
     star = members.where("v <> first").select(F.col("first").alias("a"), F.col("v").alias("b")).distinct()
-    links = written(confirm(_agreeing(star, reps).select("a", "b")), "links0")
+    links = written(_confirmed(_agreeing(star, reps).select("a", "b"), texts, size, share), "links0")
     labels = components(links)
 
     rows = labelled(members.select("node", "v"), labels)
@@ -137,16 +140,10 @@ def linked_documents(docs: DataFrame, size: int = 4, share: tuple[int, int] = (8
     leaf = leaves[0]
     for more in leaves[1:]:
         leaf = leaf.union(more)
-    near = written(within_nodes(leaf.join(reps, "v"), _same_places, LEAST_AGREEING).groupBy("a", "b").agg(F.max("agree").alias("agree")), "near")
-
-    for low, high in ((LIKELY, 2.0), (0.0, LIKELY)):
-        band = near.where((F.col("agree") >= low) & (F.col("agree") < high)).select("a", "b")
-        ends = lambda c: labels.select(F.col("v").alias(c), F.col("c").alias(f"c_{c}"))  # noqa: E731, B023
-        apart = band.join(ends("a"), "a", "left").join(ends("b"), "b", "left").where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
-        new = written(confirm(apart), "more")
-        if not new.isEmpty():
-            links = links.union(new)
-            labels = components(links)
+    held = leaf.join(reps, "v").join(texts, "v")
+    new = written(links_within(held, "text", _same_places, LEAST_AGREEING, lambda t: list(shingle_sets(t, size)), lambda p, q: _alike(p, q, share)), "links1")
+    if not new.isEmpty():
+        labels = components(links.union(new))
 
     named = classes.select("mark", "v").join(labels, "v", "left").select("mark", F.coalesce("c", "v").alias("c"))
     out = table.select("doc_id", "n_shingles", "mark").join(named, "mark", "left")

@@ -29,26 +29,43 @@ def in_blocks(large: DataFrame, small: int) -> DataFrame:
     return large.select("v", "c", F.explode(paired).alias("node")).select("node", "v", "c")
 
 
-def within_nodes(members: DataFrame, score: Callable[[np.ndarray, np.ndarray], np.ndarray], least: float) -> DataFrame:
-    """(a, b, agree), a < b: of members (node, v, c, sig), the pairs of one node and different components whose signatures score `least` or more.
+def links_within(members: DataFrame, payload: str, score: Callable[[np.ndarray, np.ndarray], np.ndarray], least: float, prepare: Callable[[pd.Series], list], alike: Callable[[object, object], bool]) -> DataFrame:
+    """(a, b): of members (node, v, c, sig, payload), confirmed links of each node that join what were different components c.
 
-    score takes a row of bytes and a matrix of such rows. Nodes are bounded in size and come sorted; a task holds one at a time.
+    Every pair of different components whose signatures score `least` or more is confirmed by `alike` on what `prepare` makes of their payloads, the
+    likeliest pairs first, but for those that links found before already join. So a node yields fewer links than it has members, however alike
+    they are. score takes a row of bytes and a matrix of such rows. Nodes are bounded in size and come sorted; a task holds one at a time.
     """
 
-    def pairs(x: pd.DataFrame) -> pd.DataFrame:
-        v, c = x["v"].to_numpy(), x["c"].to_numpy()
-        sig = np.frombuffer(b"".join(x["sig"]), np.uint8).reshape(len(x), -1)
-        out = [pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "agree": np.zeros(0)})]
+    def of_node(x: pd.DataFrame) -> pd.DataFrame:
+        v, sig = x["v"].to_numpy(), np.frombuffer(b"".join(x["sig"]), np.uint8).reshape(len(x), -1)
+        c = np.unique(x["c"].to_numpy(), return_inverse=True)[1]
+        root = list(range(int(c.max()) + 1))
+
+        def find(k: int) -> int:
+            while root[k] != k:
+                root[k] = k = root[root[k]]
+            return k
+
+        tries = [np.zeros((3, 0))]
         for i in range(len(x) - 1):
             other = np.flatnonzero(c[i + 1 :] != c[i]) + i + 1
             if len(other):
                 got = score(sig[i], sig[other])
                 near = got >= least
-                if near.any():
-                    out.append(pd.DataFrame({"a": np.minimum(v[i], v[other[near]]), "b": np.maximum(v[i], v[other[near]]), "agree": got[near]}))
-        return pd.concat(out)
+                tries.append(np.stack([got[near], np.full(near.sum(), i), other[near]]))
+        tried = np.concatenate(tries, axis=1)
+        used = np.unique(tried[1:].astype(np.int64))
+        made = dict(zip(used.tolist(), prepare(x[payload].iloc[used]), strict=True))
+        links = []
+        for i, j in tried[1:, np.argsort(-tried[0], kind="stable")].T.astype(np.int64).tolist():
+            p, q = find(int(c[i])), find(int(c[j]))
+            if p != q and alike(made[i], made[j]):
+                root[max(p, q)] = min(p, q)
+                links.append((v[i], v[j]))
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
         for batch in batches:
             batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
@@ -57,8 +74,8 @@ def within_nodes(members: DataFrame, score: Callable[[np.ndarray, np.ndarray], n
             last = (batch["node"] == batch["node"].iloc[-1]).to_numpy()
             rest = batch[last]
             for _, x in batch[~last].groupby("node", sort=False):
-                yield pairs(x)
+                yield of_node(x)
         if rest is not None and len(rest):
-            yield pairs(rest)
+            yield of_node(rest)
 
-    return members.repartition("node").sortWithinPartitions("node").select("node", "v", "c", "sig").mapInPandas(compare, "a long, b long, agree double")
+    return members.repartition("node").sortWithinPartitions("node").select("node", "v", "c", "sig", payload).mapInPandas(link, "a long, b long")

@@ -29,7 +29,7 @@ def _powers(n: int) -> np.ndarray:
 
 
 def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, start) of each word of the bytes."""
+    """(hash, start) of each word of the bytes. A word's length is that of its run of other than white space."""
     buf = np.frombuffer(raw, np.uint8)
     space = _SPACE[buf]
     starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
