@@ -74,7 +74,8 @@ def test_watch_stream(spark, tmp_path):
     spark.createDataFrame(rows, "run string, state string, at long").coalesce(1).write.json(str(tmp_path / "in"))
     stream = spark.readStream.schema("run string, state string, at long").json(str(tmp_path / "in"))
     q = monitor.watch(stream, "run", "state", "at").writeStream.outputMode("append").format("memory").queryName("watched").trigger(availableNow=True).start()
-    q.awaitTermination(60)
+    q.awaitTermination(10)
+    q.stop()
     assert sorted(map(tuple, spark.table("watched").collect())) == [("r1", "finished"), ("r2", "training")]
 
 

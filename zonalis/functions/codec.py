@@ -93,7 +93,9 @@ def with_lines(df: DataFrame, fields: dict[str, Column], filler_optional_cd: boo
     step = step.withColumns({"_body": body, "_line1": line1})
     fine = F.col("error").isNull()
     line2 = F.concat(F.col("_body"), check_digit(composite_payload(F.col("_body"))))
-    return step.select(*df.columns, F.when(fine, F.col("_line1")).alias("line1"), F.when(fine, line2).alias("line2"), "error")
+    made = F.struct(F.when(fine, F.col("_line1")).alias("line1"), F.when(fine, line2).alias("line2"), "error")
+    # a row of its own for the result: filters on it stay above, else they would be pushed down and work every step out again
+    return step.select(*df.columns, F.inline_outer(F.array(made)))
 
 
 def split_lines(mrz: Column) -> Column:
