@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from zonalis.llm import fuzzy_lines, media_avi, mixing, near_dup, packing, quality, secrets, sharding, url_reputation, warc
+from zonalis.llm.oracles import ORACLE_SQL as ORACLE_SQL
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,4 +53,3 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_sharding, op3_url_reputation, op4_near_duplicates, op5_avi_media, op6_secret_scan, op7_fuzzy_lines, op8_quality_outliers, op9_best_two_fit, op10_source_mix)}
-ORACLE_SQL: dict[str, str] = {}

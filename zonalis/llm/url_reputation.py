@@ -95,4 +95,4 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules=RULES, most_bad: float
     scored = written(reputation(hosts.select("host", suffix.alias("suffix"), domain.alias("domain")), outcomes), "reputation")
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     by_method = F.when(F.col("lower") > most_bad, "block").otherwise("allow")
-    return urls.join(small_side(scored, n), "host", "left").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, by_method).alias("verdict"), "bad_rate")
+    return urls.join(small_side(scored, n), "host", "left").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, by_method).alias("verdict"), F.round("bad_rate", 6).alias("bad_rate"))
