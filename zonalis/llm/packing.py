@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -20,15 +21,25 @@ PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 RUN = 100_000
 
 
-#: White space that a text's parts must not hold for them to be encoded apart: two in a row, at an end, or other than blank and line feed.
-KNOTTY = re.compile(r"\s\s|[^\S \n]|\A\s|\s\Z")
+#: White space but blank and line feed; a part that ends in common punctuation.
+OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: The character that stands for each byte in the vocabulary's files; most stand for themselves.
+SELF = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTES = {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - SELF))}
+POINTED = re.compile(r"(.*[^\W_])([.,;:!?]+)", re.DOTALL)
+
+
+def _plain(text: str) -> bool:
+    """Whether all white space is single blanks and line feeds between other characters."""
+    return not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n" or OTHER_SPACE.search(text))
 
 
 class Encoder:
     """Ids of a byte-level BPE as little-endian bytes.
 
     Where white space stands alone, such a tokenizer always begins a new part at a blank, which it keeps with what follows, and at a line feed;
-    so those parts are encoded apart, and what most of them gave is remembered, up to `most`. Other texts are encoded whole.
+    so those parts are encoded apart, and so is punctuation after a letter or digit, which it never keeps together. A part of letters alone
+    needs no more splitting and goes to the tokenizer's model at once. What most parts gave is remembered, up to `most`. Other texts are encoded whole.
     """
 
     def __init__(self, path: str, most: int = 600_000):
@@ -37,11 +48,23 @@ class Encoder:
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
         self.whole = lambda text: np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        whole = self.whole
+        whole, model = self.whole, tokenizer.model
+        feed = whole("\n")
+
+        def letters(text: str) -> bytes:
+            got = model.tokenize(text.encode("utf-8").decode("latin-1").translate(BYTES))
+            return struct.pack(f"<{len(got)}I", *[t.id for t in got])
 
         class Known(dict):
             def __missing__(self, part: str) -> bytes:
-                ids = whole(part if part[0] == "\n" else f" {part}")
+                if part.isalpha():
+                    ids = letters(f" {part}")
+                elif part[0] == "\n" and part[1:].isalpha():
+                    ids = feed + letters(part[1:])
+                elif pointed := POINTED.fullmatch(part):
+                    ids = self[pointed[1]] + self[f"\n{pointed[2]}"][4:]
+                else:
+                    ids = whole(part if part[0] == "\n" else f" {part}")
                 if len(self) < most:
                     self[part] = ids
                 return ids
@@ -49,7 +72,7 @@ class Encoder:
         self.known = Known()
 
     def __call__(self, text: str) -> bytes:
-        if not text or KNOTTY.search(text):
+        if not text or not _plain(text):
             return self.whole(text)
         first, *parts = text.replace("\n", " \n").split(" ")
         return self.whole(first) + b"".join(map(self.known.__getitem__, parts))
