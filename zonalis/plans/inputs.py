@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def work_folder(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir, which driver and executors share; a temporary one in a local session without it."""
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='zonalis-')}/{uuid.uuid4().hex}"
+
+
 def identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(c_custkey, the ten fields): a document for every customer. Nations are 25 rows; orders are reduced to a row a customer before the join."""
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from zonalis.functions import codec, geometry, kbest
 from zonalis.operators import measure
-from zonalis.plans.inputs import SQL_LINES, STATES, lines, pseudo, sql_pseudo, table
+from zonalis.plans.inputs import SQL_LINES, STATES, lines, pseudo, sql_pseudo, table, work_folder
 from zonalis.sources import identities as synthetic
 from zonalis.streaming import monitor
 
@@ -228,9 +228,7 @@ def status_stream(spark: SparkSession, sf: str) -> DataFrame:
     """The newest event of every user from the table read as a stream of files, until none is left."""
     source = table(spark, sf, "events")
     stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/events.parquet*")
-    name = f"status_{abs(hash(sf))}"
     newest = monitor.newest(stream, "user_id", ["ts", "event_id"], ["event_type", "event_id"])
-    newest.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    return spark.read.parquet(monitor.keep_snapshot(newest, work_folder(spark)))
 
 

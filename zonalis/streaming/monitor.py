@@ -27,6 +27,18 @@ def newest(events: DataFrame, key: str, order: list[str], columns: list[str]) ->
     return events.groupBy(key).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("_row")).select(key, "_row.*")
 
 
+def keep_snapshot(newest_rows: DataFrame, folder: str) -> str:
+    """Runs a complete-mode stream until its source is read up, writing each state of the result as a table of its own; the path of the last one. Executors write the rows, so the driver holds none."""
+    last = []
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/snapshot{batch}")
+        last[:] = [f"{folder}/snapshot{batch}"]
+
+    newest_rows.writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/progress").foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+    return last[0]
+
+
 def watch(events: DataFrame, key: str, state: str, at: str, stale_ms: int = STALE_SECONDS * 1000) -> DataFrame:
     """(key, state): a row whenever a run's state changes, and `stale` when a training run has been silent for stale_ms of processing time. Streaming only; one state is kept per run."""
 
