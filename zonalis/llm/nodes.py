@@ -55,14 +55,20 @@ def links_within(members: DataFrame, payload: str, score: Callable[[np.ndarray,
                 near = got >= least
                 tries.append(np.stack([got[near], np.full(near.sum(), i), other[near]]))
         tried = np.concatenate(tries, axis=1)
-        used = np.unique(tried[1:].astype(np.int64))
+        order = np.argsort(-tried[0], kind="stable")
+        pairs = tried[1:, order].astype(np.int32)
+        used = np.unique(pairs)
         made = dict(zip(used.tolist(), prepare(x[payload].iloc[used]), strict=True))
-        links = []
-        for i, j in tried[1:, np.argsort(-tried[0], kind="stable")].T.astype(np.int64).tolist():
-            p, q = find(int(c[i])), find(int(c[j]))
-            if p != q and alike(made[i], made[j]):
-                root[max(p, q)] = min(p, q)
-                links.append((v[i], v[j]))
+        links, apart = [], len(root)
+        for at in range(0, pairs.shape[1], 1 << 14):
+            for i, j in zip(*pairs[:, at : at + (1 << 14)].tolist(), strict=True):
+                p, q = find(int(c[i])), find(int(c[j]))
+                if p != q and alike(made[i], made[j]):
+                    root[max(p, q)] = min(p, q)
+                    links.append((v[i], v[j]))
+                    apart -= 1
+            if apart == 1:
+                break
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
