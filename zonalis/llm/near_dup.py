@@ -128,7 +128,7 @@ def linked_documents(docs: DataFrame, size: int = 4, share: tuple[int, int] = (8
     leaves, level = [], 0
     while True:
         kept = written(rows.join(mixed_nodes(rows), "node"), f"level{level}")
-        leaves.append(kept.where(F.col("n") <= small).select("node", "v", "c"))
+        leaves.append(kept.where(F.col("n") <= small).select("node", "v", "c", F.lit(0).alias("part")))
         large = kept.where(F.col("n") > small)
         if large.isEmpty():
             break

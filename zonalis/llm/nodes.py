@@ -22,24 +22,27 @@ def mixed_nodes(rows: DataFrame) -> DataFrame:
 
 
 def in_blocks(large: DataFrame, small: int) -> DataFrame:
-    """(node, v, c): each node of large (node, n, v, c) dealt into blocks, and every two blocks as a node of about `small` rows, so that all its pairs meet."""
+    """(node, v, c, part): each node of large (node, n, v, c) dealt into blocks, and every block and every two blocks as a node of about `small` rows at most, so that all its pairs meet; part is the row's block."""
     blocks = F.ceil(F.col("n") * 2 / small).cast("int")
     own = F.pmod(F.xxhash64("v", F.lit(3)), blocks).cast("int")
     paired = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.xxhash64("node", F.least(own, o), F.greatest(own, o)))
-    return large.select("v", "c", F.explode(paired).alias("node")).select("node", "v", "c")
+    return large.select("v", "c", own.alias("part"), F.explode(paired).alias("node")).select("node", "v", "c", "part")
 
 
-def links_within(members: DataFrame, payload: str, score: Callable[[np.ndarray, np.ndarray], np.ndarray], least: float, prepare: Callable[[pd.Series], list], alike: Callable[[object, object], bool]) -> DataFrame:
-    """(a, b): of members (node, v, c, sig, payload), confirmed links of each node that join what were different components c.
+def links_within(members: DataFrame, payload: str, score: Callable[[np.ndarray, np.ndarray], np.ndarray], least: float, prepare: Callable[[pd.Series], list], alike: Callable[[object, object], bool], block: int = 0) -> DataFrame:
+    """(a, b): of members (node, v, c, part, sig, payload), confirmed links of each node that join what were different components c.
 
     Every pair of different components whose signatures score `least` or more is confirmed by `alike` on what `prepare` makes of their payloads, the
     likeliest pairs first, but for those that links found before already join. So a node yields fewer links than it has members, however alike
-    they are. score takes a row of bytes and a matrix of such rows. Nodes are bounded in size and come sorted; a task holds one at a time.
+    they are. Pairs within a part of a node of two parts are left to that part's own node. If nodes hold what shares a block of `block` bytes of sig,
+    a pair that also shares a block before those which its whole node shares is left to the node of that block. score takes a row of bytes and a matrix of such rows. Nodes are bounded in size and come sorted; a task holds one at a time.
     """
 
     def of_node(x: pd.DataFrame) -> pd.DataFrame:
         v, sig = x["v"].to_numpy(), np.frombuffer(b"".join(x["sig"]), np.uint8).reshape(len(x), -1)
-        c = np.unique(x["c"].to_numpy(), return_inverse=True)[1]
+        c, part = np.unique(x["c"].to_numpy(), return_inverse=True)[1], x["part"].to_numpy()
+        within = (part == part[0]).all()
+        before = sig[:, : block * int((sig == sig[0]).all(axis=0).reshape(-1, block).all(axis=1).argmax())].reshape(len(x), -1, block) if block else None
         root = list(range(int(c.max()) + 1))
 
         def find(k: int) -> int:
@@ -49,7 +52,9 @@ def links_within(members: DataFrame, payload: str, score: Callable[[np.ndarray,
 
         tries = [np.zeros((3, 0))]
         for i in range(len(x) - 1):
-            other = np.flatnonzero(c[i + 1 :] != c[i]) + i + 1
+            other = np.flatnonzero((c[i + 1 :] != c[i]) & (within | (part[i + 1 :] != part[i]))) + i + 1
+            if block and len(other):
+                other = other[~(before[other] == before[i]).all(axis=2).any(axis=1)]
             if len(other):
                 got = score(sig[i], sig[other])
                 near = got >= least
@@ -84,4 +89,4 @@ def links_within(members: DataFrame, payload: str, score: Callable[[np.ndarray,
         if rest is not None and len(rest):
             yield of_node(rest)
 
-    return members.repartition("node").sortWithinPartitions("node").select("node", "v", "c", "sig", payload).mapInPandas(link, "a long, b long")
+    return members.repartition("node").sortWithinPartitions("node").select("node", "v", "c", "part", "sig", payload).mapInPandas(link, "a long, b long")
