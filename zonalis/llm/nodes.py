@@ -29,20 +29,60 @@ def in_blocks(large: DataFrame, small: int) -> DataFrame:
     return large.select("v", "c", own.alias("part"), F.explode(paired).alias("node")).select("node", "v", "c", "part")
 
 
-def links_within(members: DataFrame, payload: str, score: Callable[[np.ndarray, np.ndarray], np.ndarray], least: float, prepare: Callable[[pd.Series], list], alike: Callable[[object, object], bool], block: int = 0) -> DataFrame:
+def with_partner(members: DataFrame, score: Callable[[np.ndarray, np.ndarray], np.ndarray], least: float, most: int = 2048) -> DataFrame:
+    """(node, v): of members (node, v, sig), those that score `least` or more with another of their node; all of a node that a batch ends with and that has more than `most` so far."""
+
+    def partner(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, whole = None, None
+        for batch in batches:
+            if whole is not None:  # more of a node all of which goes on
+                more = (batch["node"] == whole).to_numpy()
+                yield batch.loc[more, ["node", "v"]]
+                batch = batch[~more]
+            batch = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            if not len(batch):
+                continue
+            last = (batch["node"] == batch["node"].iloc[-1]).to_numpy()
+            yield of(batch[~last])
+            held, whole = batch[last], None
+            if len(held) > most:
+                yield held[["node", "v"]]
+                held, whole = None, held["node"].iloc[0]
+        if held is not None:
+            yield of(held)
+
+    def of(x: pd.DataFrame) -> pd.DataFrame:
+        if not len(x):
+            return x[["node", "v"]]
+        node, sig = x["node"].to_numpy(), np.frombuffer(b"".join(x["sig"]), np.uint8).reshape(len(x), -1)
+        found = np.zeros(len(x), bool)
+        for step in range(1, len(x)):
+            at = np.flatnonzero(node[:-step] == node[step:])
+            if not len(at):
+                break
+            at = at[~(found[at] & found[at + step])]
+            near = at[score(sig[at], sig[at + step]) >= least]
+            found[near] = found[near + step] = True
+        return x.loc[found, ["node", "v"]]
+
+    return members.select("node", "v", "sig").repartition("node").sortWithinPartitions("node").mapInPandas(partner, "node long, v long")
+
+
+def links_within(members: DataFrame, payload: str, score: Callable[[np.ndarray, np.ndarray], np.ndarray], least: float, prepare: Callable[[pd.Series], list], alike: Callable[[object, object], bool], keys: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """(a, b): of members (node, v, c, part, sig, payload), confirmed links of each node that join what were different components c.
 
     Every pair of different components whose signatures score `least` or more is confirmed by `alike` on what `prepare` makes of their payloads, the
     likeliest pairs first, but for those that links found before already join. So a node yields fewer links than it has members, however alike
-    they are. Pairs within a part of a node of two parts are left to that part's own node. If nodes hold what shares a block of `block` bytes of sig,
-    a pair that also shares a block before those which its whole node shares is left to the node of that block. score takes a row of bytes and a matrix of such rows. Nodes are bounded in size and come sorted; a task holds one at a time.
+    they are. Pairs within a part of a node of two parts are left to that part's own node. If nodes hold what shares one of the numbers that `keys` makes of sig,
+    a pair that also shares a number before those which its whole node shares is left to the node of that number. score takes a row of bytes and a matrix of such rows. Nodes are bounded in size and come sorted; a task holds one at a time.
     """
 
     def of_node(x: pd.DataFrame) -> pd.DataFrame:
         v, sig = x["v"].to_numpy(), np.frombuffer(b"".join(x["sig"]), np.uint8).reshape(len(x), -1)
         c, part = np.unique(x["c"].to_numpy(), return_inverse=True)[1], x["part"].to_numpy()
         within = (part == part[0]).all()
-        before = sig[:, : block * int((sig == sig[0]).all(axis=0).reshape(-1, block).all(axis=1).argmax())].reshape(len(x), -1, block) if block else None
+        own = keys(sig) if keys else None
+        before = own[:, : int((own == own[0]).all(axis=0).argmax())] if keys else None
         root = list(range(int(c.max()) + 1))
 
         def find(k: int) -> int:
@@ -53,8 +93,8 @@ def links_within(members: DataFrame, payload: str, score: Callable[[np.ndarray,
         tries = [np.zeros((3, 0))]
         for i in range(len(x) - 1):
             other = np.flatnonzero((c[i + 1 :] != c[i]) & (within | (part[i + 1 :] != part[i]))) + i + 1
-            if block and len(other):
-                other = other[~(before[other] == before[i]).all(axis=2).any(axis=1)]
+            if keys and len(other):
+                other = other[~(before[other] == before[i]).any(axis=1)]
             if len(other):
                 got = score(sig[i], sig[other])
                 near = got >= least
