@@ -18,6 +18,8 @@ from zonalis.llm.shingles import MinHash, shingle_sets
 
 #: Places of a signature; how many of them a branch takes; trees; documents in a small node; how deep a tree grows.
 WIDTH, STEP, TREES, SMALL, DEPTH = 64, 3, 20, 2048, 8
+#: Children of a large node. A pair at similarity 0.8 enters each with a chance of 0.512, so with three it stays together in one or more with a chance that never falls under 0.78.
+CHILDREN = 3
 #: Pairs whose signatures agree in fewer places are not confirmed: four deviations below a similarity of 0.8.
 LEAST_AGREEING = 0.6
 
@@ -136,7 +138,7 @@ def linked_documents(docs: DataFrame, size: int = 4, share: tuple[int, int] = (8
             leaves.append(in_blocks(large, small))
             break
         level += 1
-        rows = labelled(_branches(large.select("node", "v").join(reps, "v"), [F.col("node")], 2), labels)
+        rows = labelled(_branches(large.select("node", "v").join(reps, "v"), [F.col("node")], CHILDREN), labels)
     leaf = leaves[0]
     for more in leaves[1:]:
         leaf = leaf.union(more)
