@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from zonalis.llm.components import components
 from zonalis.llm.nodes import in_blocks, labelled, links_within, mixed_nodes
-from zonalis.llm.shared import text_or_empty, written
+from zonalis.llm.shared import numbered, text_or_empty, written
 from zonalis.llm.shingles import MinHash, shingle_sets
 
 #: Places of a signature; how many of them a branch takes; trees; documents in a small node; how deep a tree grows.
@@ -157,7 +157,9 @@ def near_dup_report(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each_group(docs: DataFrame, size: int = 5) -> DataFrame:
-    """docs without near-duplicates: of each component the row with the smallest id stays. Rows without words and rows with a null id stay."""
-    linked = linked_documents(docs.select("doc_id", "text"), size)
-    gone = linked.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """docs without near-duplicates: of each component the row with the smallest id stays, null ids last, of rows of one id the first. Rows without words stay."""
+    rows = numbered(docs)
+    linked = linked_documents(rows.select("_row", "text"), size, id_col="_row").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_c"))
+    placed = written(rows.select("_row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row").alias("_place")).join(linked, "_row"), "placed")
+    stays = placed.groupBy("_c").agg(F.min("_place").alias("_kept")).select(F.col("_kept._row").alias("_row"))
+    return rows.join(stays, "_row", "left_semi").select(*docs.columns)

@@ -34,6 +34,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """df, written, with a number _row of each row: ids may be null or repeated."""
+    return written(df.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z only; other letters stay."""
     return F.translate(text, UPPER, LOWER)
