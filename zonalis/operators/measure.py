@@ -85,6 +85,47 @@ def moving_average(values: Column, decay: float) -> Column:
     return F.aggregate(F.slice(values, F.lit(2), F.greatest(F.size(values) - 1, F.lit(0))), F.get(values, F.lit(0)), lambda a, x: decay * a + (1 - decay) * x)
 
 
+def moving_average_of(df: DataFrame, group: str, order: list[str], value: str, decay: float) -> DataFrame:
+    """(group, average): moving_average of each group's values in order; null if one of them is null.
+
+    Rows are dealt by ranges of (group, *order), so a group of any size is cut into runs. A run becomes its length and its weighted sum, and a group's few runs are combined.
+    """
+    dealt = df.select(F.col(group).alias("_g"), *order, F.col(value).alias("_x")).repartitionByRange(F.col("_g"), *order).withColumn("_run", F.spark_partition_id())
+    after = F.row_number().over(Window.partitionBy("_g", "_run").orderBy(*[F.col(c).desc() for c in order])) - 1
+    weighed = dealt.withColumn("_w", F.col("_x") * F.pow(F.lit(decay), after))
+    first = F.min(F.struct(*order, F.col("_x").alias("x")))["x"]
+    runs = weighed.groupBy("_g", "_run").agg(F.count(F.lit(1)).alias("n"), F.count("_x").alias("whole"), F.sum("_w").alias("sum"), first.alias("first"))
+    listed = runs.groupBy("_g").agg(F.array_sort(F.collect_list(F.struct("_run", "n", "whole", "sum", "first"))).alias("r"))
+    start = F.get("r", F.lit(0))["first"]
+    total = F.aggregate("r", start, lambda a, x: F.when(x["whole"] == x["n"], a * F.pow(F.lit(decay), x["n"]) + (1 - decay) * x["sum"]))
+    return listed.select(F.col("_g").alias(group), total.alias("average"))
+
+
+def percentiles(df: DataFrame, group: str, value: str, shares: list[float], buckets: int = 4096) -> DataFrame:
+    """(group, p): of each group the exact percentiles of its values that aren't null, between neighbours in proportion; null for a group without values.
+
+    Equal ranges of a group's values are counted first. Only the ranges that hold a wanted rank are then ordered, as counts of distinct values.
+    """
+    rows = df.select(F.col(group).alias("_g"), F.col(value).cast("double").alias("_x"))
+    spans = rows.groupBy("_g").agg(F.min("_x").alias("_low"), F.max("_x").alias("_high"), F.count("_x").alias("_n"))
+    same = lambda a, b, *more: [F.col(f"{a}._g").eqNullSafe(F.col(f"{b}._g")), *[F.col(f"{a}.{c}") == F.col(f"{b}.{c}") for c in more]]
+    place = F.when(F.col("_high") > F.col("_low"), F.least(F.lit(buckets - 1), F.floor((F.col("_x") - F.col("_low")) / (F.col("_high") - F.col("_low")) * buckets))).otherwise(0).cast("int")
+    valued = rows.where("_x IS NOT NULL").groupBy("_g", "_x").agg(F.count(F.lit(1)).alias("_k"))
+    placed = valued.alias("a").join(spans.alias("b"), same("a", "b")).select("a._g", "_x", "_k", "_n", place.alias("_b"))
+    counts = placed.groupBy("_g", "_b", "_n").agg(F.sum("_k").alias("_in"))
+    counts = counts.withColumn("_before", F.sum("_in").over(Window.partitionBy("_g").orderBy("_b")) - F.col("_in"))
+    at = lambda q: F.lit(q) * (F.col("_n") - 1)
+    ranks = F.array(*[F.struct(F.lit(i).alias("q"), F.lit(h).alias("h"), F.least(F.floor(at(q)) + h, F.col("_n") - 1).alias("r")) for i, q in enumerate(shares) for h in (0, 1)])
+    wanted = counts.select("_g", "_b", "_before", "_in", F.explode(ranks).alias("w")).where("w.r >= _before AND w.r < _before + _in")
+    held = placed.alias("a").join(wanted.select("_g", "_b", "_before").distinct().alias("b"), same("a", "b", "_b")).select("a._g", "a._b", "_x", "_k", "_before")
+    held = held.withColumn("_past", F.col("_before") + F.sum("_k").over(Window.partitionBy("_g", "_b").orderBy("_x")))
+    found = held.alias("a").join(wanted.select("_g", "_b", "w").alias("b"), same("a", "b", "_b")).where("w.r < _past AND w.r >= _past - _k")
+    picked = found.groupBy("a._g").agg(*[F.max(F.when((F.col("w.q") == i) & (F.col("w.h") == h), F.col("_x"))).alias(f"_{i}_{h}") for i in range(len(shares)) for h in (0, 1)])
+    both = spans.alias("a").join(picked.alias("b"), same("a", "b"), "left")
+    part = lambda q: at(q) - F.floor(at(q))
+    return both.select(F.col("a._g").alias(group), F.array(*[F.col(f"_{i}_0") + (F.col(f"_{i}_1") - F.col(f"_{i}_0")) * part(q) for i, q in enumerate(shares)]).alias("p"))
+
+
 def cross_entropy(log_probs: Column, label: Column, smoothing: float = 0.0) -> Column:
     """-log p of the label, mixed with the mean over all classes if smoothed."""
     own = -F.get(log_probs, label)

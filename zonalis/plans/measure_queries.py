@@ -121,7 +121,8 @@ def shear_sharpness(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT label, round(quantile_cont(v, 0.05), 6) AS low, round(quantile_cont(v, 0.95), 6) AS high FROM (SELECT label, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings) GROUP BY label")
 def contrast_percentiles(spark: SparkSession, sf: str) -> DataFrame:
     v = table(spark, sf, "embeddings").select("label", F.explode("embedding").alias("v")).withColumn("v", F.col("v").cast("double"))
-    return v.groupBy("label").agg(F.percentile("v", [0.05, 0.95]).alias("p")).select("label", F.round(F.col("p")[0], 6).alias("low"), F.round(F.col("p")[1], 6).alias("high"))
+    p = measure.percentiles(v, "label", "v", [0.05, 0.95])
+    return p.select("label", F.round(F.get("p", F.lit(0)), 6).alias("low"), F.round(F.get("p", F.lit(1)), 6).alias("high"))
 
 
 @query("""WITH e AS (SELECT vec_id, g, list_transform(embedding[g * 8 + 1 : g * 8 + 8], lambda x: CAST(x AS DOUBLE) * 10) AS s FROM embeddings, range(0, 8) r(g)),
@@ -178,9 +179,8 @@ def window_rate(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT user_id, round(list_reduce(list(CAST(value AS DOUBLE) ORDER BY ts, event_id), lambda a, x: 0.9 * a + 0.1 * x), 4) AS ema FROM events GROUP BY user_id")
 def ema_fold(spark: SparkSession, sf: str) -> DataFrame:
-    """One user's events are a bounded history; it is folded in order of time."""
-    h = table(spark, sf, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("h"))
-    return h.select("user_id", F.round(measure.moving_average(F.transform("h", lambda x: x["value"]), 0.9), 4).alias("ema"))
+    e = table(spark, sf, "events").select("user_id", "ts", "event_id", F.col("value").cast("double").alias("value"))
+    return measure.moving_average_of(e, "user_id", ["ts", "event_id"], "value", 0.9).select("user_id", F.round("average", 4).alias("ema"))
 
 
 @query("SELECT user_id, arg_max(event_type, struct_pack(ts := ts, id := event_id)) AS event_type, arg_max(event_id, struct_pack(ts := ts, id := event_id)) AS event_id FROM events GROUP BY user_id")
