@@ -227,26 +227,48 @@ def line_rows():
     return [(200 + i, "\n".join(lines[4 * i : 4 * i + 4]), "en", "a", 1, 1, "x", 0.5) for i in range(len(lines) // 4)]
 
 
-def test_fuzzy_lines(spark):
-    rows = helpers.odd_documents() + line_rows()
-    lines = sorted({(r[0], k, x) for r in rows for k, x in enumerate((r[1] or "").split("\n")) if len(helpers.words(normal(x))) >= fuzzy_lines.LEAST_WORDS}, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
-    _, _, _, _, sigs = fuzzy_lines._lines([x for _, _, x in lines])
-    text = [normal(x) for _, _, x in lines]
+def similar_lines(rows):
+    """(doc_id, line, text) of the lines with a word, in order, and whether two of them are to be linked: by edit similarity alone, knowing nothing of signatures or nodes."""
+    lines = sorted({(r[0], k, normal(x)) for r in rows for k, x in enumerate((r[1] or "").split("\n")) if helpers.words(normal(x))}, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
 
     def linked(i, j):
-        if text[i] == text[j]:
-            return True
-        if not any(sigs[i][4 * k : 4 * k + 4] == sigs[j][4 * k : 4 * k + 4] for k in range(fuzzy_lines.BLOCKS)) or sum((p ^ q).bit_count() for p, q in zip(sigs[i], sigs[j])) > 0.15 * 192 or abs(len(text[i]) - len(text[j])) > 0.1 * max(len(text[i]), len(text[j])):
-            return False
-        return distance(text[i], text[j]) <= 0.1 * max(len(text[i]), len(text[j]))
+        a, b = lines[i][2], lines[j][2]
+        most = int(0.1 * max(len(a), len(b)) + 1e-9)
+        return a == b or abs(len(a) - len(b)) <= most and distance(a, b) <= most
+
+    return lines, linked
+
 
+def test_fuzzy_lines(spark):
+    rows = helpers.odd_documents() + line_rows()
+    lines, linked = similar_lines(rows)
     want = helpers.groups(list(range(len(lines))), linked)
     got = {(r["doc_id"], r["line"]) for r in fuzzy_lines.removed_lines(helpers.frame(spark, rows)).collect()}
-    assert got == {lines[i][:2] for i, c in want.items() if i != c}
+    gone = {lines[i][:2] for i, c in want.items() if i != c}
+    assert got <= gone and len(got) >= 0.97 * len(gone) and len(gone) > 30
     report = fuzzy_lines.line_report(helpers.frame(spark, rows)).collect()
     assert len(report) == len(rows) and fuzzy_lines.line_report(helpers.frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("small", [4, 16])
+def test_large_nodes_branch(spark, small):
+    """Lines that share half of what they hold and are no copies, and near copies among them: nodes are large and branch, and the copies are found."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghik") for _ in range(7))
+    shared = " ".join(word() for _ in range(12))
+    rows, copies = [], set()
+    for k in range(60):
+        own = [word() for _ in range(12)]
+        rows.append((2 * k, shared + " " + " ".join(own)))
+        if k % 3 == 0:
+            own[rng.randrange(12)] = word()
+            rows.append((2 * k + 1, shared + " " + " ".join(own)))
+            copies.add(2 * k + 1)
+    docs = helpers.frame(spark, [(i, t, "en", "a", 1, 1, "x", 0.5) for i, t in rows])
+    gone = {r["doc_id"] for r in fuzzy_lines.removed_lines(docs, small=small).collect()}
+    assert gone <= copies and len(gone) >= 0.9 * len(copies)
+
+
 def test_within_distance():
     rng = random.Random(5)
     for _ in range(400):
@@ -262,7 +284,7 @@ def test_every_line_kept_once(spark):
     assert left.columns == docs.columns
     texts = [r["text"] for r in left.collect() if r["doc_id"] not in (13,)]
     held = Counter(normal(x) for t in texts for x in (t or "").split("\n") if len(helpers.words(normal(x))) >= 5)
-    assert max(held.values()) == 1
+    assert max(held.values()) == 1  # equal lines are always found
     whole = {normal(x) for r in docs.collect() for x in (r["text"] or "").split("\n") if len(helpers.words(normal(x))) >= 5}
     assert len(whole) - len(held) <= 20
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonalis.llm.components import components
-from zonalis.llm.nodes import in_blocks, labelled, links_within, mixed_nodes
+from zonalis.llm.nodes import labelled, leaves, links_within
 from zonalis.llm.shared import numbered, text_or_empty, written
 from zonalis.llm.shingles import MinHash, shingle_sets
 
@@ -126,22 +126,7 @@ def linked_documents(docs: DataFrame, size: int = 4, share: tuple[int, int] = (8
     links = written(_confirmed(_agreeing(star, reps).select("a", "b"), texts, size, share), "links0")
     labels = components(links)
 
-    rows = labelled(members.select("node", "v"), labels)
-    leaves, level = [], 0
-    while True:
-        kept = written(rows.join(mixed_nodes(rows), "node"), f"level{level}")
-        leaves.append(kept.where(F.col("n") <= small).select("node", "v", "c", F.lit(0).alias("part")))
-        large = kept.where(F.col("n") > small)
-        if large.isEmpty():
-            break
-        if level == depth:
-            leaves.append(in_blocks(large, small))
-            break
-        level += 1
-        rows = labelled(_branches(large.select("node", "v").join(reps, "v"), [F.col("node")], CHILDREN), labels)
-    leaf = leaves[0]
-    for more in leaves[1:]:
-        leaf = leaf.union(more)
+    leaf = leaves(labelled(members.select("node", "v"), labels), labels, small, depth, lambda large: _branches(large.join(reps, "v"), [F.col("node")], CHILDREN))
     held = leaf.join(reps, "v").join(texts, "v")
     new = written(links_within(held, "text", _same_places, LEAST_AGREEING, lambda t: list(shingle_sets(t, size)), lambda p, q: _alike(p, q, share)), "links1")
     if not new.isEmpty():

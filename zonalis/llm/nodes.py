@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from zonalis.llm.shared import written
+
 
 def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """rows (v, ...) with c, v's component; its own where labels (v, c) has none."""
@@ -22,13 +24,34 @@ def mixed_nodes(rows: DataFrame) -> DataFrame:
 
 
 def in_blocks(large: DataFrame, small: int) -> DataFrame:
-    """(node, v, c, part): each node of large (node, n, v, c) dealt into blocks, and every block and every two blocks as a node of about `small` rows at most, so that all its pairs meet; part is the row's block."""
+    """(node, v, c, part): each node of large (node, n, v, c) dealt into blocks, and every block and every two blocks as a node of about `small` rows at most, so that all its pairs meet; part is the row's block. A block's number is odd if the node's is."""
     blocks = F.ceil(F.col("n") * 2 / small).cast("int")
     own = F.pmod(F.xxhash64("v", F.lit(3)), blocks).cast("int")
-    paired = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.xxhash64("node", F.least(own, o), F.greatest(own, o)))
+    paired = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.xxhash64("node", F.least(own, o), F.greatest(own, o)).bitwiseAND(-2).bitwiseOR(F.col("node").bitwiseAND(1)))
     return large.select("v", "c", own.alias("part"), F.explode(paired).alias("node")).select("node", "v", "c", "part")
 
 
+def leaves(rows: DataFrame, labels: DataFrame, small: int, depth: int, branch: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, v, c, part) of the nodes to compare, from rows (node, v, c): those of at most `small` rows that hold several components. Larger ones grow by `branch`, which makes (v, node) of
+    (node, v), until they are small; those still large at the last depth are dealt into pairs of blocks, so that all their pairs meet."""
+    found, level = [], 0
+    while True:
+        kept = written(rows.join(mixed_nodes(rows), "node"), f"level{level}")
+        found.append(kept.where(F.col("n") <= small).select("node", "v", "c", F.lit(0).alias("part")))
+        large = kept.where(F.col("n") > small)
+        if large.isEmpty():
+            break
+        if level == depth:
+            found.append(in_blocks(large, small))
+            break
+        level += 1
+        rows = labelled(branch(large.select("node", "v")), labels)
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return out
+
+
 def with_partner(members: DataFrame, score: Callable[[np.ndarray, np.ndarray], np.ndarray], least: float, most: int = 2048) -> DataFrame:
     """(node, v): of members (node, v, sig), those that score `least` or more with another of their node; all of a node that a batch ends with and that has more than `most` so far."""
 

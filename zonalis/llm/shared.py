@@ -34,8 +34,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def numbered(df: DataFrame) -> DataFrame:
-    """df, written, with a number _row of each row: ids may be null or repeated."""
+def numbered(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """df with a number _row that tells its rows apart: the id, if all ids differ and none is null; else a number given to each row, and df is written, so that it stays the same."""
+    key = F.col(id_col).cast("long")
+    if df.groupBy(key.alias("_row")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1 OR _row IS NULL").isEmpty():
+        return df.withColumn("_row", key)
     return written(df.withColumn("_row", F.monotonically_increasing_id()), "numbered")
 
 
