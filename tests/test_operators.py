@@ -2,16 +2,15 @@ import itertools
 import json
 import random
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from zonalis.functions import kbest
 from zonalis.functions.alphabet import known_states
-from zonalis.functions.geometry import InputGeometry
+from zonalis.functions.geometry import model_input
 from zonalis.functions.validate import issues
 from zonalis.functions.codec import FIELD_ORDER, with_lines
-from zonalis.operators import imaging, measure
+from zonalis.operators import measure, payload
 from zonalis.sources import identities, measurement, status
 from zonalis.streaming import monitor
 
@@ -79,15 +78,52 @@ def test_watch_stream(spark, tmp_path):
     assert sorted(map(tuple, spark.table("watched").collect())) == [("r1", "finished"), ("r2", "training")]
 
 
-def test_page_geometry():
-    line = "P<UTOERIKSSON<<ANNA<MARIA<<<<<<<<<<<<<<<<<<<"
-    page = imaging.render(line, line)
-    (one, two), banded = imaging.find_lines(page)
-    assert banded and one[1] <= two[0]
-    assert "".join(imaging.ALPHABET[i] for i in imaging.cell_scores(page, one).argmax(axis=1)) == line
-    assert np.array_equal(imaging.degrade(page, 0.7, 3), imaging.degrade(page, 0.7, 3))
-    clean, worn = imaging.degrade(page, 0.1, 1).astype(float), imaging.degrade(page, 1.0, 1).astype(float)
-    assert np.abs(clean - page).mean() < np.abs(worn - page).mean()
-    assert InputGeometry().tokens == 352 and InputGeometry().grid == (4, 88)
-    with pytest.raises(ValueError):
-        InputGeometry(height=30)
+def test_model_input():
+    made = model_input(32, 704, (8, 8))
+    assert (made["rows"], made["columns"], made["tokens"], made["px_per_char"], made["patches_per_char"], made["aspect"]) == (4, 88, 352, 16, 2, 22)
+    for height, width, patch in ((30, 704, (8, 8)), (32, 700, (8, 7)), (32, 704, (8, 9))):
+        with pytest.raises(ValueError):
+            model_input(height, width, patch)
+
+
+def test_failure_is_written_down(tmp_path):
+    w = status.StatusWriter(str(tmp_path))
+    with pytest.raises(ZeroDivisionError), w.running(lambda: 7.0):
+        w.update(6.0, state="training", step=1)
+        1 / 0
+    assert json.loads((tmp_path / "status.json").read_text()) | {"error": ""} == {"state": "failed", "step": 1, "updated_at": 7.0, "error": ""}
+    assert w.status["error"].startswith("ZeroDivisionError")
+
+
+def test_samples_follow_from_their_number(spark, tmp_path):
+    s = identities.line_samples(spark, 400, 2, cuts=3, most_weight=0.5, highest=0.3)
+    told = s.selectExpr("count(DISTINCT cut) AS cuts", "min(ink_weight) AS low", "max(ink_weight) AS high", "max(severity) AS most").first()
+    assert told["cuts"] == 3 and -0.5 <= told["low"] < -0.3 and 0.3 < told["high"] <= 0.5 and 0.2 < told["most"] <= 0.3
+    later = identities.line_samples(spark, 400, 2, epoch=1)
+    assert later.join(s, "text").count() < 20 and later.count() == 400
+    stream = identities.sample_stream(spark, 8, 2, cuts=3, most_weight=0.5, highest=0.3)
+    q = stream.writeStream.format("memory").queryName("samples").option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="0 seconds").start()
+    try:
+        q.awaitTermination(8)
+        got = spark.table("samples").where("index < 400").collect()
+    finally:
+        q.stop()
+    want = {r["index"]: r for r in s.collect()}
+    assert len(got) >= 16 and all(want[r["index"]] == r for r in got)
+
+
+def test_polled(spark, tmp_path):
+    spark.createDataFrame([("r", 1), ("r", 2)], "run string, at long").write.json(str(tmp_path / "in"))
+    seen = []
+    rows = monitor.newest(spark.readStream.schema("run string, at long").json(str(tmp_path / "in")), "run", ["at"], ["at"])
+    q = monitor.polled(rows, lambda df, n: seen.extend(df.collect()), str(tmp_path / "work"), 0.2)
+    q.processAllAvailable()
+    q.stop()
+    assert [(r["run"], r["at"]) for r in seen] == [("r", 2)] and monitor.POLL_SECONDS == 3
+
+
+def test_field_of(spark):
+    fields = F.array(F.struct(F.lit("a").alias("key"), F.lit(1).alias("value")))
+    assert spark.range(1).select(payload.field_of(fields, "a")["value"].alias("v")).first()["v"] == 1
+    with pytest.raises(Exception, match="no field b"):
+        spark.range(1).select(payload.field_of(fields, "b")["value"]).collect()

@@ -72,5 +72,5 @@ def blind_class(c: Column) -> Column:
 
 
 def is_protected(place: Column) -> Column:
-    """Whether a check digit covers the place, from 0, of line 2."""
-    return ~place.isin(list(UNPROTECTED))
+    """Whether a check digit covers the place, from 0, of line 2. The last place is the composite digit itself, which none covers."""
+    return place.between(0, LENGTH - 2) & ~place.isin(list(UNPROTECTED))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from zonalis.functions import kbest
 from zonalis.functions.geometry import severity_bucket
 
 
@@ -38,6 +39,24 @@ def tally_by_severity(df: DataFrame, got: tuple[str, str]) -> DataFrame:
     return out.agg(F.count(F.lit(1)).alias("documents"), F.count_if(one).alias("line1"), F.count_if(two).alias("line2"), F.count_if(one & two).alias("both")).withColumn("bucket", F.coalesce("bucket", F.lit("all")))
 
 
+def comparison(df: DataFrame, *keys: str) -> DataFrame:
+    """(keys, documents, greedy, decoded, repairs, regressions, gain) of df (greedy2, decoded2, truth2): line 2 read right at once and after decoding, and the difference of the two rates."""
+    one, two = F.col("greedy2") == F.col("truth2"), F.col("decoded2") == F.col("truth2")
+    said = outcome(one, two)
+    out = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("documents"), F.count_if(one).alias("greedy"), F.count_if(two).alias("decoded"), F.count_if(said == "repair").alias("repairs"), F.count_if(said == "regression").alias("regressions"))
+    return out.withColumn("gain", rate(F.col("decoded"), F.col("documents")) - rate(F.col("greedy"), F.col("documents")))
+
+
+def accuracy(df: DataFrame, scores: str = "scores", labels: str = "labels") -> DataFrame:
+    """One row (lines, char_accuracy, line_accuracy, loss): places whose first greatest score is the label's, lines of which all are, and the mean cross-entropy of a place; rates of no lines are 0, their loss is null."""
+    right = F.zip_with(kbest.greedy(F.col(scores)), labels, lambda g, want: (g == want).cast("int"))
+    loss = F.zip_with(scores, labels, lambda s, want: cross_entropy(kbest.log_softmax(s), want))
+    total = lambda a, zero: F.aggregate(a, zero, lambda t, x: t + x)
+    told = df.select(total(right, F.lit(0)).alias("right"), F.size(labels).alias("places"), total(loss, F.lit(0.0)).alias("loss"))
+    out = told.agg(F.count(F.lit(1)).alias("lines"), F.sum("right").alias("r"), F.sum("places").alias("p"), F.count_if(F.col("right") == F.col("places")).alias("whole"), F.sum("loss").alias("l"))
+    return out.select("lines", rate(F.col("r"), F.col("p")).alias("char_accuracy"), rate(F.col("whole"), F.col("lines")).alias("line_accuracy"), F.try_divide("l", "p").alias("loss"))
+
+
 def char_pairs(df: DataFrame, got: str, want: str, *keys: str) -> DataFrame:
     """A row for each position of want: (keys, pos, want, got); got is a blank where the reading is shorter. Longer readings' tails are left out."""
     pairs = F.transform(F.split(want, ""), lambda c, i: F.struct(i.alias("pos"), c.alias("want"), F.substr(F.rpad(F.coalesce(F.col(got), F.lit("")), 44, " "), i + 1, F.lit(1)).alias("got")))
@@ -75,6 +94,13 @@ def window_rate(df: DataFrame, keys: list[str], order: list[str], step: str, sec
     return df.withColumn("rate", (F.col(step) - F.lag(step).over(w)) / F.greatest(seconds - F.lag(seconds).over(w), F.lit(1e-9)))
 
 
+def progress(df: DataFrame, keys: list[str], step: str, seconds: Column, total: Column) -> DataFrame:
+    """df with rate (of the last window), elapsed seconds since the run's first row, and eta in seconds; the eta is null without a rate above 0."""
+    out = window_rate(df, keys, [step], step, seconds)
+    elapsed = seconds - F.min(seconds).over(Window.partitionBy(*keys))
+    return out.withColumns({"elapsed": elapsed, "eta": F.when(F.col("rate") > 0, (total - F.col(step)) / F.col("rate"))})
+
+
 def latest(df: DataFrame, keys: list[str], order: list[Column], columns: list[str]) -> DataFrame:
     """The newest row of every key, by partial maxima instead of a sort."""
     return df.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("_row")).select(*keys, "_row.*")

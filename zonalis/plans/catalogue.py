@@ -5,4 +5,4 @@ from __future__ import annotations
 from zonalis.plans import image_queries, measure_queries, text_queries
 
 QUERIES = text_queries.QUERIES | measure_queries.QUERIES | image_queries.QUERIES
-ORACLE_SQL = text_queries.ORACLE_SQL | measure_queries.ORACLE_SQL
+ORACLE_SQL = text_queries.ORACLE_SQL | measure_queries.ORACLE_SQL | image_queries.ORACLE_SQL

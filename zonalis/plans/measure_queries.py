@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonalis.functions import codec, geometry, kbest
-from zonalis.operators import measure
-from zonalis.plans.inputs import SQL_LINES, STATES, lines, pseudo, sql_pseudo, table, work_folder
+from zonalis.functions.alphabet import ALPHABET
+from zonalis.operators import measure, reading
+from zonalis.plans.inputs import SQL_LINES, STATES, lines, pseudo, sql_field, sql_pseudo, table, work_folder
 from zonalis.sources import identities as synthetic
+from zonalis.sources import status
 from zonalis.streaming import monitor
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -232,3 +234,137 @@ def status_stream(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(monitor.keep_snapshot(newest, work_folder(spark)))
 
 
+
+
+_SHORT = "CASE WHEN c_custkey % 13 = 0 THEN '' ELSE substr({0}2, 1, CAST(44 - c_custkey % 3 AS INTEGER)) END"
+_READ = f"""{_GRADED}, read AS (SELECT c_custkey, c_custkey % 4 AS cut, severity, truth1 AS line1, truth2 AS line2, CASE WHEN c_custkey % 13 = 0 THEN '' ELSE decoded1 END AS got1, {_SHORT.format('decoded')} AS got2, c_custkey % 13 <> 0 AND c_custkey % 7 <> 0 AS located FROM graded),
+places AS (SELECT c_custkey, cut, CAST(i AS INTEGER) AS pos, substr(line1 || line2, CAST(i AS INTEGER) + 1, 1) AS want, substr(rpad(got1, 44, ' ') || rpad(got2, 44, ' '), CAST(i AS INTEGER) + 1, 1) AS got FROM read, range(0, 88) r(i)),
+chars AS (SELECT c_custkey, count(*) FILTER (want = got) AS right_chars FROM places GROUP BY c_custkey)"""
+_MEASURED = """count(*) AS documents, count(*) FILTER (got1 = line1 AND got2 = line2) AS documents_read, count(*) FILTER (got1 = line1) + count(*) FILTER (got2 = line2) AS lines_read, CAST(sum(right_chars) AS BIGINT) AS chars_read, count(*) * 88 AS chars_total, count(*) FILTER (NOT located) AS not_located"""
+
+
+def readings(spark: SparkSession, sf: str) -> DataFrame:
+    """Readings of the graded customers against the truth: every thirteenth wasn't read at all, some are cut short, some weren't located."""
+    key = F.col("c_custkey")
+    g = graded(spark, sf)
+    truth = g.select("c_custkey", F.pmod(key, F.lit(4)).alias("cut"), "severity", F.col("truth1").alias("line1"), F.col("truth2").alias("line2"))
+    read = g.where(F.pmod(key, F.lit(13)) != 0).select("c_custkey", F.col("decoded1").alias("line1"), F.substr("decoded2", F.lit(1), (44 - F.pmod(key, F.lit(3))).cast("int")).alias("line2"), (F.pmod(key, F.lit(7)) != 0).alias("banded"))
+    return reading.against_truth(read, truth, "c_custkey")
+
+
+@query(f"{_READ} SELECT {_MEASURED}, round(documents_read / documents, 9) AS document_rate, round(lines_read / (2 * documents), 9) AS line_rate, round(chars_read / chars_total, 9) AS char_rate FROM read JOIN chars USING (c_custkey)")
+def measured_readings(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(reading.measured(readings(spark, sf)))
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.round(c, 9) for c in ("document_rate", "line_rate", "char_rate")})
+
+
+@query(f"{_READ} SELECT cut, {_MEASURED}, round(documents_read / documents, 9) AS document_rate, round(lines_read / (2 * documents), 9) AS line_rate, round(chars_read / chars_total, 9) AS char_rate FROM read JOIN chars USING (c_custkey) GROUP BY cut")
+def cut_accuracy(spark: SparkSession, sf: str) -> DataFrame:
+    """The same for each cut of type that documents are set in."""
+    return _rounded(reading.measured(readings(spark, sf), "cut"))
+
+
+@query(f"{_READ} SELECT c_custkey FROM read WHERE NOT (got1 = line1 AND got2 = line2) ORDER BY c_custkey")
+def missed_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return reading.missed(readings(spark, sf), "c_custkey")
+
+
+@query(f"""{_READ}, n AS (SELECT want, got, count(*) AS n, min(c_custkey * 100 + pos) AS f FROM places WHERE want <> got AND got <> ' ' GROUP BY want, got), top AS (SELECT want, got, n FROM n ORDER BY n DESC, f LIMIT 8),
+whole AS (SELECT {_MEASURED} FROM read JOIN chars USING (c_custkey)) SELECT documents, documents_read, lines_read, not_located, round(chars_read / chars_total, 9) AS char_rate, round(documents_read / documents, 9) AS document_rate, want, got, n AS "count", false AS shows_text FROM whole, top""")
+def withheld_payload(spark: SparkSession, sf: str) -> DataFrame:
+    """What may be shown of a measurement, read back: counts and the eight most frequent confusions. shows_text: whether four letters or fillers in a row stand in it."""
+    made = reading.withheld(readings(spark, sf), "c_custkey")
+    shape = "documents long, documents_read long, lines_read long, not_located long, char_rate double, document_rate double, confusions array<struct<want:string,got:string,count:long>>"
+    back = made.select(F.from_json("payload", shape).alias("p"), F.regexp_like("payload", F.lit("[A-Z<]{4}")).alias("shows_text")).select("p.*", "shows_text")
+    out = back.withColumns({c: F.round(c, 9) for c in ("char_rate", "document_rate")})
+    return out.select(*[c for c in out.columns if c != "confusions"], F.inline("confusions"))
+
+
+_PERCENT = lambda x: f"printf('%.2f%%', 100.0 * ({x}))"
+
+
+@query(f"""{_READ}, m AS (SELECT cut, {_MEASURED} FROM read JOIN chars USING (c_custkey) GROUP BY cut) SELECT cut, array_to_string(list_filter([CASE WHEN not_located > 0 THEN not_located || ' of ' || documents || ' not located: the boxes, not the reader' END, 'documents ' || documents_read || '/' || documents, 'lines ' || lines_read || '/' || 2 * documents,
+'characters ' || chars_read || '/' || chars_total || ' ' || {_PERCENT('chars_read / chars_total')}, CASE WHEN documents < 30 THEN documents || ' documents are too few for a percentage' END], lambda x: x IS NOT NULL), chr(10)) AS report FROM m""")
+def reading_report(spark: SparkSession, sf: str) -> DataFrame:
+    return reading.measured(readings(spark, sf), "cut").select("cut", reading.report().alias("report"))
+
+
+@query(f"""{_GRADED}, b AS (SELECT {_BUCKET} AS bucket, greedy2 = truth2 AS g, decoded2 = truth2 AS d FROM graded) SELECT bucket, count(*) AS documents, count(*) FILTER (g) AS greedy, count(*) FILTER (d) AS decoded, count(*) FILTER (d AND NOT g) AS repairs, count(*) FILTER (g AND NOT d) AS regressions,
+round(count(*) FILTER (d) / count(*) - count(*) FILTER (g) / count(*), 9) AS gain FROM b GROUP BY bucket""")
+def decoding_gain(spark: SparkSession, sf: str) -> DataFrame:
+    df = measure.comparison(graded(spark, sf).withColumn("bucket", geometry.severity_bucket(F.col("severity"))), "bucket")
+    return df.withColumn("gain", F.round("gain", 9))
+
+
+_FIELDS = ("issuing_state", "document_number", "birth_date", "expiry_date", "sex", "nationality")
+
+
+@query(f"""{_GRADED}, b AS (SELECT {_BUCKET} AS bucket, {' + '.join(f"CAST(rtrim({sql_field(k).replace('line1', 'decoded1').replace('line2', 'decoded2')}, '<') = rtrim({sql_field(k).replace('line1', 'truth1').replace('line2', 'truth2')}, '<') AS INTEGER)" for k in _FIELDS)} AS hit FROM graded)
+SELECT bucket, count(*) AS documents, CAST(sum(hit) AS BIGINT) AS hits, count(*) * 6 AS fields, round(sum(hit) / (count(*) * 6), 9) AS hit_rate FROM b GROUP BY bucket""")
+def severity_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """Fields read right, fillers at their end aside, by severity."""
+    g = graded(spark, sf).withColumn("bucket", geometry.severity_bucket(F.col("severity")))
+    pairs = {k: (codec.field(F.col("decoded1"), F.col("decoded2"), k), codec.field(F.col("truth1"), F.col("truth2"), k)) for k in _FIELDS}
+    return reading.field_hits(g, pairs, "bucket").withColumn("hit_rate", F.round("hit_rate", 9))
+
+
+@query(f"""WITH e AS (SELECT vec_id, g, list_transform(embedding[g * 8 + 1 : g * 8 + 8], lambda x: CAST(x AS DOUBLE)) AS s, (vec_id + g) % 8 AS want FROM embeddings, range(0, 8) r(g)),
+p AS (SELECT vec_id, list_position(s, list_max(s)) - 1 = want AS ok, -(s[want + 1] - list_max(s) - {_LSE.format('s')}) AS loss FROM e), l AS (SELECT vec_id, bool_and(ok) AS whole, count(*) FILTER (ok) AS n, sum(loss) AS loss FROM p GROUP BY vec_id)
+SELECT count(*) AS lines, round(sum(n) / (8 * count(*)), 9) AS char_accuracy, round(count(*) FILTER (whole) / count(*), 9) AS line_accuracy, round(sum(loss) / (8 * count(*)), 6) AS loss FROM l""")
+def batch_accuracy(spark: SparkSession, sf: str) -> DataFrame:
+    """Eight places of eight classes a vector as a line."""
+    places = F.sequence(F.lit(0), F.lit(7))
+    df = table(spark, sf, "embeddings").select(F.transform(places, lambda g: F.slice(F.col("embedding").cast("array<double>"), g * 8 + 1, F.lit(8))).alias("scores"), F.transform(places, lambda g: F.pmod(F.col("vec_id") + g, F.lit(8)).cast("int")).alias("labels"))
+    return measure.accuracy(df).select("lines", F.round("char_accuracy", 9).alias("char_accuracy"), F.round("line_accuracy", 9).alias("line_accuracy"), F.round("loss", 6).alias("loss"))
+
+
+@query("""WITH e AS (SELECT vec_id, label, -(embedding[label % 64 + 1] - list_max(embedding) - """ + _LSE.format("embedding") + """) AS own, embedding, list_max(embedding) AS m FROM (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS embedding FROM embeddings))
+SELECT vec_id, round(0.9 * own - 0.1 * (list_sum(embedding) / 64 - m - """ + _LSE.format("embedding") + """), 4) AS loss FROM e""")
+def smoothed_cross_entropy(spark: SparkSession, sf: str) -> DataFrame:
+    logp = table(spark, sf, "embeddings").select("vec_id", "label", kbest.log_softmax(F.col("embedding").cast("array<double>")).alias("p"))
+    return logp.select("vec_id", F.round(measure.cross_entropy(F.col("p"), F.pmod("label", F.lit(64)), 0.1), 4).alias("loss"))
+
+
+@query(f"WITH {SQL_LINES}, c AS (SELECT DISTINCT substr(line2, CAST(i AS INTEGER), 1) AS c FROM lines, range(1, 45) r(i)) SELECT a AS c FROM (SELECT unnest(string_split('{ALPHABET}', '')) AS a) WHERE a NOT IN (SELECT c FROM c)")
+def charset_missing(spark: SparkSession, sf: str) -> DataFrame:
+    """Characters of the alphabet that no line 2 holds."""
+    seen = lines(spark, sf).select(F.explode_outer(codec.characters(F.col("line2"))).alias("c")).distinct()
+    return spark.createDataFrame([(c,) for c in ALPHABET], "c string").join(seen, "c", "left_anti")
+
+
+@query("""WITH s AS (SELECT * FROM (VALUES (0, 'clean', 0, 2000), (1, 'light', 2000, 8000), (2, 'moderate', 8000, 18000), (3, 'heavy', 18000, 38000)) t(stage_index, stage, a, b))
+SELECT step, stage_index, stage, step > 0 AND step % 100 = 0 AS logs, step > 0 AND step % 1000 = 0 AS evaluates, step > 0 AND step % 5000 = 0 AS measures FROM range(0, 40000) r(step) JOIN s ON step >= a AND step < b""")
+def step_stage(spark: SparkSession, sf: str) -> DataFrame:
+    """The stage of every step of a run, and what is due at it."""
+    steps = spark.range(40000).select(F.col("id").alias("step"))
+    return synthetic.with_cadence(synthetic.stage_of(steps, synthetic.curriculum(spark)))
+
+
+@query(f"""WITH p AS (SELECT event_id, user_id, {_SECONDS} AS s, (event_id - lag(event_id) OVER w) / greatest({_SECONDS} - lag({_SECONDS}) OVER w, 1e-9) AS rate, min({_SECONDS}) OVER (PARTITION BY user_id) AS began FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+SELECT event_id, round(rate, 6) AS rate, round(s - began, 6) AS elapsed, CASE WHEN rate > 0 THEN round((2000000 - event_id) / rate, 3) END AS eta FROM p""")
+def run_progress(spark: SparkSession, sf: str) -> DataFrame:
+    """Users as runs, their event numbers as steps of two million."""
+    e = table(spark, sf, "events").select("event_id", "user_id", "ts")
+    out = measure.progress(e, ["user_id"], "event_id", measure.epoch_seconds(F.col("ts")), F.lit(2_000_000))
+    return out.select("event_id", F.round("rate", 6).alias("rate"), F.round("elapsed", 6).alias("elapsed"), F.round("eta", 3).alias("eta"))
+
+
+@query(f"""WITH g AS (SELECT i FROM range(0, 20000) r(i)), d AS (SELECT 2026 - {_D('age', 91)} AS born, {_D('expired', 10000)} < 1500 AS ended, {_D('unstated', 10000)} < 300 AS unstated, {_D('bare', 10000)} < 4500 AS bare, {_D('long', 10000)} < 800 AS long, {_D('one', 10000)} < 3500 AS one FROM g)
+SELECT count(*) AS n, round(avg(CAST(bare AS INTEGER)), 6) AS bare, round(avg(CAST(unstated AS INTEGER)), 6) AS unstated, round(avg(CAST(NOT long AND one AS INTEGER)), 6) AS one_given, round(avg(CAST(long AS INTEGER)), 6) AS long_name FROM d""")
+def event_rates(spark: SparkSession, sf: str) -> DataFrame:
+    """How often what is drawn with a stated chance happens among 20,000 identities."""
+    made = synthetic.random_identities(spark, 20_000, 1, states=list(STATES[:20]))
+    share = lambda c, name: F.round(F.avg(c.cast("int")), 6).alias(name)
+    long, one = F.contains("primary_name", F.lit("-")), ~F.contains("secondary_name", F.lit(" "))
+    return made.agg(F.count(F.lit(1)).alias("n"), share(F.col("optional_data") == "", "bare"), share(F.col("sex") == "<", "unstated"), share(one & ~long, "one_given"), share(long, "long_name"))
+
+
+@query(f"""SELECT event_id, event_type = 'view' AS known, CAST(json_extract(props, '$.k') AS INTEGER) AS step FROM events""")
+def status_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as statuses of runs: step from their properties; read with the fixed schema, in which other keys are left out."""
+    made = table(spark, sf, "events").select("event_id", "event_type", F.regexp_replace("props", '"k"', '"step"').alias("raw"))
+    read = made.select("event_id", "event_type", F.from_json("raw", status.SCHEMA, {"mode": "PERMISSIVE"}).alias("s"))
+    return read.select("event_id", (F.col("event_type") == "view").alias("known"), F.col("s.step").alias("step"))

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonalis.functions import codec, dates, kbest
-from zonalis.functions.alphabet import ALPHABET, VALUES, blind_class, char_value, is_protected, is_state
+from zonalis.functions.alphabet import ALPHABET, LAYOUT, VALUES, blind_class, char_value, is_protected, is_state
 from zonalis.functions.validate import GUARDS, issues, line1_issues, line2_issues, trust
 from zonalis.operators import payload
-from zonalis.plans.inputs import KNOWN, REFERENCE_YEAR, SQL_IDS, SQL_LINES, identities, lines, pseudo, sql_cd, sql_issues, sql_pseudo, table
+from zonalis.plans.inputs import KNOWN, REFERENCE_YEAR, SQL_IDS, SQL_LINES, identities, lines, pseudo, sql_cd, sql_field, sql_issues, sql_pseudo, table
 
 QUERIES, ORACLE_SQL = {}, {}
 LINE_FIELDS = ("document_number", "birth_date", "expiry_date", "optional_data")
@@ -84,10 +84,11 @@ def tokenize_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return ix.select("c_custkey", F.aggregate("ix", F.lit(0), lambda a, x: a + x).cast("long").alias("total"), F.get("ix", F.lit(0)).alias("first"), codec.decode_labels(F.col("ix")).alias("text"))
 
 
-@query(f"""WITH p AS (SELECT CAST(i AS INTEGER) AS place, substr('{ALPHABET}', CAST(i AS INTEGER) + 1, 1) AS c FROM range(0, 37) t(i))
-SELECT place, c, CAST(greatest(instr('{VALUES}', c), 1) - 1 AS INTEGER) AS value, CAST((greatest(instr('{VALUES}', c), 1) - 1) % 10 AS INTEGER) AS blind, place NOT IN (10, 11, 12, 20) AS protected FROM p""")
+@query(f"""WITH p AS (SELECT CAST(i AS INTEGER) AS place, nullif(substr('{ALPHABET}', CAST(i AS INTEGER) + 1, 1), '') AS c FROM range(0, 46) t(i))
+SELECT place, c, CASE WHEN c IS NOT NULL THEN CAST(greatest(instr('{VALUES}', c), 1) - 1 AS INTEGER) END AS value, CASE WHEN c IS NOT NULL THEN CAST((greatest(instr('{VALUES}', c), 1) - 1) % 10 AS INTEGER) END AS blind, place < 43 AND place NOT IN (10, 11, 12, 20) AS protected FROM p""")
 def blind_classes(spark: SparkSession, sf: str) -> DataFrame:
-    p = spark.range(len(ALPHABET)).select(F.col("id").cast("int").alias("place"), F.substr(F.lit(ALPHABET), (F.col("id") + 1).cast("int"), F.lit(1)).alias("c"))
+    """Values and blind classes of the alphabet's characters, and the protection of line 2's places and two beyond it."""
+    p = spark.range(46).select(F.col("id").cast("int").alias("place"), F.nullif(F.substr(F.lit(ALPHABET), (F.col("id") + 1).cast("int"), F.lit(1)), F.lit("")).alias("c"))
     return p.select("place", "c", char_value(F.col("c")).alias("value"), blind_class(F.col("c")).alias("blind"), is_protected(F.col("place")).alias("protected"))
 
 
@@ -149,13 +150,29 @@ def field_status(spark: SparkSession, sf: str) -> DataFrame:
     return _found(spark, sf).select("c_custkey", F.inline_outer(rows))
 
 
-@query(f"{_FOUND} SELECT c_custkey, len(fields) = 0 AS valid, CAST(len(fields) AS INTEGER) AS n_issues, 10 AS n_fields, rtrim(substr(line2, 1, 9), '<') AS number FROM found")
+_ISO = lambda raw, year: f"strftime(try_cast(CASE WHEN regexp_full_match({raw}, '[0-9]{{6}}') THEN ({year}) || '-' || substr({raw}, 3, 2) || '-' || substr({raw}, 5, 2) END AS DATE), '%Y-%m-%d')"
+_YY = lambda raw: f"try_cast(substr({raw}, 1, 2) AS INTEGER)"
+_SHOWN = lambda raw: f"trim(replace({raw}, '<', ' '))"
+_NAME = "rtrim(substr(line1, 6, 39), '<')"
+_VALUES = {
+    **{k: _SHOWN(sql_field(k)) for k in GUARDS if k in LAYOUT},
+    "primary_name": _SHOWN(f"CASE WHEN instr({_NAME}, '<<') > 0 THEN substr({_NAME}, 1, instr({_NAME}, '<<') - 1) ELSE {_NAME} END"),
+    "secondary_name": f"CASE WHEN instr({_NAME}, '<<') > 0 THEN {_SHOWN(f'substr({_NAME}, instr({_NAME}, chr(60) || chr(60)) + 2)')} ELSE '' END",
+}
+_DATES = {"birth_date": _ISO(sql_field("birth_date"), f"{_YY(sql_field('birth_date'))} + CASE WHEN {_YY(sql_field('birth_date'))} > 26 THEN 1900 ELSE 2000 END"), "expiry_date": _ISO(sql_field("expiry_date"), f"{_YY(sql_field('expiry_date'))} + 2000")}
+
+
+@query(f"""{_FOUND}, statuses AS ({' UNION ALL '.join(_sql_trust(k) for k in GUARDS)}),
+vals AS ({' UNION ALL '.join(f"SELECT c_custkey, '{k}' AS key, {_VALUES[k]} AS raw, coalesce({_DATES.get(k, 'NULL')}, {_VALUES[k]}) AS value, '{GUARDS[k][0]}' AS guard FROM found" for k in GUARDS)})
+SELECT c_custkey, key, raw, value, guard, status, len(fields) = 0 AS valid, CAST(len(fields) AS INTEGER) AS n_issues, NOT list_contains(fields, 'composite_cd') AS composite_ok, coalesce({_DATES['expiry_date']} < '2026-01-01', false) AS expired, line1 || line2 AS both_lines
+FROM vals JOIN statuses USING (c_custkey, key) JOIN found USING (c_custkey)""")
 def payload_json(spark: SparkSession, sf: str) -> DataFrame:
-    """The JSON payload, read back."""
+    """The JSON payload, read back: a row for each field, with what holds for the whole document."""
     made = payload.as_payload(lines(spark, sf).select("c_custkey", "line1", F.col("noisy2").alias("line2")), REFERENCE_YEAR, KNOWN)
-    back = made.select("c_custkey", F.from_json("payload", "fields array<struct<key:string,value:string>>, issues array<struct<field:string>>, valid boolean").alias("p"))
-    number = F.filter("p.fields", lambda x: x["key"] == "document_number")[0]["value"]
-    return back.select("c_custkey", "p.valid", F.size("p.issues").alias("n_issues"), F.size("p.fields").alias("n_fields"), number.alias("number"))
+    shape = "valid boolean, mrz struct<line1:string,line2:string>, fields array<struct<key:string,value:string,raw:string,guard:string,status:string>>, issues array<struct<field:string>>, composite_ok boolean, expired boolean"
+    back = made.select("c_custkey", F.from_json("payload", shape).alias("p"))
+    whole = [F.col("p.valid"), F.size("p.issues").alias("n_issues"), F.col("p.composite_ok"), F.col("p.expired"), F.concat("p.mrz.line1", "p.mrz.line2").alias("both_lines")]
+    return back.select("c_custkey", *whole, F.inline_outer("p.fields"))
 
 
 @query(f"""WITH s AS (SELECT c_custkey, pos, cls, {sql_pseudo("score", "c_custkey", "pos", "cls")} % 50 AS v FROM customer, range(0, 6) p(pos), range(0, 5) c(cls)),
@@ -193,3 +210,26 @@ def best_reading(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"{_FOUND} SELECT c_custkey, len(list_filter(fields, lambda x: x IN ('document_code', 'issuing_state'))) = 0 AS line1_fine FROM found")
 def line1_fine(spark: SparkSession, sf: str) -> DataFrame:
     return lines(spark, sf).select("c_custkey", (F.size(line1_issues(F.col("line1"), KNOWN)) == 0).alias("line1_fine"))
+
+
+_CLASS = lambda p: f"(instr('{ALPHABET}', substr(line2, {p} + 1, 1)) - 1)"
+
+
+@query(f"""WITH {SQL_LINES}, live AS (SELECT c_custkey, line2, p, CASE WHEN {_CLASS('p')} = 36 THEN 0 ELSE {_CLASS('p')} + 1 END AS other, 1 + {sql_pseudo("gap", "c_custkey", "p")} % 900 AS gap FROM lines, (VALUES (3), (17), (25), (40)) t(p)),
+paths AS (SELECT c_custkey, line2, m, sum(CASE WHEN (m >> i) & 1 = 1 THEN gap ELSE 0 END) AS cost, list(struct_pack(p := p, c := other) ORDER BY p) FILTER ((m >> i) & 1 = 1) AS changed
+  FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY p) - 1 AS i FROM live), range(0, 16) r(m) GROUP BY c_custkey, line2, m),
+texts AS (SELECT c_custkey, cost, list_reduce(list_prepend(line2, list_transform(coalesce(changed, []), lambda x: substr('{ALPHABET}', x.c + 1, 1) || CAST(x.p AS VARCHAR))), lambda t, x: substr(t, 1, CAST(substr(x, 2) AS INTEGER)) || substr(x, 1, 1) || substr(t, CAST(substr(x, 2) AS INTEGER) + 2)) AS text, line2 FROM paths),
+ranked AS (SELECT c_custkey, cost, text, row_number() OVER (PARTITION BY c_custkey ORDER BY cost, list_transform(range(1, 45), lambda i: instr('{ALPHABET}', substr(text, i, 1)))) AS rank FROM texts)
+SELECT c_custkey, CAST(rank AS INTEGER) AS rank, CAST(cost AS BIGINT) AS cost, text FROM ranked WHERE rank <= 8""")
+def kbest_full(spark: SparkSession, sf: str) -> DataFrame:
+    """The eight cheapest readings of line 2 at full width, 44 places of 37 classes: at four places another class is nearly as cheap as the right one, anywhere else all others are out of reach."""
+    own = lambda p: F.instr(F.lit(ALPHABET), F.substr(F.col("line2"), p + 1, F.lit(1))) - 1
+
+    def costs(p):
+        gap = 1 + F.pmod(pseudo("gap", F.col("c_custkey"), p), F.lit(900))
+        live = p.isin(3, 17, 25, 40)
+        return kbest.bound(F.struct(own(p).alias("own"), gap.alias("gap")), lambda b: F.transform(F.sequence(F.lit(0), F.lit(36)), lambda c: F.when(c == b["own"], 0).when(live & (c == F.pmod(b["own"] + 1, F.lit(37))), b["gap"]).otherwise(100_000).cast("long")))
+
+    scores = lines(spark, sf).select("c_custkey", F.transform(F.sequence(F.lit(0), F.lit(43)), costs).alias("s"))
+    best = scores.select("c_custkey", F.posexplode(kbest.k_best(F.col("s"), 8, "long")).alias("rank", "b"))
+    return best.select("c_custkey", (F.col("rank") + 1).alias("rank"), "b.cost", kbest.text_of(F.col("b.path")).alias("text"))

@@ -12,8 +12,8 @@ from zonalis.functions.alphabet import iso_states
 
 #: Names are made of syllables, not listed.
 SYLLABLES = ("KA", "LO", "MI", "RA", "SEN", "TOR", "VEL", "DI", "NO", "BER", "GA", "HU")
-#: Number patterns: A stands for a letter, 9 for a digit.
-PATTERNS = ("A99999999", "AA9999999", "999999999", "A9999999", "99AA99999")
+#: Number patterns, A for a letter and 9 for a digit: up to two letters, then digits to a length of 8 or 9.
+PATTERNS = [("A" * letters).ljust(size, "9") for size in (8, 9) for letters in (0, 1, 2)]
 
 
 @dataclass(frozen=True)
@@ -55,15 +55,20 @@ def _date(year: Column, month: Column, day: Column) -> Column:
 
 
 def random_identities(spark: SparkSession, n: int, seed: int = 1, config: IdentityConfig | None = None, states: list[str] | None = None, start: int = 0) -> DataFrame:
-    """(index, the ten fields). The expiry year is always after the birth year; expired documents ended at most 15 years ago, valid ones end within 10."""
+    """identities_of the numbers from start to start + n - 1."""
+    return identities_of(spark.range(start, start + n).select(F.col("id").alias("index")), seed, config, states)
+
+
+def identities_of(indexes: DataFrame, seed: int = 1, config: IdentityConfig | None = None, states: list[str] | None = None) -> DataFrame:
+    """(index, the ten fields) of a table or stream of indexes. The expiry year is always after the birth year; expired documents ended at most 15 years ago, valid ones end within 10."""
     c = config or IdentityConfig()
-    codes = states or iso_states(spark)
+    codes = states or iso_states(indexes.sparkSession)
     i = F.col("index")
     d = lambda what, most: draw(i, seed, what, most)
     maybe = lambda what, share: chance(i, seed, what, share)
     table = F.array(*[F.lit(s) for s in codes])
     ref = c.reference_year
-    df = spark.range(start, start + n).select(F.col("id").alias("index"))
+    df = indexes.select("index")
     df = df.withColumns({"issuing_state": F.get(table, d("state", len(codes))), "_born": ref - d("age", c.oldest + 1), "_long": maybe("long", c.long_name), "_ended": maybe("expired", c.expired)})
     df = df.withColumn("_low", F.greatest(F.col("_born") + 1, F.when(F.col("_ended"), ref - 15).otherwise(ref)))
     df = df.withColumn("_high", F.greatest(F.col("_low"), F.when(F.col("_ended"), ref - 1).otherwise(ref + 10)))
@@ -84,14 +89,34 @@ def random_identities(spark: SparkSession, n: int, seed: int = 1, config: Identi
     )
 
 
-def line_samples(spark: SparkSession, n: int, seed: int = 1, lowest: float = 0.0, highest: float = 1.0, config: IdentityConfig | None = None) -> DataFrame:
-    """(index, document, line_index, severity, text): samples 2d and 2d + 1 are the lines of document d, equally damaged."""
-    docs = random_identities(spark, -(-n // 2), seed, config)
-    fields = {k: F.col(k) for k in codec.FIELD_ORDER}
-    severity = lowest + (highest - lowest) * draw(F.col("index"), seed, "severity", 10_000) / 10_000.0
-    lines = codec.with_lines(docs, fields).select(F.col("index").alias("document"), severity.alias("severity"), "line1", "line2")
-    out = lines.select("document", "severity", F.posexplode(F.array("line1", "line2")).alias("line_index", "text"))
-    return out.select((F.col("document") * 2 + F.col("line_index")).alias("index"), "document", "line_index", "severity", "text").where(F.col("index") < n)
+def samples_of(documents: DataFrame, seed: int = 1, lowest: float = 0.0, highest: float = 1.0, config: IdentityConfig | None = None, cuts: int = 1, most_weight: float = 0.0) -> DataFrame:
+    """(index, document, line_index, severity, cut, ink_weight, text) of a table or stream of document numbers (index): samples 2d and 2d + 1 are the lines of document d, equally damaged.
+
+    Severity is even between its bounds; the cut, one of so many, and the ink's weight, between -most_weight and most_weight, don't depend on it.
+    """
+    docs = identities_of(documents, seed, config)
+    even = lambda what: draw(F.col("index"), seed, what, 10_000) / 10_000.0
+    lines = codec.with_lines(docs, {k: F.col(k) for k in codec.FIELD_ORDER})
+    lines = lines.select(F.col("index").alias("document"), (lowest + (highest - lowest) * even("severity")).alias("severity"), draw(F.col("index"), seed, "cut", cuts).alias("cut"), (most_weight * (2 * even("ink") - 1)).alias("ink_weight"), "line1", "line2")
+    out = lines.select("document", "severity", "cut", "ink_weight", F.posexplode(F.array("line1", "line2")).alias("line_index", "text"))
+    return out.select((F.col("document") * 2 + F.col("line_index")).alias("index"), "document", "line_index", "severity", "cut", "ink_weight", "text")
+
+
+def line_samples(spark: SparkSession, n: int, seed: int = 1, epoch: int = 0, **options) -> DataFrame:
+    """The first n samples of an epoch. Epochs hold different documents."""
+    first = epoch * EPOCH
+    docs = spark.range(first, first + -(-n // 2)).select(F.col("id").alias("index"))
+    return samples_of(docs, seed, **options).where(F.col("index") < 2 * first + n)
+
+
+def sample_stream(spark: SparkSession, documents_per_batch: int, seed: int = 1, start: int = 0, **options) -> DataFrame:
+    """Samples without end: each trigger takes the next documents from `start` on. What a batch holds follows from its offset alone, so a restarted query goes on where it stopped with the same samples."""
+    numbers = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", documents_per_batch).load()
+    return samples_of(numbers.select((F.col("value") + start).alias("index")), seed, **options)
+
+
+#: Documents between the first ones of two epochs.
+EPOCH = 1 << 40
 
 
 #: Stages of training as (name, lowest and highest severity, steps).
@@ -105,3 +130,18 @@ def curriculum(spark: SparkSession, stages=CURRICULUM, seed: int = 1) -> DataFra
         rows.append((i, name, low, high, steps, at, at + steps, seed + 104729 * i))
         at += steps
     return spark.createDataFrame(rows, "stage_index int, stage string, low double, high double, steps long, first_step long, past_step long, seed long")
+
+
+def stage_of(steps: DataFrame, stages: DataFrame, step: str = "step") -> DataFrame:
+    """steps with stage_index and stage, by the range of steps that a stage holds; steps past the last stage are left out. stages: curriculum's few rows."""
+    few = F.broadcast(stages.select("stage_index", "stage", "first_step", "past_step"))
+    return steps.join(few, (F.col(step) >= F.col("first_step")) & (F.col(step) < F.col("past_step"))).drop("first_step", "past_step")
+
+
+#: How many steps apart a run is logged, evaluated and measured on real pages.
+CADENCE = {"logs": 100, "evaluates": 1000, "measures": 5000}
+
+
+def with_cadence(steps: DataFrame, step: str = "step", cadence: dict[str, int] = CADENCE) -> DataFrame:
+    """steps with a flag for each thing that is due at them."""
+    return steps.withColumns({name: (F.col(step) > 0) & (F.pmod(step, F.lit(n)) == 0) for name, n in cadence.items()})

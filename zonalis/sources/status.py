@@ -5,6 +5,9 @@ from __future__ import annotations
 import json
 import os
 import tempfile
+import time
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +45,15 @@ class StatusWriter:
         self.status |= values | {"updated_at": now}
         self.write()
 
+    @contextmanager
+    def running(self, clock: Callable[[], float] = time.time) -> Iterator[StatusWriter]:
+        """Within it a failure is written down as the run's last state, and goes on."""
+        try:
+            yield self
+        except BaseException as e:
+            self.update(clock(), state="failed", error=f"{type(e).__name__}: {e}")
+            raise
+
     def write(self) -> None:
         try:
             handle, name = tempfile.mkstemp(dir=os.path.dirname(self.path), suffix=".tmp")

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-STALE_SECONDS = 180
+#: After how long a silent run is stale, and how often a monitor looks.
+STALE_SECONDS, POLL_SECONDS = 180, 3
 
 
 def shown_state(state: Column, age_seconds: Column, stale: int = STALE_SECONDS) -> Column:
@@ -39,6 +41,11 @@ def keep_snapshot(newest_rows: DataFrame, folder: str) -> str:
     return last[0]
 
 
+def polled(rows: DataFrame, write: Callable[[DataFrame, int], None], folder: str, seconds: float = POLL_SECONDS) -> StreamingQuery:
+    """Starts a query that hands the rows' new state to `write` every so many seconds; progress is kept under folder."""
+    return rows.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/progress").foreachBatch(write).trigger(processingTime=f"{seconds} seconds").start()
+
+
 def watch(events: DataFrame, key: str, state: str, at: str, stale_ms: int = STALE_SECONDS * 1000) -> DataFrame:
     """(key, state): a row whenever a run's state changes, and `stale` when a training run has been silent for stale_ms of processing time. Streaming only; one state is kept per run."""
 
