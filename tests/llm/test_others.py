@@ -95,12 +95,23 @@ def test_encoder_is_the_tokenizer():
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     encode, whole = packing.Encoder(path, most=20), Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
-    texts = ["", "a", "don't I'll we've 12 345 x y…!!", "a  b", " a", "a ", "a\nb c\nd", "a\r\nb", "é ﬁ 𝒳 😀😀 a b", "<|endoftext|> x", "x\x1cy z"] + [r[1] or "" for r in helpers.odd_documents()]
+    texts = ["", "a", "don't I'll we've 12 345 x y…!!", "a  b", " a", "a ", "a\nb c\nd", "a\r\nb", "é ﬁ 𝒳 😀😀 a b", "<|endoftext|> x", "x <|endoftext|> y", "a<|endoftext|>", "<|endoftext|", "a b<|endoftext|><|endoftext|>\nc d", "x\x1cy z"] + [r[1] or "" for r in helpers.odd_documents()]
     for t in texts:
         assert np.frombuffer(encode(t), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, t
 
 
+def test_other_tokenizers_encode_whole():
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encode, whole = packing.Encoder(path), Tokenizer.from_file(path)
+    assert not encode.apart
+    for t in ("Some words, here!", "don't <|endoftext|> x"):
+        assert np.frombuffer(encode(t), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_bins(seed):
     rng = random.Random(seed)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -26,6 +27,8 @@ OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u202
 #: The character that stands for each byte in the vocabulary's files; most stand for themselves.
 SELF = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTES = {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - SELF))}
+#: The settings of tokenizers whose parts can be encoded apart.
+SPLITS = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 POINTED = re.compile(r"(.*[^\W_])([.,;:!?]+)", re.DOTALL)
 
 
@@ -39,14 +42,17 @@ class Encoder:
 
     Where white space stands alone, such a tokenizer always begins a new part at a blank, which it keeps with what follows, and at a line feed;
     so those parts are encoded apart, and so is punctuation after a letter or digit, which it never keeps together. A part of letters alone
-    needs no more splitting and goes to the tokenizer's model at once. What most parts gave is remembered, up to `most`. Other texts are encoded whole.
+    needs no more splitting and goes to the tokenizer's model at once. What most parts gave is remembered, up to `most`. Other texts are encoded whole,
+    and so are those that hold an added token's text, such as the end mark, which the tokenizer takes out first. A tokenizer that splits otherwise encodes every text whole.
     """
 
     def __init__(self, path: str, most: int = 600_000):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+        made = json.loads(tokenizer.to_str())
+        self.apart = made["normalizer"] is None and made["post_processor"] is None and {k: (made["pre_tokenizer"] or {}).get(k) for k in SPLITS} == SPLITS and made["model"]["type"] == "BPE"
+        self.added = [t["content"] for t in made["added_tokens"]]
         self.whole = lambda text: np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         whole, model = self.whole, tokenizer.model
         feed = whole("\n")
@@ -72,7 +78,7 @@ class Encoder:
         self.known = Known()
 
     def __call__(self, text: str) -> bytes:
-        if not text or not _plain(text):
+        if not text or not self.apart or any(x in text for x in self.added) or not _plain(text):
             return self.whole(text)
         first, *parts = text.replace("\n", " \n").split(" ")
         return self.whole(first) + b"".join(map(self.known.__getitem__, parts))
@@ -191,5 +197,5 @@ def pack(pieces: DataFrame, room: int = 2048) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, length: int = 2048) -> DataFrame:
-    """Tokenises and packs all documents. A null text is an empty one, whose only id is the closing 0; null and repeated ids and equal rows keep a row for each piece; an empty table gives an empty result."""
+    """Tokenises and packs all documents; ids are the tokenizer's own with add_special_tokens=False and no other setting, so an added token's text gives that token. A null text is an empty one, whose only id is the closing 0; null and repeated ids and equal rows keep a row for each piece; an empty table gives an empty result."""
     return pack(written(token_pieces(docs, length), "pieces"), length)
