@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from zonalis.llm.shared import SPACE, small_side, text_or_empty, words, written
 
@@ -11,36 +12,45 @@ WINDOW = 5
 #: The transformed statistics, and the least standard deviation each is given, so that a value shared by nearly all rows doesn't make every other value an outlier.
 FEATURES = {"log_words": 0.3, "log_word_chars": 0.05, "root_symbols": 0.05, "root_repeats": 0.1}
 NAMES = list(FEATURES)
-PRIOR_WORDS = 50
+PRIOR_WORDS = 10
 
 
 def _repeat_words(indexed: str) -> Column:
     """Words inside five-word windows that occur twice or more, from the column of (hash, start) in order: repeated windows' starts in text order, each covering at most five words that the one before didn't."""
     at = lambda k: F.get(F.col(indexed), k)["h"]
     again = F.filter(indexed, lambda x, k: (x["h"] == at(k - 1)) | (x["h"] == at(k + 1)))
-    starts = F.array_sort(F.transform(again, lambda x: x["i"]))
+    starts = F.sort_array(F.transform(again, lambda x: x["i"]))
     return F.aggregate(starts, F.struct(F.lit(0).alias("n"), F.lit(-WINDOW).alias("at")), lambda s, i: F.struct((s["n"] + F.least(F.lit(WINDOW), i - s["at"])).alias("n"), i.alias("at")), lambda s: s["n"])
 
 
-def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with _n_words, _word_chars, _n_symbols, _n_dup_lines, _n_repeat_words. Each array is made in its own projection so that later expressions don't compute it again."""
-    text = text_or_empty(text_col)
-    df = docs.withColumn("_w", words(text))
-    df = df.withColumn("_lines", F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{SPACE[1:]}")))
-    df = df.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w)))
-    n = F.size("_w")
-    h = F.col("_h")
-    windows = F.transform(F.slice("_h", 1, F.greatest(n - WINDOW + 1, F.lit(0))), lambda x, i: F.xxhash64(x, *[F.get(h, i + k) for k in range(1, WINDOW)]))
-    df = df.withColumn("_v", windows)
-    starts = F.sequence(F.lit(0), F.size("_v") - 1)
-    df = df.withColumn("_s", F.when(F.size(F.array_distinct("_v")) < F.size("_v"), F.array_sort(F.arrays_zip(F.col("_v").alias("h"), starts.alias("i")))))
+STATISTICS = ("_n_words", "_word_chars", "_n_symbols", "_n_dup_lines", "_n_repeat_words")
+
+
+def with_statistics(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """docs (its columns `keep`; all by default) with _n_words, _word_chars, _n_symbols, _n_dup_lines, _n_repeat_words.
+
+    Null text has no words, empty text neither; very long texts are taken whole. Columns of those names that docs already has give way. Each array is made
+    in its own projection so that later expressions don't compute it again.
+    """
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in STATISTICS]
+    df = docs.select(F.struct(F.lit(1).alias("_one"), *[F.col(f"`{c}`") for c in keep]).alias("in"), text_or_empty(text_col).alias("text"))
+    text = F.col("text")
+    df = df.withColumn("w", words(text))
+    df = df.withColumn("lines", F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{SPACE[1:]}")))
+    df = df.withColumn("h", F.transform("w", lambda w: F.xxhash64(w)))
+    n = F.size("w")
+    h = F.col("h")
+    windows = F.transform(F.slice("h", 1, F.greatest(n - WINDOW + 1, F.lit(0))), lambda x, i: F.xxhash64(x, *[F.get(h, i + k) for k in range(1, WINDOW)]))
+    df = df.withColumn("v", windows)
+    starts = F.sequence(F.lit(0), F.size("v") - 1)
+    df = df.withColumn("s", F.when(F.size(F.array_distinct("v")) < F.size("v"), F.sort_array(F.arrays_zip(F.col("v").alias("h"), starts.alias("i")))))
     return df.select(
-        *docs.columns,
+        *[F.col(f"in.`{c}`").alias(c) for c in keep],
         n.cast("long").alias("_n_words"),
-        F.length(F.array_join("_w", "")).cast("long").alias("_word_chars"),
+        F.length(F.array_join("w", "")).cast("long").alias("_word_chars"),
         F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("_n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("_n_dup_lines"),
-        F.when(F.col("_s").isNotNull(), _repeat_words("_s")).otherwise(0).cast("long").alias("_n_repeat_words"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("_n_dup_lines"),
+        F.when(F.col("s").isNotNull(), _repeat_words("s")).otherwise(0).cast("long").alias("_n_repeat_words"),
     )
 
 
@@ -84,25 +94,40 @@ def _distance(df: DataFrame) -> DataFrame:
     return df.withColumn("d2", sum((F.col(f"z_{a}") * F.col(f"z_{a}") for a in NAMES), F.lit(0.0)))
 
 
-def fit_mcd(rows: DataFrame, group: list[str], share: float = 0.75, steps: int = 3) -> tuple[DataFrame, int]:
-    """Per group: n, mean, Cholesky factor and the median squared distance of the minimum-covariance-determinant estimate; and the number of groups.
+def _log_determinant() -> Column:
+    return sum((2 * F.log(f"l_{a}_{a}") for a in NAMES), F.lit(0.0))
+
+
+def fit_mcd(rows: DataFrame, group: list[str], share: float = 0.75, falls: float = 1e-3, most_steps: int = 30) -> tuple[DataFrame, int]:
+    """Per group: mean, Cholesky factor, number of rows and median squared distance of the minimum-covariance-determinant estimate; and the number of groups.
 
-    Concentration steps from a coordinate-wise median and spread: keep the `share` of a group's rows that lie nearest, take their mean and covariance,
-    measure again. Every step is an aggregate with partial sums, over all rows, so a group of any size is never in one task.
+    Concentration steps: keep the `share` of a group's rows that lie nearest, take their mean and covariance, measure again, until no group's log-determinant falls by
+    `falls` any more (or most_steps). They are taken from two starts, the coordinate-wise median with the quartiles' spread and the mean with the covariance of all rows,
+    and each group keeps the estimate of the lower determinant. Every step is an aggregate with partial sums, over all rows, so a group of any size is never in one task.
     """
     mid = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(a, [0.25, 0.5, 0.75], 2000).alias(f"q_{a}") for a in NAMES])
     spread = {f"c_{a}_{b}": F.pow((F.col(f"q_{a}")[2] - F.col(f"q_{a}")[0]) / 1.349, 2) if a == b else F.lit(0.0) for i, a in enumerate(NAMES) for b in NAMES[i:]}
-    shape = mid.select(*group, "n", *[F.col(f"q_{a}")[1].alias(f"m_{a}") for a in NAMES], *[v.alias(k) for k, v in spread.items()])
-    shape = written(_factored(shape, group), "start")
+    middle = mid.select(*group, "n", *[F.col(f"q_{a}")[1].alias(f"m_{a}") for a in NAMES], *[v.alias(k) for k, v in spread.items()])
+    own = [*group, "_start"]
+    shape = _factored(middle, group).withColumn("_start", F.lit(0)).unionByName(_factored(_moments(rows, group), group).withColumn("_start", F.lit(1)))
+    shape = written(shape.withColumn("_det", F.lit(float("inf"))), "start")
     n = shape.count()
-    for step in range(steps):
-        measured = _distance(rows.join(small_side(shape.drop("n"), n), group))
-        near = written(measured.groupBy(*group).agg(F.percentile_approx("d2", share, 2000).alias("edge")), f"edge{step}")
-        kept = measured.join(small_side(near, n), group).where("d2 <= edge")
-        shape = written(_factored(_moments(kept, group), group), f"shape{step}")
-    measured = _distance(rows.join(small_side(shape.drop("n"), n), group))
+    for step in range(most_steps):
+        last = small_side(shape.drop("n").withColumnRenamed("_det", "_last"), n)
+        measured = _distance(rows.join(last, group))
+        near = written(measured.groupBy(*own).agg(F.percentile_approx("d2", share, 2000).alias("edge")), f"edge{step}")
+        kept = measured.join(small_side(near, n), own).where("d2 <= edge")
+        found = _factored(_moments(kept, own), own).withColumn("_det", _log_determinant())
+        shape = written(found.join(small_side(shape.select(*own, F.col("_det").alias("_last")), n), own), f"shape{step}")
+        if shape.where(F.col("_last") - F.col("_det") > falls).isEmpty():
+            break
+        shape = shape.drop("_last")
+    parts = [c for c in shape.columns if c.startswith(("m_", "l_"))]
+    best = shape.groupBy(*group).agg(F.min_by(F.struct(*parts), F.struct("_det", "_start")).alias("s")).select(*group, "s.*")
+    best = written(best, "best")
+    measured = _distance(rows.join(small_side(best, n), group))
     middle = measured.groupBy(*group).agg(F.count(F.lit(1)).alias("rows"), F.percentile_approx("d2", 0.5, 2000).alias("middle"))
-    return written(shape.drop("n").join(middle, group), "mcd"), n
+    return written(best.join(middle, group), "mcd"), n
 
 
 #: Median of the chi-square law with as many degrees of freedom as there are features, to which distances are scaled.
@@ -110,29 +135,38 @@ CHI2_MEDIAN = 3.357
 
 
 def judged(docs: DataFrame, text_col: str = "text", cutoff: float = 75.0, least_rows: int = 30, keep_text: bool = False) -> DataFrame:
-    """docs with the statistics, _base_failed, _distance and _kept.
+    """docs with the statistics, _base_failed, _distance and _kept; columns of those names that docs already has give way.
 
     A document is rejected by the base rules, or if its squared Mahalanobis distance to its language and source, scaled so that the median is the
     chi-square one, exceeds the cutoff (far beyond the 0.9999 quantile, 23.5: clean documents have heavy tails). Groups of fewer than least_rows
-    documents that pass the base rules are judged with all such small groups of their language together. Null language or source: groups of their
-    own; null text: no words, fails. keep_text False: the result holds the id columns but not the text, which is read once.
+    documents that pass the base rules are judged with all such small groups of their language together, and where these are too few, with those of all such
+    languages; if that too holds fewer, too little is known to reject any of it by distance. Null language or source: groups of their own. Null or empty text: no words,
+    fails. Equal rows are judged alike and keep a row each, whatever their ids; an empty table gives an empty result. keep_text False: the result lacks the text, which is read once.
     """
-    named = [c for c in docs.columns if keep_text or c != text_col]
-    table = with_statistics(docs, text_col).select(*named, *[f"_{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")])
-    key = lambda c: F.coalesce(F.concat(F.lit("s"), F.col(c).cast("string")), F.lit("n")) if c in docs.columns else F.lit("n")
-    table = written(table.withColumns({"_base_failed": base_failed(), "_lang_": key("lang"), "_source_": key("source")}), "statistics")
-    group = ["_lang_", "_group_"]
+    made = ("_base_failed", "_distance", "_kept")
+    named = [c for c in docs.columns if (keep_text or c != text_col) and c not in (*STATISTICS, *made)]
+    key = lambda c: F.coalesce(F.concat(F.lit("s"), F.col(f"k.{c}").cast("string")), F.lit("n")) if c in docs.columns else F.lit("n")
+    keys = [c for c in ("lang", "source") if c in docs.columns]
+    plain = docs.select(text_or_empty(text_col).alias("text"), F.struct(F.lit(1).alias("_one"), *keys).alias("k"), F.struct(F.lit(1).alias("_one"), *[F.col(f"`{c}`") for c in named]).alias("row"))
+    table = with_statistics(plain, "text", ["k", "row"])
+    table = written(table.select("row", *STATISTICS, base_failed().alias("_base_failed"), key("lang").alias("_lang_"), key("source").alias("_source_")), "statistics")
+    group = ["_fit_", "_group_"]
     narrow = table.where(~F.col("_base_failed")).select("_lang_", "_source_", *[v.alias(k) for k, v in _features().items()])
-    counts = written(narrow.groupBy("_lang_", "_source_").agg(F.when(F.count(F.lit(1)) >= least_rows, F.col("_source_")).otherwise("").alias("_group_")), "groups")
+    sizes = narrow.groupBy("_lang_", "_source_").agg(F.count(F.lit(1)).alias("_n"))
+    rest = F.sum(F.when(F.col("_n") < least_rows, F.col("_n"))).over(Window.partitionBy("_lang_"))
+    large = F.col("_n") >= least_rows
+    counts = sizes.withColumn("_rest", rest).select("_lang_", "_source_", F.when(large | (F.col("_rest") >= least_rows), F.col("_lang_")).otherwise("").alias("_fit_"), F.when(large, F.col("_source_")).otherwise("").alias("_group_"))
+    counts = written(counts, "groups")
     n_sources = counts.count()
-    fit, n = fit_mcd(narrow.join(small_side(counts, n_sources), ["_lang_", "_source_"]).drop("_source_"), group)
-    out = table.join(small_side(counts, n_sources), ["_lang_", "_source_"], "left").withColumn("_group_", F.coalesce("_group_", F.lit("")))
+    fit, n = fit_mcd(narrow.join(small_side(counts, n_sources), ["_lang_", "_source_"]).drop("_lang_", "_source_"), group)
+    out = table.join(small_side(counts, n_sources), ["_lang_", "_source_"], "left").withColumns({c: F.coalesce(c, F.lit("")) for c in group})
     out = _distance(out.withColumns(_features()).join(small_side(fit, n), group, "left"))
     scaled = F.col("d2") * CHI2_MEDIAN / F.greatest(F.col("middle"), F.lit(0.5))
     far = F.coalesce((F.col("rows") >= least_rows) & (scaled > cutoff), F.lit(False))
-    return out.select(*named, *[f"_{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "_base_failed", scaled.alias("_distance"), (~F.col("_base_failed") & ~far).alias("_kept"))
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in named], *STATISTICS, "_base_failed", scaled.alias("_distance"), (~F.col("_base_failed") & ~far).alias("_kept"))
 
 
 def quality_report(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept), a row for each row of docs; nulls, repeats and the empty table as judged has them."""
     out = judged(docs.select("doc_id", "text", "lang", "source"))
     return out.select("doc_id", *[F.col(f"_{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
