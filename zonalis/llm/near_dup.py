@@ -16,26 +16,29 @@ from zonalis.llm.nodes import labelled, leaves, links_within
 from zonalis.llm.shared import numbered, text_or_empty, written
 from zonalis.llm.shingles import MinHash, shingle_sets
 
-#: Places of a signature; how many of them a branch takes; trees; documents in a small node; how deep a tree grows.
-WIDTH, STEP, TREES, SMALL, DEPTH = 64, 3, 20, 2048, 8
+#: Places of a signature; how many of them a branch takes; trees; weight of a small node; how deep a tree grows.
+WIDTH, STEP, TREES, SMALL, DEPTH = 64, 3, 20, 2048, 3
 #: Children of a large node. A pair at similarity 0.8 enters each with a chance of 0.512, so with three it stays together in one or more with a chance that never falls under 0.78.
 CHILDREN = 3
+#: A document weighs one, and one more for each so many bytes of text, so that what a task holds of a node is bounded.
+HEAVY = 1 << 15
 #: Pairs whose signatures agree in fewer places are not confirmed: four deviations below a similarity of 0.8.
 LEAST_AGREEING = 0.6
 
 
 def profiles(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, mark, sig): set size, 128-bit digest of the set as hex, signature (null for empty sets)."""
+    """(doc_id, n_shingles, w, mark, sig): set size, weight, 128-bit digest of the set as hex, signature (null for empty sets)."""
 
     def profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         minhash = MinHash(WIDTH)
         for batch in batches:
             rows = [(len(s), hashlib.md5(s.tobytes()).hexdigest() if len(s) else None, minhash(s) if len(s) else None) for s in shingle_sets(batch["text"], size)]
             out = pd.DataFrame(rows, columns=["n_shingles", "mark", "sig"])
+            out.insert(0, "w", [1 + len(t) // HEAVY for t in batch["text"]])
             out.insert(0, "doc_id", batch["doc_id"].astype("Int64").array)
             yield out
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInPandas(profile, "doc_id long, n_shingles long, mark string, sig binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInPandas(profile, "doc_id long, w int, n_shingles long, mark string, sig binary")
 
 
 def _token(sig: Column, place: Column) -> Column:
@@ -43,17 +46,17 @@ def _token(sig: Column, place: Column) -> Column:
 
 
 def _branches(rows: DataFrame, above: list[Column], children: int) -> DataFrame:
-    """(v, node) of the next level. A child is known by its parent and the tokens at STEP places that the parent's hash selects."""
+    """(v, w, node) of the next level. A child is known by its parent and the tokens at STEP places that the parent's hash selects."""
     made = []
     for child in range(children):
         places = [F.pmod(F.xxhash64(*above, F.lit(child), F.lit(k)), F.lit(WIDTH)).cast("int") for k in range(STEP)]
         made.append(F.xxhash64(*above, F.lit(child), *[_token(F.col("sig"), p) for p in places]))
-    return rows.select("v", F.explode(F.array(*made)).alias("node"))
+    return rows.select("v", "w", F.explode(F.array(*made)).alias("node"))
 
 
 def _sizes(rows: DataFrame) -> DataFrame:
-    """Nodes of two or more documents: n, first (the smallest document), and a mark that equal nodes share."""
-    return rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("first"), F.bit_xor(F.xxhash64("v")).alias("same")).where("n > 1")
+    """Nodes of two or more documents: n and first (the smallest document)."""
+    return rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("first")).where("n > 1")
 
 
 def _alike(p: np.ndarray, q: np.ndarray, share: tuple[int, int]) -> bool:
@@ -95,7 +98,7 @@ def _agreeing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def _same_places(one: np.ndarray, others: np.ndarray) -> np.ndarray:
-    return (one.view(np.uint32) == others.view(np.uint32)).mean(axis=1)
+    return (np.ascontiguousarray(one).view(np.uint32) == np.ascontiguousarray(others).view(np.uint32)).mean(axis=1)
 
 
 def linked_documents(docs: DataFrame, size: int = 4, share: tuple[int, int] = (80, 100), trees: int = TREES, small: int = SMALL, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -110,13 +113,13 @@ def linked_documents(docs: DataFrame, size: int = 4, share: tuple[int, int] = (8
     Rows of one id are one vertex. An empty table gives an empty result.
     """
     table = written(profiles(docs, size, id_col, text_col), "profiles")
-    classes = written(table.where("mark IS NOT NULL").groupBy("mark").agg(F.min("doc_id").alias("v"), F.min_by("sig", "doc_id").alias("sig")).where("v IS NOT NULL"), "classes")
-    reps = classes.select("v", "sig")
+    classes = written(table.where("mark IS NOT NULL").groupBy("mark").agg(F.min("doc_id").alias("v"), F.min_by("sig", "doc_id").alias("sig"), F.max("w").alias("w")).where("v IS NOT NULL"), "classes")
+    reps = classes.select("v", "sig", "w")
 
     places = [random.Random(t).sample(range(WIDTH), STEP) for t in range(trees)]
-    first = reps.select("v", F.explode(F.array(*[F.xxhash64(F.lit(t), *[_token(F.col("sig"), F.lit(p)) for p in places[t]]) for t in range(trees)])).alias("node"))
+    first = reps.select("v", "w", F.explode(F.array(*[F.xxhash64(F.lit(t), *[_token(F.col("sig"), F.lit(p)) for p in places[t]]) for t in range(trees)])).alias("node"))
     nodes = written(_sizes(first), "nodes")
-    members = written(first.join(nodes.select("node", "n", "first"), "node").select("node", "v", "n", "first"), "members")
+    members = written(first.join(nodes.select("node", "first"), "node").select("node", "v", "w", "first"), "members")
 
     involved = members.select("v").distinct()
     named = docs.select(F.col(id_col).cast("long").alias("v"), text_or_empty(text_col).alias("text"))
@@ -126,8 +129,8 @@ def linked_documents(docs: DataFrame, size: int = 4, share: tuple[int, int] = (8
     links = written(_confirmed(_agreeing(star, reps).select("a", "b"), texts, size, share), "links0")
     labels = components(links)
 
-    leaf = leaves(labelled(members.select("node", "v"), labels), labels, small, depth, lambda large: _branches(large.join(reps, "v"), [F.col("node")], CHILDREN))
-    held = leaf.join(reps, "v").join(texts, "v")
+    leaf = leaves(labelled(members.select("node", "v", "w"), labels), labels, small, depth, lambda large: _branches(large.join(reps.drop("w"), "v"), [F.col("node")], CHILDREN))
+    held = leaf.join(reps.drop("w"), "v").join(texts, "v")
     new = written(links_within(held, "text", _same_places, LEAST_AGREEING, lambda t: list(shingle_sets(t, size)), lambda p, q: _alike(p, q, share)), "links1")
     if not new.isEmpty():
         labels = components(links.union(new))

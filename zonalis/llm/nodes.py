@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonalis.llm.shared import written
@@ -18,22 +18,41 @@ def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def mixed_nodes(rows: DataFrame) -> DataFrame:
-    """(node, n): of rows (v, node, c), the nodes that hold more than one component, and their sizes; of nodes that hold the same, one."""
-    nodes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("v")).alias("same"), F.min("c").alias("_low"), F.max("c").alias("_high")).where("_low < _high")
+    """(node, n): of rows (v, node, c, w), the nodes that hold more than one component, and the weight of what they hold; of nodes that hold the same, one."""
+    nodes = rows.groupBy("node").agg(F.sum("w").alias("n"), F.bit_xor(F.xxhash64("v")).alias("same"), F.min("c").alias("_low"), F.max("c").alias("_high")).where("_low < _high")
     return nodes.groupBy("same", "n").agg(F.min("node").alias("node")).select("node", "n")
 
 
+def below(*parts) -> Column:
+    """The number of a node below `node`. It is odd if the node's is."""
+    return F.xxhash64("node", *parts).bitwiseAND(-2).bitwiseOR(F.col("node").bitwiseAND(1))
+
+
 def in_blocks(large: DataFrame, small: int) -> DataFrame:
-    """(node, v, c, part): each node of large (node, n, v, c) dealt into blocks, and every block and every two blocks as a node of about `small` rows at most, so that all its pairs meet; part is the row's block. A block's number is odd if the node's is."""
+    """(node, v, c, part): each node of large (node, n, v, c) dealt into blocks, and every block and every two blocks as a node of about `small` in weight at most, so that all its pairs meet; part is the row's block."""
     blocks = F.ceil(F.col("n") * 2 / small).cast("int")
     own = F.pmod(F.xxhash64("v", F.lit(3)), blocks).cast("int")
-    paired = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.xxhash64("node", F.least(own, o), F.greatest(own, o)).bitwiseAND(-2).bitwiseOR(F.col("node").bitwiseAND(1)))
+    paired = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: below(F.least(own, o), F.greatest(own, o)))
     return large.select("v", "c", own.alias("part"), F.explode(paired).alias("node")).select("node", "v", "c", "part")
 
 
+def around_largest(large: DataFrame, small: int) -> DataFrame:
+    """(node, v, c, part) of nodes (node, v, c, heavy, weight) nearly all of which is one component, heavy, of that weight: it is dealt into blocks, the few other rows meet each block and each other. Pairs inside the component need no comparing, so this grows with the node's size only."""
+    blocks = F.greatest(F.ceil(F.col("weight") / small), F.lit(1)).cast("int")
+    own = F.pmod(F.xxhash64("v", F.lit(3)), blocks).cast("int")
+    inside = large.where("c = heavy").select(below(F.lit("block"), own).alias("node"), "v", "c", F.lit(0).alias("part"))
+    met = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(below(F.lit("block"), o).alias("node"), F.lit(1).alias("part")))
+    among = F.array(F.struct(below(F.lit("others")).alias("node"), F.lit(0).alias("part")))
+    others = large.where("c <> heavy").select("v", "c", F.explode(F.concat(met, among)).alias("x")).select("x.node", "v", "c", "x.part")
+    return inside.union(others)
+
+
 def leaves(rows: DataFrame, labels: DataFrame, small: int, depth: int, branch: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(node, v, c, part) of the nodes to compare, from rows (node, v, c): those of at most `small` rows that hold several components. Larger ones grow by `branch`, which makes (v, node) of
-    (node, v), until they are small; those still large at the last depth are dealt into pairs of blocks, so that all their pairs meet."""
+    """(node, v, c, part) of the nodes to compare, from rows (node, v, c, w): those of a weight of at most `small` that hold several components.
+
+    A larger node of which one component takes all but `small` is compared around that component. Others grow by `branch`, which makes (v, node, w) of (node, v, w), until
+    they are small; those still large at the last depth are dealt into pairs of blocks, so that all their pairs meet.
+    """
     found, level = [], 0
     while True:
         kept = written(rows.join(mixed_nodes(rows), "node"), f"level{level}")
@@ -41,11 +60,16 @@ def leaves(rows: DataFrame, labels: DataFrame, small: int, depth: int, branch: C
         large = kept.where(F.col("n") > small)
         if large.isEmpty():
             break
+        heaviest = large.groupBy("node", "c").agg(F.sum("w").alias("k")).groupBy("node").agg(F.max(F.struct("k", "c")).alias("m")).select("node", F.col("m.k").alias("weight"), F.col("m.c").alias("heavy"))
+        large = written(large.join(heaviest, "node"), f"large{level}")
+        one = F.col("n") - F.col("weight") <= small
+        found.append(around_largest(large.where(one), small))
+        large = large.where(~one)
         if level == depth:
             found.append(in_blocks(large, small))
             break
         level += 1
-        rows = labelled(branch(large.select("node", "v")), labels)
+        rows = labelled(branch(large.select("node", "v", "w")), labels)
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
@@ -91,21 +115,53 @@ def with_partner(members: DataFrame, score: Callable[[np.ndarray, np.ndarray], n
     return members.select("node", "v", "sig").repartition("node").sortWithinPartitions("node").mapInPandas(partner, "node long, v long")
 
 
-def links_within(members: DataFrame, payload: str, score: Callable[[np.ndarray, np.ndarray], np.ndarray], least: float, prepare: Callable[[pd.Series], list], alike: Callable[[object, object], bool], keys: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+def links_within(members: DataFrame, payload: str, score: Callable[[np.ndarray, np.ndarray], np.ndarray], least: float, prepare: Callable[[pd.Series], list], alike: Callable[[object, object], bool], keys: Callable[[np.ndarray], np.ndarray] | None = None, possible: Callable[[list, np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """(a, b): of members (node, v, c, part, sig, payload), confirmed links of each node that join what were different components c.
 
     Every pair of different components whose signatures score `least` or more is confirmed by `alike` on what `prepare` makes of their payloads, the
     likeliest pairs first, but for those that links found before already join. So a node yields fewer links than it has members, however alike
     they are. Pairs within a part of a node of two parts are left to that part's own node. If nodes hold what shares one of the numbers that `keys` makes of sig,
-    a pair that also shares a number before those which its whole node shares is left to the node of that number. score takes a row of bytes and a matrix of such rows. Nodes are bounded in size and come sorted; a task holds one at a time.
+    a pair that also shares a number before those which its whole node shares is left to the node of that number. possible, of all that was prepared and the pairs' places
+    in it, tells cheaply which pairs may be alike at all. score takes two matrices of rows of bytes. Nodes are bounded in weight and come sorted; a task holds
+    one batch and the node that it ends in.
     """
 
-    def of_node(x: pd.DataFrame) -> pd.DataFrame:
-        v, sig = x["v"].to_numpy(), np.frombuffer(b"".join(x["sig"]), np.uint8).reshape(len(x), -1)
-        c, part = np.unique(x["c"].to_numpy(), return_inverse=True)[1], x["part"].to_numpy()
-        within = (part == part[0]).all()
+    def of_nodes(x: pd.DataFrame) -> pd.DataFrame:
+        node, v, part, sig = x["node"].to_numpy(), x["v"].to_numpy(), x["part"].to_numpy(), np.frombuffer(b"".join(x["sig"]), np.uint8).reshape(len(x), -1)
+        c = np.unique(x["c"].to_numpy(), return_inverse=True)[1]
+        starts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+        size = np.diff(np.append(starts, len(node)))
         own = keys(sig) if keys else None
-        before = own[:, : int((own == own[0]).all(axis=0).argmax())] if keys else None
+        whole = np.repeat(np.minimum.reduceat(part, starts) == np.maximum.reduceat(part, starts), size)
+        first = np.repeat(np.logical_and.reduceat(own == own[np.repeat(starts, size)], starts, axis=0).argmax(axis=1), size) if keys else None
+        tries = [np.zeros((3, 0))]
+        at = np.arange(len(node))
+        for step in range(1, int(size.max())):
+            at = at[at + step < len(node)]
+            at = at[node[at] == node[at + step]]
+            i = at[(c[at] != c[at + step]) & (whole[at] | (part[at] != part[at + step]))]
+            if keys and len(i):
+                i = i[~((own[i] == own[i + step]) & (np.arange(own.shape[1]) < first[i, None])).any(axis=1)]
+            if len(i):
+                got = score(sig[i], sig[i + step])
+                near = got >= least
+                tries.append(np.stack([got[near], i[near], i[near] + step]))
+        tried = np.concatenate(tries, axis=1)
+        pairs = tried[1:, np.argsort(-tried[0], kind="stable")].astype(np.int32)
+        if not pairs.shape[1]:
+            return pd.DataFrame([], columns=["a", "b"], dtype="int64")
+        # a vertex stands in several nodes of a batch; its pairs are tried once
+        vertex = np.unique(v, return_inverse=True)[1]
+        low, high = np.minimum(vertex[pairs[0]], vertex[pairs[1]]), np.maximum(vertex[pairs[0]], vertex[pairs[1]])
+        pairs = pairs[:, np.sort(np.unique(low.astype(np.int64) * len(v) + high, return_index=True)[1])]
+        used, place = np.unique(vertex[pairs], return_inverse=True)
+        place = place.reshape(2, -1)
+        one = np.full(len(v), -1)
+        one[vertex[::-1]] = np.arange(len(v))[::-1]
+        made = prepare(x[payload].iloc[one[used]])
+        if possible:
+            fine = possible(made, place[0], place[1])
+            pairs, place = pairs[:, fine], place[:, fine]
         root = list(range(int(c.max()) + 1))
 
         def find(k: int) -> int:
@@ -113,31 +169,14 @@ def links_within(members: DataFrame, payload: str, score: Callable[[np.ndarray,
                 root[k] = k = root[root[k]]
             return k
 
-        tries = [np.zeros((3, 0))]
-        for i in range(len(x) - 1):
-            other = np.flatnonzero((c[i + 1 :] != c[i]) & (within | (part[i + 1 :] != part[i]))) + i + 1
-            if keys and len(other):
-                other = other[~(before[other] == before[i]).any(axis=1)]
-            if len(other):
-                got = score(sig[i], sig[other])
-                near = got >= least
-                tries.append(np.stack([got[near], np.full(near.sum(), i), other[near]]))
-        tried = np.concatenate(tries, axis=1)
-        order = np.argsort(-tried[0], kind="stable")
-        pairs = tried[1:, order].astype(np.int32)
-        used = np.unique(pairs)
-        made = dict(zip(used.tolist(), prepare(x[payload].iloc[used]), strict=True))
-        links, apart = [], len(root)
-        for at in range(0, pairs.shape[1], 1 << 14):
-            for i, j in zip(*pairs[:, at : at + (1 << 14)].tolist(), strict=True):
-                p, q = find(int(c[i])), find(int(c[j]))
-                if p != q and alike(made[i], made[j]):
-                    root[max(p, q)] = min(p, q)
-                    links.append((v[i], v[j]))
-                    apart -= 1
-            if apart == 1:
-                break
-        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+        links = []
+        for i, j, p, q in zip(*c[pairs].tolist(), *place.tolist(), strict=True):
+            i, j = find(i), find(j)
+            if i != j and alike(made[p], made[q]):
+                root[max(i, j)] = min(i, j)
+                links.append((p, q))
+        found = v[one[used]][np.array(links, np.int64).reshape(-1, 2)]
+        return pd.DataFrame(found, columns=["a", "b"])
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -147,9 +186,9 @@ def links_within(members: DataFrame, payload: str, score: Callable[[np.ndarray,
                 continue
             last = (batch["node"] == batch["node"].iloc[-1]).to_numpy()
             rest = batch[last]
-            for _, x in batch[~last].groupby("node", sort=False):
-                yield of_node(x)
+            if not last.all():
+                yield of_nodes(batch[~last])
         if rest is not None and len(rest):
-            yield of_node(rest)
+            yield of_nodes(rest)
 
     return members.repartition("node").sortWithinPartitions("node").select("node", "v", "c", "part", "sig", payload).mapInPandas(link, "a long, b long")
