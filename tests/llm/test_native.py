@@ -195,6 +195,34 @@ def test_reputation_shrinks(spark):
     got = {r["page_id"]: r for r in url_reputation.judge_urls(pages, labels).collect()}
     assert got[900]["verdict"] == "block" and got[901]["verdict"] == "allow"
     assert got[901]["bad_rate"] < got[902]["bad_rate"] < got[900]["bad_rate"] + 1e-9
+    slash = pages.withColumn("url", F.concat("url", F.lit("/")))
+    assert {r["page_id"]: r["bad_rate"] for r in url_reputation.judge_urls(slash, labels).collect()} == {k: r["bad_rate"] for k, r in got.items()}
+
+
+def test_beta_quantile(spark):
+    """Against the law summed up numerically."""
+    import numpy as np
+
+    x = (np.arange(400_000) + 0.5) / 400_000
+    cases = [(1.0, 3.0), (2.5, 9.0), (12.0, 30.0), (150.0, 700.0), (40.0, 3.0), (0.2, 1.2)]
+    df = spark.createDataFrame(cases, "a double, b double").select("a", "b", url_reputation.beta_quantile(F.col("a"), F.col("b"), -1.645).alias("low"), url_reputation.beta_quantile(F.col("a"), F.col("b"), 1.645).alias("high"))
+    for r in df.collect():
+        law = np.cumsum(np.exp((r["a"] - 1) * np.log(x) + (r["b"] - 1) * np.log1p(-x)))
+        low, high = x[np.searchsorted(law, [0.05 * law[-1], 0.95 * law[-1]])]
+        assert abs(r["low"] - low) < 0.01 and abs(r["high"] - high) < 0.03, r
+
+
+def test_reputation_decides_on_a_driver_table(spark, sf):
+    """The driver's hosts are all alike; where one of them is made worse, its pages are blocked, and no other's are."""
+    pages, labels = (spark.read.parquet(f"{sf.replace('0.001', '0.1')}/{t}.parquet") for t in ("pages", "labels"))
+    host = pages.select(url_reputation.host_and_path(F.col("url"))[0].alias("host")).where("host LIKE '%example.org' AND host NOT LIKE '%/fr/%'").groupBy("host").count().orderBy(F.desc("count"), "host").first()["host"]
+    number = F.regexp_extract("url", r"/(\d+)(?:\.[a-z]+)?/?(?:[?#].*)?$", 1)
+    own = pages.where(F.contains("url", F.lit(f"://{host}/"))).select(number.cast("long").alias("doc_id"), F.lit(0).alias("quality"), F.lit(1).alias("toxic"))
+    plain = url_reputation.judge_urls(pages, labels).where("rule IS NULL")
+    assert plain.where("verdict = 'block'").isEmpty()
+    worse = url_reputation.judge_urls(pages, labels.select("doc_id", "quality", "toxic").union(own)).where("rule IS NULL")
+    blocked = {r["host"] for r in worse.where("verdict = 'block'").select("host").distinct().collect()}
+    assert host in blocked and len(blocked) <= 3
 
 
 BASE = {"assign": r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", "access": "AKIA[A-Z0-9]+", "hex": "[0-9a-f]+"}

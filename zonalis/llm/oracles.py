@@ -28,7 +28,7 @@ b AS (SELECT *, string_split(regexp_replace(host, ':[0-9]*$', ''), '.') AS l FRO
 d AS (SELECT *, array_to_string(l[-2:], '.') AS two FROM b),
 h AS (SELECT page_id, host, path, CASE WHEN two IN ({_SUFFIXES}) THEN two ELSE l[-1] END AS suffix, CASE WHEN two IN ({_SUFFIXES}) THEN array_to_string(l[-3:], '.') ELSE two END AS domain FROM d),
 known AS (SELECT doc_id, max(CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
-seen AS (SELECT host, suffix, domain, bad FROM h JOIN known ON known.doc_id = try_cast(nullif(regexp_extract(path, '/([0-9]{{1,18}})(?:\\.[a-z]+)?$', 1), '') AS BIGINT)),
+seen AS (SELECT host, suffix, domain, bad FROM h JOIN known ON known.doc_id = try_cast(nullif(regexp_extract(path, '/([0-9]{{1,18}})(?:\\.[a-z]+)?/?$', 1), '') AS BIGINT)),
 ch AS (SELECT host, suffix, domain, count(*) AS n, sum(bad) AS bad FROM seen GROUP BY ALL), cd AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM ch GROUP BY ALL),
 o AS (SELECT (coalesce(sum(bad), 0) + 1.0) / (coalesce(sum(n), 0) + 2) AS p FROM ch),
 cs AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT p FROM o) AS prior FROM cd GROUP BY suffix), {_shrunk("s", "cs", "suffix")},
@@ -36,8 +36,10 @@ pd AS (SELECT domain, suffix, cd.n, cd.bad, s.mean AS prior FROM cd JOIN s USING
 ph AS (SELECT host, ch.n, ch.bad, dm.mean AS prior FROM ch JOIN dm USING (domain)), {_shrunk("hm", "ph", "host")},
 e AS (SELECT page_id, h.host, path, coalesce(hm.bad, 0) + (SELECT m FROM hm_m) * coalesce(dm.mean, s.mean, (SELECT p FROM o)) AS a, coalesce(hm.n - hm.bad, 0) + (SELECT m FROM hm_m) * (1 - coalesce(dm.mean, s.mean, (SELECT p FROM o))) AS c
   FROM h LEFT JOIN s USING (suffix) LEFT JOIN dm ON dm.domain = h.domain LEFT JOIN hm ON hm.host = h.host),
-f AS (SELECT *, a / (a + c) AS rate FROM e)
-SELECT page_id, host, path, {_RULE} AS rule, coalesce({_VERDICT}, CASE WHEN rate - 1.645 * sqrt(rate * (1 - rate) / (a + c + 1)) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict, round(rate, 6) AS bad_rate FROM f"""
+f AS (SELECT *, a / (a + c) AS rate, 1 - 1 / (9 * a) AS p, 1 - 1 / (9 * c) AS q, 1 / (9 * a) AS u, 1 / (9 * c) AS w FROM e),
+g AS (SELECT *, greatest(q * q - 1.645 * 1.645 * w, 1e-9) AS lead FROM f),
+r AS (SELECT *, a / c * pow(greatest((p * q - sqrt(greatest(p * p * q * q - lead * (p * p - 1.645 * 1.645 * u), 0))) / lead, 0), 3) AS odds FROM g)
+SELECT page_id, host, path, {_RULE} AS rule, coalesce({_VERDICT}, CASE WHEN odds / (1 + odds) > 1.5 * (SELECT p FROM o) THEN 'block' ELSE 'allow' END) AS verdict, round(rate, 6) AS bad_rate FROM r"""
 
 NEAR = f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, x FROM (SELECT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS x FROM w)),

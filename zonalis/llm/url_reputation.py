@@ -53,8 +53,18 @@ def _shrink(child: DataFrame, parent: DataFrame | None, key: str, up: str | None
     return df.withColumn("strength", F.lit(strength)).withColumn("mean", (F.col("bad") + F.lit(strength) * F.col("prior")) / (F.col("n") + F.lit(strength)))
 
 
+def beta_quantile(a: Column, b: Column, z: float) -> Column:
+    """About the quantile of a beta law at the normal deviate z: the cube root of a gamma variable is nearly normal (Wilson and Hilferty), so that of a ratio of two solves a quadratic. Never under 0."""
+    p, q, c, d = 1 - 1 / (9 * a), 1 - 1 / (9 * b), 1 / (9 * a), 1 / (9 * b)
+    lead = F.greatest(q * q - z * z * d, F.lit(1e-9))
+    root = F.sqrt(F.greatest(p * p * q * q - lead * (p * p - z * z * c), F.lit(0.0)))
+    ratio = F.greatest((p * q + (root if z > 0 else -root)) / lead, F.lit(0.0))
+    odds = a / b * F.pow(ratio, 3)
+    return odds / (1 + odds)
+
+
 def reputation(hosts: DataFrame, outcomes: DataFrame, z: float = 1.645) -> DataFrame:
-    """hosts (host, suffix, domain) with bad_rate and lower: the posterior mean of the share of bad pages and a lower bound z deviations below it.
+    """hosts (host, suffix, domain) with bad_rate, lower and overall: the posterior mean of the share of bad pages, a bound that the posterior exceeds with the chance that z stands for (0.95), and the share of all labelled pages.
 
     outcomes: (host, suffix, domain, bad 0/1), one row per labelled page. Counts add up from host to domain to suffix with partial sums.
     Hosts without labelled pages take their domain's mean, domains without take their suffix's, suffixes without the overall rate.
@@ -73,26 +83,27 @@ def reputation(hosts: DataFrame, outcomes: DataFrame, z: float = 1.645) -> DataF
     prior = F.coalesce("d_mean", "s_mean", F.lit(overall))
     a, b = F.coalesce("bad", F.lit(0)) + m * prior, F.coalesce(F.col("n") - F.col("bad"), F.lit(0)) + m * (1 - prior)
     rate = a / (a + b)
-    return df.select("host", rate.alias("bad_rate"), (rate - z * F.sqrt(rate * (1 - rate) / (a + b + 1))).alias("lower"))
+    return df.select("host", rate.alias("bad_rate"), beta_quantile(a, b, -z).alias("lower"), F.lit(float(overall)).alias("overall"))
 
 
-def judge_urls(pages: DataFrame, labels: DataFrame, rules=RULES, most_bad: float = 0.5, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """(page_id, host, path, rule, verdict, bad_rate). Pages no rule fits are blocked if even the lower posterior bound of their host's share of bad pages exceeds most_bad.
+def judge_urls(pages: DataFrame, labels: DataFrame, rules=RULES, times: float = 1.5, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """(page_id, host, path, rule, verdict, bad_rate). Pages no rule fits are blocked if even the lower posterior bound of their host's share of bad pages exceeds `times` that of all pages.
 
-    labels: (doc_id, quality, toxic). A page's outcome is the label of the document whose number ends its path (bad: toxic, or of quality 0);
-    a document with several labels counts as bad if any says so. Null urls have empty host and path and the overall rate. Repeated rows keep a row each.
+    labels: (doc_id, quality, toxic). A page's outcome is the label of the document whose number ends its path, a suffix or a slash aside (bad: toxic, or of quality 0);
+    a document with several labels counts as bad if any says so. Null and empty urls have empty host and path and the overall rate; without labels every host has the overall rate
+    and none is blocked. Null ids and repeated rows keep a row each; an empty table gives an empty result; other columns aren't read.
     """
     host, path = host_and_path(F.col(url_col))
     urls = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     suffix, domain = suffix_and_domain(F.col("host"))
     bad = F.max(F.when((F.col("toxic") == 1) | (F.col("quality") == 0), 1).otherwise(0))
     known = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(bad.alias("bad"))
-    number = F.regexp_extract("path", r"/(\d{1,18})(?:\.[a-z]+)?$", 1)
+    number = F.regexp_extract("path", r"/(\d{1,18})(?:\.[a-z]+)?/?$", 1)
     named = urls.withColumn("doc_id", F.when(number != "", number.cast("long"))).where("doc_id IS NOT NULL")
     outcomes = named.join(known, "doc_id").select("host", suffix.alias("suffix"), domain.alias("domain"), "bad")
     hosts = written(urls.groupBy("host").agg(F.count(F.lit(1)).alias("pages")), "all_hosts")
     n = hosts.count()
     scored = written(reputation(hosts.select("host", suffix.alias("suffix"), domain.alias("domain")), outcomes), "reputation")
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
-    by_method = F.when(F.col("lower") > most_bad, "block").otherwise("allow")
+    by_method = F.when(F.col("lower") > times * F.col("overall"), "block").otherwise("allow")
     return urls.join(small_side(scored, n), "host", "left").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, by_method).alias("verdict"), F.round("bad_rate", 6).alias("bad_rate"))
