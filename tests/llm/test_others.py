@@ -88,6 +88,76 @@ def test_inverse_transform_and_shots():
     assert media_avi.shots(shares) == [(0, 6), (6, 12)]
 
 
+def picture(spark, height, width, seed=3):
+    """A smooth colour picture, and JPEG bytes of it from the Java runtime's own writer."""
+    import numpy as np
+
+    y, x = np.mgrid[:height, :width]
+    rgb = np.stack([128 + 80 * np.sin((x + seed) / 9), 120 + 70 * np.cos(y / 11), 90 + 60 * np.sin((x + y) / 13)], axis=2).astype(np.uint8)
+    jvm = spark.sparkContext._jvm
+    image = jvm.java.awt.image.BufferedImage(width, height, 1)
+    for j in range(height):
+        for i in range(width):
+            image.setRGB(i, j, int(rgb[j, i, 0]) << 16 | int(rgb[j, i, 1]) << 8 | int(rgb[j, i, 2]))
+    out = jvm.java.io.ByteArrayOutputStream()
+    assert jvm.javax.imageio.ImageIO.write(image, "jpg", out)
+    return rgb, bytes(out.toByteArray())
+
+
+def brightness(jpeg, height, width, unit):
+    import numpy as np
+
+    coefs, quant, _ = media_avi.decode_frame(jpeg)
+    blocks = np.clip((coefs * quant).astype(np.float32) @ media_avi.INVERSE + 128, 0, 255).reshape(-1, 8, 8)
+    across, down = -(-width // unit) * unit // 8, -(-height // unit) * unit // 8
+    return blocks.reshape(down, across, 8, 8).transpose(0, 2, 1, 3).reshape(8 * down, 8 * across)[:height, :width]
+
+
+def without(jpeg, marker):
+    at = 2
+    while jpeg[at + 1] != marker:
+        at += 2 + int.from_bytes(jpeg[at + 2 : at + 4], "big")
+    return jpeg[:at] + jpeg[at + 2 + int.from_bytes(jpeg[at + 2 : at + 4], "big") :]
+
+
+def test_frames_of_another_writer(spark):
+    """Three components of different sampling; with and without tables of codes, as motion JPEG has them."""
+    import numpy as np
+
+    rgb, jpeg = picture(spark, 40, 53)
+    want = rgb @ np.array([0.299, 0.587, 0.114])
+    at = jpeg.index(b"\xff\xc0")
+    unit = 8 * max(jpeg[at + 11 + 3 * k] >> 4 for k in range(3))
+    assert jpeg[at + 9] == 3
+    got = brightness(jpeg, 40, 53, unit)
+    assert np.abs(got - want).mean() < 4 and np.abs(got - want).max() < 30
+    bare = jpeg
+    while b"\xff\xc4" in bare[: bare.index(b"\xff\xda")]:
+        bare = without(bare, 0xC4)
+    assert len(bare) < len(jpeg) and np.array_equal(brightness(bare, 40, 53, unit), got)
+    with pytest.raises(ValueError):
+        media_avi.decode_frame(jpeg.replace(b"\xff\xc0", b"\xff\xc2", 1))
+
+
+def test_bad_files_are_told(spark):
+    good = media_avi.encode_avi(b"x" * 64)
+    files = [good, None, b"", b"RIFF", good[:200], good.replace(b"idx1", b"idx2"), good.replace(b"\xff\xc0", b"\xff\xc2"), os.urandom(500)]
+    df = spark.createDataFrame([(i, 64, f) for i, f in enumerate(files)], "doc_id long, n_bytes long, media binary")
+    got = {r["doc_id"]: r for r in media_avi.read_media(df).collect()}
+    assert got[0]["problem"] is None and got[0]["payload_bytes"] == 64
+    assert all(got[i]["problem"] and got[i]["payload_sha256"] is None for i in range(1, len(files)))
+    assert media_avi.read_media(df.limit(0)).count() == 0
+
+
+def test_clip_rows(spark):
+    """Eight frames of zeros, then eight of other bytes: two clips, whose times follow from the frames'."""
+    size = media_avi.PER_FRAME
+    payload = bytes([255]) * (8 * size) + b"".join(bytes((37 * k + j) % 256 for j in range(size)) for k in range(8))
+    df = spark.createDataFrame([(5, len(payload), media_avi.encode_avi(payload)), (6, 0, b"no film")], "doc_id long, n_bytes long, media binary")
+    clips = sorted(tuple(r) for r in media_avi.clip_rows(media_avi.read_media(df)).collect())
+    assert clips[0] == (5, 0, 0, 8, 0.0, 0.32) and clips[1][:3] == (5, 1, 8) and clips[-1][3] == 16 and {c[0] for c in clips} == {5}
+
+
 def test_encoder_is_the_tokenizer():
     import numpy as np
     import public_tokenizers
