@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonalis.llm.shared import written
+from zonalis.llm.shared import forget, written
 
 
 def _follow(parent: DataFrame) -> DataFrame:
@@ -26,8 +26,11 @@ def components(links: DataFrame) -> DataFrame:
         ends = left.union(left.select("b", "a"))
         parent = written(ends.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("p")).select("v", F.least("v", "p").alias("p")), "parents")
         root = written(_follow(_follow(parent)), "roots")
-        labels = written(labels.join(root.withColumnRenamed("v", "c"), "c", "left").select("v", F.coalesce("p", "c").alias("c")), "labels")
+        before, labels = labels, written(labels.join(root.withColumnRenamed("v", "c"), "c", "left").select("v", F.coalesce("p", "c").alias("c")), "labels")
         a, b = root.select(F.col("v").alias("a"), F.col("p").alias("ra")), root.select(F.col("v").alias("b"), F.col("p").alias("rb"))
-        left = left.join(a, "a").join(b, "b").where("ra <> rb")
-        left = written(left.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "links")
+        rest = left.join(a, "a").join(b, "b").where("ra <> rb")
+        rest = written(rest.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "links")
+        forget(left, parent, root, before)
+        left = rest
+    forget(left)
     return labels

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from zonalis.llm.components import components
 from zonalis.llm.nodes import labelled, leaves, links_within
-from zonalis.llm.shared import numbered, text_or_empty, written
+from zonalis.llm.shared import forget, numbered, text_or_empty, written
 from zonalis.llm.shingles import MinHash, shingle_sets
 
 #: Places of a signature; how many of them a branch takes; trees; weight of a small node; how deep a tree grows.
@@ -134,6 +134,8 @@ def linked_documents(docs: DataFrame, size: int = 4, share: tuple[int, int] = (8
     new = written(links_within(held, "text", _same_places, LEAST_AGREEING, lambda t: list(shingle_sets(t, size)), lambda p, q: _alike(p, q, share)), "links1")
     if not new.isEmpty():
         labels = components(links.union(new))
+    labels = written(labels, "labels")
+    forget(nodes, members, texts, links, new)
 
     named = classes.select("mark", "v").join(labels, "v", "left").select("mark", F.coalesce("c", "v").alias("c"))
     out = table.select("doc_id", "n_shingles", "mark").join(named, "mark", "left")

@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,9 +19,12 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share; where that is unset (a local session), a temporary one."""
+    """A new folder under spark.checkpoint.dir, which driver and executors share. Where that is unset, a temporary one in a local session; on a cluster an error, since executors would not see it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="zonalis-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
@@ -31,7 +35,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: computed once, lineage cut, readable after an executor is lost."""
     path = f"{work_folder(df.sparkSession)}/{name}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+#: Where tables that written made lie, while they are in use.
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes the files of written tables that nothing will read again; other tables are left alone."""
+    for t in tables:
+        if path := _PATHS.pop(t, None):
+            where = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(where.getParent(), True)
 
 
 def numbered(df: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonalis.llm.shared import text_or_empty, work_folder, written
+from zonalis.llm.shared import small_side, text_or_empty, work_folder, written
 
 #: Fixed values of the format.
 END = "\r\n"
@@ -31,20 +31,21 @@ def resolve_revisits(pages: DataFrame, least_bytes: int = 1000, id_col: str = "p
     """(page_id, url, payload, payload_bytes, payload_digest, original_id, original_url): original_* name the record that holds the payload, for records that revisit it, else null.
 
     Of records with equal payloads of at least least_bytes, the one with the largest id is the original (its exact repetitions are originals too; null ids are smallest).
-    Only headers are grouped by digest, with partial maxima before the shuffle; a digest that many records share is split by the adaptive skew join.
+    Only headers are grouped by digest, with partial maxima before the shuffle. The digests that stand more than once are joined without moving payloads as long as they
+    are few; else a digest that many records share is split by the adaptive skew join. Null payloads are empty, null urls stay null.
     """
     payload = text_or_empty(payload_col)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.regexp_replace(F.col(url_col).cast("string"), r"[\r\n]+", " ").alias("url"), payload.alias("payload"), F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha1(payload).alias("payload_digest"))
     long = F.col("payload_bytes") >= least_bytes
     groups = rows.where(long).groupBy("payload_digest").agg(F.max(F.struct("page_id", "url")).alias("original"), F.count(F.lit(1)).alias("n"))
-    many = groups.where("n > 1").select(F.col("payload_digest").alias("digest"), F.col("original.page_id").alias("_id"), F.col("original.url").alias("_url"))
-    joined = rows.join(many, long & (F.col("payload_digest") == F.col("digest")), "left")
+    many = written(groups.where("n > 1").select(F.col("payload_digest").alias("digest"), F.col("original.page_id").alias("_id"), F.col("original.url").alias("_url")), "originals")
+    joined = rows.join(small_side(many, many.count()), long & (F.col("payload_digest") == F.col("digest")), "left")
     revisit = F.col("digest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_id"))
     return joined.select(*rows.columns, revisit.alias("is_revisit"), F.when(revisit, F.col("_id")).alias("original_id"), F.when(revisit, F.col("_url")).alias("original_url"))
 
 
-def write_archives(resolved: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", records_per_file: int = 2000) -> None:
-    """WARC 1.1 records of resolve_revisits, gzipped. Spark's text writer ends every record with the blank lines that the format wants, and its committer makes the files survive lost executors."""
+def write_archives(resolved: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", file_bytes: int = 1 << 24, mean_bytes: float | None = None) -> None:
+    """WARC 1.1 records of resolve_revisits, gzipped, in files of about file_bytes before compression, by the mean size of a payload. Spark's text writer ends every record with the blank lines that the format wants, and its committer makes the files survive lost executors."""
     line = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), value, F.lit(END))).otherwise("")
     plain = lambda name, value: F.lit(f"{name}: {value}{END}")
     wrapped = lambda value: F.concat(F.lit("<"), value, F.lit(">"))
@@ -53,8 +54,9 @@ def write_archives(resolved: DataFrame, path: str, date: str = "2024-01-01T00:00
     length = F.octet_length("payload") + F.lit(len(HTTP.encode()))
     response = F.concat(F.lit(f"WARC/1.1{END}WARC-Type: response{END}"), *shared, plain("Content-Type", "application/http; msgtype=response"), line("Content-Length", length.cast("string")), F.lit(END + HTTP), F.col("payload"))
     revisit = F.concat(F.lit(f"WARC/1.1{END}WARC-Type: revisit{END}"), *shared, plain("WARC-Profile", PROFILE), line("WARC-Refers-To", wrapped(original)), line("WARC-Refers-To-Target-URI", F.col("original_url")), plain("Content-Length", 0), F.lit(END))
+    mean = resolved.agg(F.avg("payload_bytes")).first()[0] or 0.0 if mean_bytes is None else mean_bytes
     records = resolved.select(F.when(F.col("is_revisit"), revisit).otherwise(response).alias("value"))
-    records.write.option("lineSep", BETWEEN).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    records.write.option("lineSep", BETWEEN).option("compression", "gzip").option("maxRecordsPerFile", max(1, int(file_bytes / (mean + 600)))).text(path)
 
 
 def parse_records(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -104,8 +106,9 @@ def resolved_records(records: DataFrame) -> DataFrame:
 
 
 def revisit_report(pages: DataFrame) -> DataFrame:
-    """Writes the archives of all pages, reads them back and resolves the revisits. Null html is an empty payload; an empty table gives an empty result."""
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to), a row for each page: writes the archives of all pages, reads them back and resolves the revisits. Null html is an empty payload; null ids are the smallest; repeated rows keep a row each; an empty table gives an empty result."""
     spark = pages.sparkSession
     path = f"{work_folder(spark)}/warc"
-    write_archives(resolve_revisits(pages), path)
+    mean = pages.agg(F.avg(F.octet_length(text_or_empty("html")))).first()[0] or 0.0
+    write_archives(resolve_revisits(pages.select("page_id", "url", "html")), path, mean_bytes=mean)
     return resolved_records(written(read_archives(spark, path), "records"))
