@@ -275,6 +275,123 @@ def test_secret_report(spark):
     assert (got[2]["n_hex"], got[2]["base_sha256"]) == (0, hashlib.sha256(b"").hexdigest())
 
 
+def test_many_matches_and_empty_tables(spark):
+    """More matches than are gathered at once, in one text; no documents, no labels."""
+    text = "é " + " ".join(f"token={k:08d} deadbeef{k:032x}" for k in range(700))
+    docs = spark.createDataFrame([(1, text), (1, text), (None, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    got = secrets.scan_secrets(docs, secrets.train(secrets.random_samples(spark, 50))).collect()
+    for r in got:
+        assert [(s["start"], s["order"], s["kind"], s["end"]) for s in r["_base"]] == (base_spans(text) if r["doc_id"] else [])
+    assert len(base_spans(text)) == 1400 and len(got) == 3
+    assert secrets.secret_report(docs.limit(0), labels.limit(0)).count() == 0
+    assert secrets.secret_report(docs, labels.limit(0)).count() == 3
+
+
+def test_markov_spans(spark):
+    """Every token's ratio by counting pairs in Python; those at the threshold or over, which no base span overlaps, are the method's."""
+    prose = spark.createDataFrame([(i, "reading writing station manager internal ordinary function value meadow " * 3) for i in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    samples = secrets.random_samples(spark, 300).union(secrets.identifier_samples(prose, labels))
+    table = secrets.train(samples)
+    counts = {True: Counter(), False: Counter()}
+    for r in samples.collect():
+        if re.fullmatch(r"[\x21-\x7E]+", r["token"]):
+            counts[r["is_random"]].update(zip("\x01" + r["token"], r["token"], strict=False))
+    after = {k: Counter() for k in counts}
+    for k, c in counts.items():
+        for (a, _), n in c.items():
+            after[k][a] += n
+    chance = lambda k, a, b: (counts[k][a, b] + 0.5) / (after[k][a] + 0.5 * 95)
+    ratio = lambda t: sum(round(math.log(chance(True, a, b) / chance(False, a, b)), 4) for a, b in zip("\x01" + t, t, strict=False))
+    texts = [" ".join(hashlib.md5(str(k * 7 + j).encode()).hexdigest().upper()[: 14 + j] + f" stationreadingmanager{'x' * j} password={'Ab1' * (j + 1)}" for j in range(8)) for k in range(20)]
+    got = secrets.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), table).collect()
+    some = 0
+    for r in got:
+        text = texts[r["doc_id"]]
+        base = base_spans(text)
+        want = [(m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", text) if not any(s < m.end() and m.start() < e for s, _, _, e in base) and ratio(m[0]) >= 15.0]
+        assert [(s["start"], s["end"]) for s in r["spans"] if s["kind"] == "markov"] == want
+        some += len(want)
+    assert some > 20
+
+
+def test_robust_estimate_against_numpy(spark):
+    """Concentration steps from both starts in numpy, with exact quantiles: nearly the same estimate, though a third of the rows lie elsewhere."""
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(900, 4)) * [0.5, 0.2, 0.3, 0.4] + [3, 1, 0, 0]
+    x[:200] = rng.normal(size=(200, 4)) * 0.1 + [9, 4, 3, 3]
+    df = spark.createDataFrame([("g", *map(float, r)) for r in x], "k string, " + ", ".join(f"{n} double" for n in quality.NAMES))
+    fit, n = quality.fit_mcd(df, ["k"])
+    assert n == 1
+    ridge = np.diag([quality.FEATURES[c] ** 2 for c in quality.NAMES])
+    best = None
+    for start in range(2):
+        m = np.median(x, 0) if start == 0 else x.mean(0)
+        cov = np.diag((np.subtract(*np.percentile(x, [75, 25], axis=0)) / 1.349) ** 2) + ridge if start == 0 else np.cov(x.T, bias=True) + ridge
+        last = np.inf
+        for _ in range(30):
+            d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(cov), x - m)
+            near = x[d <= np.quantile(d, 0.75)]
+            m, cov = near.mean(0), np.cov(near.T, bias=True) + ridge
+            det = np.linalg.slogdet(cov)[1]
+            if last - det <= 1e-3:
+                break
+            last = det
+        if best is None or det < best[0]:
+            best = det, m, cov
+    r = fit.first()
+    assert np.allclose([r[f"m_{c}"] for c in quality.NAMES], best[1], atol=0.03)
+    low = np.array([[r[f"l_{a}_{b}"] if j <= i else 0.0 for j, b in enumerate(quality.NAMES)] for i, a in enumerate(quality.NAMES)])
+    assert np.allclose(low @ low.T, best[2], atol=0.03) and abs(r["m_log_words"] - 3) < 0.1
+
+
+def test_kept_against_numpy(spark):
+    """The verdict of every document that passes the base rules, from the statistics and the estimate by numpy."""
+    import numpy as np
+
+    rows = [r for r in helpers.odd_documents() if r[0] is not None]
+    out = quality.judged(helpers.frame(spark, rows), least_rows=5).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        far = r["_distance"] is not None and r["_distance"] > 75.0
+        assert r["_kept"] == (not r["_base_failed"] and not far)
+    assert not {"_n_words", "_kept"} & set(helpers.frame(spark, rows).columns)
+    clash = helpers.frame(spark, rows).withColumn("_n_words", F.lit("mine")).withColumn("_lang_", F.lit(1)).withColumn("w", F.lit(2)).withColumn("in", F.lit(3))
+    again = quality.judged(clash, least_rows=5)
+    assert sorted((r["_n_words"], r["_kept"]) for r in again.collect()) == sorted((r["_n_words"], r["_kept"]) for r in out) and {"_lang_", "w", "in"} <= set(again.columns)
+    few = quality.judged(helpers.frame(spark, rows[:6]), least_rows=30)
+    assert few.count() == 6 and few.where("NOT _base_failed AND NOT _kept").isEmpty()
+
+
+def test_mixing_clashing_columns_and_many_sources(spark):
+    docs = helpers.frame(spark).select("*", F.lit(7).alias("_size"), F.lit(8).alias("place"), F.lit(9).alias("block"), F.lit(1).alias("skey"))
+    mixed = mixing.mix_sources(docs)
+    assert mixed.where("place <> 8 OR block <> 9 OR skey <> 1").isEmpty() and mixed.count() == len(helpers.odd_documents())
+    many = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("w "), F.col("id").cast("string")).alias("text"), F.when(F.col("id") > 0, F.concat(F.lit("s"), F.col("id").cast("string"))).alias("source"))
+    names = sorted((f"s{i}" for i in range(1, 3000)))
+    place = {s: i for i, s in enumerate([*names, None])}
+    got = mixing.targets(many.groupBy("source").agg(F.lit(2).alias("source_size")).withColumn("skey", mixing._key("source")), (5, 2, 1), 3).collect()
+    assert len(got) == 3000
+    level = 6000 / (5 * 1000 + 2 * 1000 + 1000)
+    for r in got:
+        assert math.isclose(r["target"], min((5, 2, 1)[place[r["source"]] % 3] * level, 6))
+
+
+def test_sharding_refines(spark):
+    """The same cuts whether sums are taken by few coarse ranges, many times refined, or at once."""
+    rows = [(i, f"text {i % 97} " * (i % 9 + 1), "en", "a", 1, 1, "x", 0.5) for i in range(400)]
+    text = F.coalesce("text", F.lit(""))
+    keyed = helpers.frame(spark, rows).select(F.xxhash64(text).alias("key"), (F.octet_length(text) + 1).cast("long").alias("size")).cache()
+    sizes = [r["s"] for r in keyed.groupBy("key").agg(F.sum("size").alias("s")).orderBy("key").collect()]
+    for bits in (1, 2, 5):
+        cuts = sharding.minimax_cuts(keyed, 7, coarse_bits=bits, fine_bits=2)
+        held = [r["s"] for r in keyed.groupBy(sharding.shard_of(F.col("key"), cuts).alias("shard")).agg(F.sum("size").alias("s")).collect()]
+        assert max(held) == best_capacity(sizes, 7), bits
+
+
 def test_held_out_accuracy(spark):
     """Random strings of other counters, and pairs of other words."""
     prose = spark.createDataFrame([(i, "reading writing station manager internal ordinary function meadow winter harbour letter number garden paper silver window " * 2) for i in range(30)], "doc_id long, text string")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from zonalis.llm.shared import WORD, small_side, text_or_empty, written
+from zonalis.llm.sharding import slots
 
 ALL = 2**63 - 1
 
@@ -16,33 +17,45 @@ def _key(source: str) -> Column:
     return F.when(F.col(source).isNull(), "n").otherwise(F.concat(F.lit("s"), F.col(source).cast("string")))
 
 
+def in_order(df: DataFrame, column: str) -> DataFrame:
+    """df, written, with _place: each row's place from 0 in the order of the column, nulls last. Ranges of the column are numbered apart and then shifted, so no task orders the whole table."""
+    dealt = written(df.repartitionByRange(F.col(column).asc_nulls_last()).withColumn("_part", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))  # a row for each range
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(F.col(column).asc_nulls_last())) - 1
+    return dealt.withColumn("_place", inside).join(F.broadcast(shift), "_part").withColumn("_place", F.col("_place") + F.col("_before")).drop("_part", "_before")
+
+
 def targets(sizes: DataFrame, weights: tuple[float, ...], cap: float) -> DataFrame:
     """(skey, source, source_size) with target: the total shared by weights that repeat over the sources in code point order, null last; no target above cap times its size, the excess reshared.
 
-    Sources are few beside documents, so ordering them all in one window is cheap. The fixed point of the resharing is found in closed form:
-    in order of cap*size/weight the capped sources come first, and the rest divide what is left by weight.
+    Resharing is a loop of sums: what is left is shared by weight among the sources not yet at their cap; those that it would carry beyond it stop there, until none does.
+    Its rounds are as many as there are steps of capping, and only two sums reach the driver in each.
     """
-    by_name, by_room = Window.orderBy(F.col("source").asc_nulls_last()), Window.orderBy("room", "skey")
-    before = by_room.rowsBetween(Window.unboundedPreceding, -1)
-    all_rows = Window.partitionBy()
     cycle = F.array(*[F.lit(float(w)) for w in weights])
-    weighed = sizes.withColumn("weight", F.get(cycle, (F.row_number().over(by_name) - 1) % len(weights))).withColumn("most", F.lit(float(cap)) * F.col("source_size"))
-    shared = weighed.withColumn("room", F.col("most") / F.col("weight")).withColumn(
-        "level",
-        (F.sum("source_size").over(all_rows) - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / (F.sum("weight").over(all_rows) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))),
-    )
-    level = F.min(F.when(F.col("room") >= F.col("level"), F.struct("room", "level"))).over(all_rows)["level"]
-    return shared.withColumn("target", F.least(F.coalesce(level, F.lit(0.0)) * F.col("weight"), F.col("most"))).select("skey", "source", "source_size", "target")
+    weighed = in_order(sizes, "source").withColumn("weight", F.get(cycle, F.pmod("_place", F.lit(len(weights))).cast("int"))).withColumn("most", F.lit(float(cap)) * F.col("source_size"))
+    weighed = written(weighed.select("skey", "source", "source_size", "weight", "most"), "weighed")
+    total = float(weighed.agg(F.sum("source_size")).first()[0] or 0)
+    level = 0.0
+    while True:
+        free = F.col("most") > F.lit(level) * F.col("weight")
+        got = weighed.agg(F.sum(F.when(~free, F.col("most"))).alias("full"), F.sum(F.when(free, F.col("weight"))).alias("w")).first()
+        share = (total - (got["full"] or 0.0)) / got["w"] if got["w"] else level
+        if share <= level or not got["w"]:
+            break
+        level = share
+    full = F.lit(level) * F.col("weight")
+    return weighed.withColumn("target", F.least(full, F.col("most"))).select("skey", "source", "source_size", "target")
 
 
 def _split_tree(draws: DataFrame, depth: int, seed: int) -> DataFrame:
-    """Each block draw's shard. At every node a random order of its draws sends the first half left and the rest right, so the halves' source counts follow the multivariate hypergeometric law and every quota is kept exactly."""
+    """Each block draw's shard. At every node a random order of its draws sends the first half left and the rest right, so the halves' source counts follow the multivariate hypergeometric law and every quota is kept exactly. The order is dealt into parts, which are numbered apart."""
     out = draws.withColumn("shard", F.lit(0))
     for level in range(depth):
-        order = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed), F.lit(level), "skey", "block", "turn"), "skey", "block", "turn")
-        half = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("shard")) / 2)
-        out = out.withColumn("_rank", F.row_number().over(order)).withColumn("_half", half)
-        out = out.withColumn("shard", F.col("shard") * 2 + F.when(F.col("_rank") > F.col("_half"), 1).otherwise(0)).drop("_rank", "_half")
+        mixed = out.withColumn("_h", F.xxhash64(F.lit(seed), F.lit(level), "skey", "block", "turn"))
+        half = mixed.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / 2).alias("_half"))  # 2**level rows
+        placed = slots(mixed, "shard", F.xxhash64("_h", F.lit(9)), ["_h", "skey", "block", "turn"]).join(F.broadcast(half), "shard")
+        out = written(placed.withColumn("shard", F.col("shard") * 2 + F.when(F.col("slot") >= F.col("_half"), 1).otherwise(0)).select("skey", "block", "turn", "shard"), f"split{level}")
     return out
 
 
@@ -90,30 +103,35 @@ def plan_mix(sized: DataFrame, weights: tuple[float, ...], cap: float, depth: in
     return out, out.count()
 
 
+RESULT = ("_size", "_source_size", "_target", "_copies", "_shards")
+
+
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3, depth: int = 4, blocks: int = 256, seed: int = 20, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """docs with _size, _source_size, _target, _copies (how often the mix takes the document) and _shards (2**depth output shards, one for each copy).
+    """docs with _size, _source_size, _target, _copies (how often the mix takes the document) and _shards (2**depth output shards, one for each copy); columns of those names that docs already has give way.
 
-    Null texts have size 0, a null source is a source of its own; sources without words get target 0. The same table gives the same mix.
+    Null and empty texts have size 0, a null source is a source of its own; sources without words get target 0. The same table gives the same mix.
     Equal rows (same id, text and source) share a place and are drawn together. An empty table gives an empty mix.
     """
     cols = _columns(docs, blocks, seed, id_col, text_col, source_col)
     sized = written(docs.select(F.col(source_col).cast("string").alias("source"), *[c.alias(k) for k, c in cols.items()]), "sized")
     plan, n = plan_mix(sized, weights, cap, depth, seed)
-    plan = plan.select(*[F.col(c).alias(f"_{c}") for c in plan.columns])
-    told = docs.withColumns({f"_{k}": c for k, c in cols.items() if k != "skey"}).withColumn("_skey_", cols["skey"]).withColumnRenamed("_block", "_block_")
-    joined = told.join(small_side(plan, n), (F.col("_skey_") == F.col("_skey")) & (F.col("_block_") == F.col("_block")))
-    copies = F.col("_full") + F.when(F.col("_place") <= F.col("_upto"), 1).otherwise(0)
-    joined = joined.withColumn("_copies", copies.cast("int")).withColumn("_shards", F.when(F.col("_copies") > 0, F.slice("_shards", 1, F.col("_copies"))).otherwise(F.array().cast("array<int>")))
-    return joined.select(*docs.columns, "_size", "_source_size", "_target", "_copies", "_shards")
+    keep = [c for c in docs.columns if c not in RESULT]
+    told = docs.select(F.struct(F.lit(1).alias("_one"), *[F.col(f"`{c}`") for c in keep]).alias("row"), cols["size"].alias("_size"), cols["place"].alias("place"), cols["skey"].alias("skey"), cols["block"].alias("block"))
+    joined = told.join(small_side(plan, n), ["skey", "block"])
+    copies = (F.col("full") + F.when(F.col("place") <= F.col("upto"), 1).otherwise(0)).cast("int")
+    joined = joined.withColumn("_copies", copies)
+    out = joined.select(*[F.col(f"row.`{c}`").alias(c) for c in keep], "_size", F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), "_copies", F.when(F.col("_copies") > 0, F.slice("shards", 1, F.col("_copies"))).otherwise(F.array().cast("array<int>")).alias("_shards"))
+    return out
 
 
 def mixed_rows(mixed: DataFrame, seed: int = 20, id_col: str = "doc_id") -> DataFrame:
-    """One row for each draw, with its shard, in a local random order inside each shard's files. Shards are written in pieces, so a task never holds a whole one."""
+    """One row for each draw, with its shard, in a local random order inside each shard's files. Shards are written in pieces, so a task never holds a whole one. Documents that aren't drawn have none; an empty mix has none."""
     drawn = mixed.where("_copies > 0").select("*", F.posexplode("_shards").alias("_turn", "_shard"))
     shuffle = F.xxhash64(F.lit(seed + 4), F.col(id_col), F.col("_turn"))
     return drawn.withColumn("_order", shuffle).repartition(F.col("_shard"), F.pmod(F.col("_order"), F.lit(64))).sortWithinPartitions("_shard", "_order")
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, copies, shards), a row for each row of docs: what the mix takes of it. Nulls, repeats and the empty table as mix_sources has them."""
     mixed = mix_sources(docs.select("doc_id", "text", "source"))
     return mixed.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"), F.col("_copies").alias("copies"), F.col("_shards").alias("shards"))

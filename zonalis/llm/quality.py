@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from zonalis.llm.shared import SPACE, small_side, text_or_empty, words, written
+from zonalis.llm.shared import SPACE, forget, small_side, text_or_empty, words, written
 
 WINDOW = 5
 #: The transformed statistics, and the least standard deviation each is given, so that a value shared by nearly all rows doesn't make every other value an outlier.
@@ -111,23 +111,22 @@ def fit_mcd(rows: DataFrame, group: list[str], share: float = 0.75, falls: float
     own = [*group, "_start"]
     shape = _factored(middle, group).withColumn("_start", F.lit(0)).unionByName(_factored(_moments(rows, group), group).withColumn("_start", F.lit(1)))
     shape = written(shape.withColumn("_det", F.lit(float("inf"))), "start")
-    n = shape.count()
+    n, parts = shape.count(), [c for c in shape.columns if c.startswith(("m_", "l_"))]
     for step in range(most_steps):
-        last = small_side(shape.drop("n").withColumnRenamed("_det", "_last"), n)
+        last = small_side(shape.select(*own, *parts), n)
         measured = _distance(rows.join(last, group))
         near = written(measured.groupBy(*own).agg(F.percentile_approx("d2", share, 2000).alias("edge")), f"edge{step}")
         kept = measured.join(small_side(near, n), own).where("d2 <= edge")
         found = _factored(_moments(kept, own), own).withColumn("_det", _log_determinant())
-        shape = written(found.join(small_side(shape.select(*own, F.col("_det").alias("_last")), n), own), f"shape{step}")
+        before, shape = shape, written(found.join(small_side(shape.select(*own, F.col("_det").alias("_last")), n), own), f"shape{step}")
+        forget(before, near)
         if shape.where(F.col("_last") - F.col("_det") > falls).isEmpty():
             break
-        shape = shape.drop("_last")
-    parts = [c for c in shape.columns if c.startswith(("m_", "l_"))]
     best = shape.groupBy(*group).agg(F.min_by(F.struct(*parts), F.struct("_det", "_start")).alias("s")).select(*group, "s.*")
     best = written(best, "best")
     measured = _distance(rows.join(small_side(best, n), group))
     middle = measured.groupBy(*group).agg(F.count(F.lit(1)).alias("rows"), F.percentile_approx("d2", 0.5, 2000).alias("middle"))
-    return written(best.join(middle, group), "mcd"), n
+    return written(best.join(middle, group), "mcd"), n // 2
 
 
 #: Median of the chi-square law with as many degrees of freedom as there are features, to which distances are scaled.

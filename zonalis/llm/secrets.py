@@ -16,13 +16,21 @@ KINDS = {"assign": ASSIGN, "access": "AKIA[A-Z0-9]{12,}", "hex": "[0-9a-f]{32,}"
 #: What the models judge: runs of such characters of at least this length.
 TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
 WIDTH = 128
+PIECE = 256
+
+
+def _bound(value: Column, body) -> Column:
+    """body of value, which is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def _matches(text: Column, pattern: str, kind: str, order: int) -> Column:
     """Array of (start, order, kind, end, found). A pattern's matches and the pieces between them alternate, so their lengths add up to offsets, in code points."""
     found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     pairs = F.arrays_zip(F.slice(between, 1, F.size(found)).alias("gap"), found.alias("found"))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,order:int,kind:string,end:int,found:string>>").alias("out"))
+    spans = "array<struct<start:int,order:int,kind:string,end:int,found:string>>"
+    empty = F.array().cast(spans)
+    begin = lambda at, kind: F.struct(at.alias("at"), F.array().cast(kind).alias("out"))
 
     def step(s: Column, x: Column) -> Column:
         start = s["at"] + F.length(x["gap"])
@@ -30,7 +38,14 @@ def _matches(text: Column, pattern: str, kind: str, order: int) -> Column:
         span = F.struct(start.alias("start"), F.lit(order).alias("order"), F.lit(kind).alias("kind"), end.alias("end"), x["found"].alias("found"))
         return F.struct(end.alias("at"), F.concat(s["out"], F.array(span)).alias("out"))
 
-    return F.when(text.rlike(pattern), F.aggregate(pairs, empty, step, lambda s: s["out"])).otherwise(empty["out"])
+    def piece(s: Column, k: Column) -> Column:
+        # spans are gathered PIECE at a time, for an array that grows by one is copied each time
+        got = F.aggregate(F.slice(pairs, k * PIECE + 1, F.lit(PIECE)), begin(s["at"], spans), step)
+        return _bound(got, lambda g: F.struct(g["at"].alias("at"), F.concat(s["out"], F.array(g["out"])).alias("out")))
+
+    many = F.aggregate(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / PIECE).cast("int")), begin(F.lit(0), f"array<{spans}>"), piece, lambda s: F.flatten(s["out"]))
+    few = F.aggregate(pairs, begin(F.lit(0), spans), step, lambda s: s["out"])
+    return F.when(~text.rlike(pattern), empty).when(F.size(found) <= PIECE, few).otherwise(many)
 
 
 def _characters(token: Column) -> Column:
@@ -80,7 +95,8 @@ def identifier_samples(docs: DataFrame, labels: DataFrame, most_docs: int = 1000
 def scan_secrets(docs: DataFrame, table: list[float], least_ratio: float = 15.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, spans): the base kinds' spans, and kind `markov` for tokens that no base span overlaps and whose log-likelihood ratio is at least least_ratio.
 
-    spans: array of (start, order, kind, end, found), by start, then kind. Offsets are code points of the whole text. Null text: no spans.
+    spans: array of (start, order, kind, end, found), by start, then kind. Offsets are code points of the whole text, however long. Null or empty text: no spans. Null and
+    repeated ids and equal rows keep a row each; an empty table gives an empty result; other columns aren't read.
     """
     text = text_or_empty(text_col)
     assign, access, hexes = [_matches(F.col("_text"), p, k, i) for i, (k, p) in enumerate(KINDS.items())]
@@ -95,6 +111,7 @@ def scan_secrets(docs: DataFrame, table: list[float], least_ratio: float = 15.0,
 
 
 def secret_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans), a row for each row of docs, by models trained from labels' documents of quality 1 (none: from random strings alone). Null or empty text, repeats and the empty table as scan_secrets has them."""
     table = train(random_samples(docs.sparkSession).union(identifier_samples(docs.select("doc_id", "text"), labels)))
     told = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     number = lambda kind: F.size(F.filter("_base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
