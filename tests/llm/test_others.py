@@ -391,3 +391,28 @@ def test_pipeline(spark, tmp_path):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, folder)
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == {r["doc_id"] for r in docs.select("doc_id").distinct().collect()}
     assert docs.where(F.size(F.split("text", " ")) < 10).isEmpty()
+
+
+def test_stages_of_odd_and_empty_tables(spark, tmp_path):
+    """Every stage over nulls, empty texts, repeats and clashing columns, and over no rows."""
+    import corpus_pipeline
+
+    odd = helpers.frame(spark, [*helpers.odd_documents(), *[(None, None, None, None, None, 1, "x", 0.5)] * 2]).withColumn("_row", F.lit("r")).withColumn("_gone", F.lit(1)).withColumn("place", F.lit(2))
+    rows = odd.count()
+    for name, stage in corpus_pipeline.STAGES:
+        for docs in (odd, odd.limit(0)):
+            out = stage(spark, docs, str(tmp_path))
+            n = out.count()
+            assert name == "packing" or out.columns == list(corpus_pipeline.COLUMNS), name
+            assert n == 0 if docs is not odd else n > 0, name
+            if docs is odd and name == "packing":
+                assert out.where("piece = 0").count() == rows
+            if docs is odd and name in ("line_dedup", "near_dedup"):
+                assert out.where("text IS NULL").count() == 3, name
+
+
+def test_run_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    helpers.frame(spark, []).select(*corpus_pipeline.COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
