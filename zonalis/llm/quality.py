@@ -98,11 +98,11 @@ def _log_determinant() -> Column:
     return sum((2 * F.log(f"l_{a}_{a}") for a in NAMES), F.lit(0.0))
 
 
-def fit_mcd(rows: DataFrame, group: list[str], share: float = 0.75, falls: float = 1e-3, most_steps: int = 30) -> tuple[DataFrame, int]:
+def fit_mcd(rows: DataFrame, group: list[str], share: float = 0.75, falls: float = 0.01, most_steps: int = 30) -> tuple[DataFrame, int]:
     """Per group: mean, Cholesky factor, number of rows and median squared distance of the minimum-covariance-determinant estimate; and the number of groups.
 
-    Concentration steps: keep the `share` of a group's rows that lie nearest, take their mean and covariance, measure again, until no group's log-determinant falls by
-    `falls` any more (or most_steps). They are taken from two starts, the coordinate-wise median with the quartiles' spread and the mean with the covariance of all rows,
+    Concentration steps: keep the `share` of a group's rows that lie nearest, take their mean and covariance, measure again. A group goes on, of its own, until its
+    log-determinant doesn't fall by `falls` any more (the share is found within a two-thousandth of the rows, so less would be chance), or most_steps. They are taken from two starts, the coordinate-wise median with the quartiles' spread and the mean with the covariance of all rows,
     and each group keeps the estimate of the lower determinant. Every step is an aggregate with partial sums, over all rows, so a group of any size is never in one task.
     """
     mid = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(a, [0.25, 0.5, 0.75], 2000).alias(f"q_{a}") for a in NAMES])
@@ -110,17 +110,20 @@ def fit_mcd(rows: DataFrame, group: list[str], share: float = 0.75, falls: float
     middle = mid.select(*group, "n", *[F.col(f"q_{a}")[1].alias(f"m_{a}") for a in NAMES], *[v.alias(k) for k, v in spread.items()])
     own = [*group, "_start"]
     shape = _factored(middle, group).withColumn("_start", F.lit(0)).unionByName(_factored(_moments(rows, group), group).withColumn("_start", F.lit(1)))
-    shape = written(shape.withColumn("_det", F.lit(float("inf"))), "start")
+    shape = written(shape.drop("n").withColumns({"_det": F.lit(float("inf")), "_goes_on": F.lit(True)}), "start")
     n, parts = shape.count(), [c for c in shape.columns if c.startswith(("m_", "l_"))]
     for step in range(most_steps):
-        last = small_side(shape.select(*own, *parts), n)
+        last = small_side(shape.where("_goes_on").select(*own, *parts), n)
         measured = _distance(rows.join(last, group))
         near = written(measured.groupBy(*own).agg(F.percentile_approx("d2", share, 2000).alias("edge")), f"edge{step}")
         kept = measured.join(small_side(near, n), own).where("d2 <= edge")
         found = _factored(_moments(kept, own), own).withColumn("_det", _log_determinant())
-        before, shape = shape, written(found.join(small_side(shape.select(*own, F.col("_det").alias("_last")), n), own), f"shape{step}")
+        both = shape.join(small_side(found.select(*own, F.struct(*parts, "_det").alias("_new")), n), own, "left")
+        lower = F.col("_new._det") < F.col("_det")
+        taken = [F.when(lower, F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) for c in (*parts, "_det")]
+        before, shape = shape, written(both.select(*own, *taken, F.coalesce(F.col("_new._det") < F.col("_det") - falls, F.lit(False)).alias("_goes_on")), f"shape{step}")
         forget(before, near)
-        if shape.where(F.col("_last") - F.col("_det") > falls).isEmpty():
+        if shape.where("_goes_on").isEmpty():
             break
     best = shape.groupBy(*group).agg(F.min_by(F.struct(*parts), F.struct("_det", "_start")).alias("s")).select(*group, "s.*")
     best = written(best, "best")
