@@ -344,12 +344,12 @@ def step_stage(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH p AS (SELECT event_id, user_id, {_SECONDS} AS s, (event_id - lag(event_id) OVER w) / greatest({_SECONDS} - lag({_SECONDS}) OVER w, 1e-9) AS rate, min({_SECONDS}) OVER (PARTITION BY user_id) AS began FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
-SELECT event_id, round(rate, 6) AS rate, round(s - began, 6) AS elapsed, CASE WHEN rate > 0 THEN round((2000000 - event_id) / rate, 3) END AS eta FROM p""")
+SELECT event_id, round(rate, 6) AS rate, round(s - began, 6) AS elapsed, CASE WHEN rate > 0 THEN round((2000000 - event_id) / rate, 0) END AS eta FROM p""")
 def run_progress(spark: SparkSession, sf: str) -> DataFrame:
     """Users as runs, their event numbers as steps of two million."""
     e = table(spark, sf, "events").select("event_id", "user_id", "ts")
     out = measure.progress(e, ["user_id"], "event_id", measure.epoch_seconds(F.col("ts")), F.lit(2_000_000))
-    return out.select("event_id", F.round("rate", 6).alias("rate"), F.round("elapsed", 6).alias("elapsed"), F.round("eta", 3).alias("eta"))
+    return out.select("event_id", F.round("rate", 6).alias("rate"), F.round("elapsed", 6).alias("elapsed"), F.round("eta", 0).alias("eta"))
 
 
 @query(f"""WITH g AS (SELECT i FROM range(0, 20000) r(i)), d AS (SELECT 2026 - {_D('age', 91)} AS born, {_D('expired', 10000)} < 1500 AS ended, {_D('unstated', 10000)} < 300 AS unstated, {_D('bare', 10000)} < 4500 AS bare, {_D('long', 10000)} < 800 AS long, {_D('one', 10000)} < 3500 AS one FROM g)
