@@ -143,13 +143,14 @@ def linked_documents(docs: DataFrame, size: int = 4, share: tuple[int, int] = (8
 
 
 def near_dup_report(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept), a row for each row of docs; nulls, repeats and the empty table as linked_documents has them."""
     return linked_documents(docs.select("doc_id", "text")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def one_of_each_group(docs: DataFrame, size: int = 5) -> DataFrame:
-    """docs without near-duplicates: of each component the row with the smallest id stays, null ids last, of rows of one id the first. Rows without words stay."""
-    rows = numbered(docs)
+    """docs without near-duplicates: of each component the row with the smallest id stays, null ids last, of rows of one id the first. Rows without words stay; an empty table gives an empty one. Columns may have any names."""
+    rows = numbered(docs.select("doc_id", "text", F.struct(F.lit(1).alias("_one"), *[F.col(f"`{c}`") for c in docs.columns]).alias("row")))
     linked = linked_documents(rows.select("_row", "text"), size, id_col="_row").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_c"))
     placed = written(rows.select("_row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row").alias("_place")).join(linked, "_row"), "placed")
     stays = placed.groupBy("_c").agg(F.min("_place").alias("_kept")).select(F.col("_kept._row").alias("_row"))
-    return rows.join(stays, "_row", "left_semi").select(*docs.columns)
+    return rows.join(stays, "_row", "left_semi").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
