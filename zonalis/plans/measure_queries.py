@@ -207,17 +207,20 @@ def status_json(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _D = lambda what, most: f"(CAST('0x' || substr(md5('1|{what}|' || i), 1, 8) AS BIGINT) % {most})"
+_SYLLABLES = "[" + ", ".join(f"'{x}'" for x in synthetic.SYLLABLES) + "]"
+_NAMED = lambda what: " || ".join(f"{_SYLLABLES}[{_D(f'{what}{k}', len(synthetic.SYLLABLES))} + 1]" for k in range(3))
 _CODES = "[" + ", ".join(f"'{s}'" for s in STATES[:20]) + "]"
 
 
-@query(f"""WITH g AS (SELECT c_custkey AS i FROM customer), d AS (SELECT i, {_CODES}[{_D('state', 20)} + 1] AS issuing_state, 2026 - {_D('age', 91)} AS born, {_D('expired', 10000)} < 1500 AS ended, {_D('bm', 12)} + 1 AS bm, {_D('bd', 28)} + 1 AS bd, {_D('ey', 1000)} AS ey, {_D('unstated', 10000)} < 300 AS u, {_D('sex', 2)} AS s, {_D('bare', 10000)} < 4500 AS bare FROM g),
+@query(f"""WITH g AS (SELECT c_custkey AS i FROM customer), d AS (SELECT i, {_CODES}[{_D('state', 20)} + 1] AS issuing_state, 2026 - {_D('age', 91)} AS born, {_D('expired', 10000)} < 1500 AS ended, {_D('bm', 12)} + 1 AS bm, {_D('bd', 28)} + 1 AS bd, {_D('ey', 1000)} AS ey, {_D('unstated', 10000)} < 300 AS u, {_D('sex', 2)} AS s, {_D('bare', 10000)} < 4500 AS bare, {_D('moved', 10000)} < 500 AS moved, {_D('nation', 20)} AS nation, {_D('long', 10000)} < 800 AS long, {_D('pattern', 6)} AS pattern, {_NAMED('surnamea')} AS surname, {_NAMED('surnameb')} AS second FROM g),
 l AS (SELECT *, greatest(born + 1, CASE WHEN ended THEN 2011 ELSE 2026 END) AS low FROM d), h AS (SELECT *, greatest(low, CASE WHEN ended THEN 2025 ELSE 2036 END) AS high FROM l)
-SELECT i AS index, issuing_state, lpad(CAST(born % 100 AS VARCHAR), 2, '0') || lpad(CAST(bm AS VARCHAR), 2, '0') || lpad(CAST(bd AS VARCHAR), 2, '0') AS birth_date, CASE WHEN u THEN '<' WHEN s = 0 THEN 'M' ELSE 'F' END AS sex, CAST(low + ey % (high - low + 1) AS INTEGER) % 100 AS expiry_yy, bare FROM h""")
+SELECT i AS index, issuing_state, lpad(CAST(born % 100 AS VARCHAR), 2, '0') || lpad(CAST(bm AS VARCHAR), 2, '0') || lpad(CAST(bd AS VARCHAR), 2, '0') AS birth_date, CASE WHEN u THEN '<' WHEN s = 0 THEN 'M' ELSE 'F' END AS sex, CAST(low + ey % (high - low + 1) AS INTEGER) % 100 AS expiry_yy, bare, CASE WHEN moved THEN {_CODES}[nation + 1] ELSE issuing_state END AS nationality, CASE WHEN long THEN surname || '-' || second ELSE surname END AS primary_name, CAST(pattern % 3 AS INTEGER) AS letters, CAST(8 + pattern // 3 AS INTEGER) AS size FROM h""")
 def identity_generate(spark: SparkSession, sf: str) -> DataFrame:
     """As many identities as customers, whose keys number them."""
     n = table(spark, sf, "customer").agg(F.min("c_custkey"), F.max("c_custkey")).first()
     made = synthetic.random_identities(spark, n[1] - n[0] + 1, 1, states=list(STATES[:20]), start=n[0])
-    return made.select("index", "issuing_state", "birth_date", "sex", F.substring("expiry_date", 1, 2).cast("int").alias("expiry_yy"), (F.col("optional_data") == "").alias("bare"))
+    number = [F.length(F.regexp_extract("document_number", r"\A([A-Z]*)[0-9]+\z", 1)).alias("letters"), F.length("document_number").alias("size")]
+    return made.select("index", "issuing_state", "birth_date", "sex", F.substring("expiry_date", 1, 2).cast("int").alias("expiry_yy"), (F.col("optional_data") == "").alias("bare"), "nationality", "primary_name", *number)
 
 
 @query("SELECT * FROM (VALUES (0, 'clean', 0.05, 0, 2000, 1), (1, 'light', 0.35, 2000, 8000, 104730), (2, 'moderate', 0.65, 8000, 18000, 209459), (3, 'heavy', 1.0, 18000, 38000, 314188)) t(stage_index, stage, high, first_step, past_step, seed)")

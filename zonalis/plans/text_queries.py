@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonalis.functions import codec, dates, kbest
-from zonalis.functions.alphabet import ALPHABET, LAYOUT, VALUES, blind_class, char_value, is_protected, is_state
+from zonalis.functions.alphabet import ALPHABET, LAYOUT, SPECIAL_STATES, VALUES, blind_class, char_value, is_mrz_char, is_protected, is_state, iso_states
 from zonalis.functions.validate import GUARDS, issues, line1_issues, line2_issues, trust
 from zonalis.operators import payload
 from zonalis.plans.inputs import KNOWN, REFERENCE_YEAR, SQL_IDS, SQL_LINES, identities, lines, pseudo, sql_cd, sql_field, sql_issues, sql_pseudo, table
@@ -233,3 +233,24 @@ def kbest_full(spark: SparkSession, sf: str) -> DataFrame:
     scores = lines(spark, sf).select("c_custkey", F.transform(F.sequence(F.lit(0), F.lit(43)), costs).alias("s"))
     best = scores.select("c_custkey", F.posexplode(kbest.k_best(F.col("s"), 8, "long")).alias("rank", "b"))
     return best.select("c_custkey", (F.col("rank") + 1).alias("rank"), "b.cost", kbest.text_of(F.col("b.path")).alias("text"))
+
+
+@query("""WITH c AS (SELECT DISTINCT unnest(string_split(p_name || p_brand || upper(p_type) || '<', '')) AS c FROM part) SELECT c, regexp_full_match(c, '[A-Z0-9<]') AS known FROM c""")
+def alphabet_test(spark: SparkSession, sf: str) -> DataFrame:
+    """Every character of the parts' names, and whether it is in the alphabet."""
+    text = F.concat("p_name", "p_brand", F.upper("p_type"), F.lit("<"))
+    found = table(spark, sf, "part").select(F.explode_outer(codec.characters(text)).alias("c")).distinct()
+    return found.select("c", is_mrz_char(F.col("c")).alias("known"))
+
+
+@query("SELECT 249 + 16 AS known, 249 AS iso, 0 AS in_both, true AS all_of_inputs")
+def state_sets(spark: SparkSession, sf: str) -> DataFrame:
+    """The standard's country codes and the special ones: how many, none in both, and the codes of the customers' documents among them."""
+    iso = spark.createDataFrame([(s,) for s in iso_states(spark)], "s string")
+    special = spark.createDataFrame([(s,) for s in SPECIAL_STATES], "s string")
+    own = spark.createDataFrame([(s,) for s in KNOWN], "s string")
+    known = iso.union(special)
+    outside = own.join(known, "s", "left_anti").agg((F.count(F.lit(1)) == 0).alias("all_of_inputs"))
+    counts = known.agg(F.countDistinct("s").cast("int").alias("known")).withColumn("k", F.lit(1))
+    both = iso.intersect(special).agg(F.count(F.lit(1)).cast("int").alias("in_both")).withColumn("k", F.lit(1))
+    return counts.join(iso.agg(F.count(F.lit(1)).cast("int").alias("iso")).withColumn("k", F.lit(1)), "k").join(both, "k").join(outside.withColumn("k", F.lit(1)), "k").drop("k")
