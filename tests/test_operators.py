@@ -63,6 +63,15 @@ def test_status(spark, tmp_path):
     assert mine["updated_at"] == 10.0 and mine["one_font"] and mine["not_located_first"]
 
 
+def test_status_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('{"state": "training", "step": 5, "unknown": 1}\n{"state": "trai\n{"state": "finished", "step": 9}\n')
+    q = status.stream_status(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("statuses").trigger(availableNow=True).start()
+    q.awaitTermination(20)
+    q.stop()
+    assert sorted((r["state"], r["step"]) for r in spark.table("statuses").collect() if r["state"]) == [("finished", 9), ("training", 5)]
+
+
 def test_shown_state(spark):
     df = spark.createDataFrame([("training", 200), ("training", 100), ("finished", 900), (None, None)], "s string, age int")
     assert [r[0] for r in df.select(monitor.shown_state(F.col("s"), F.col("age"))).collect()] == ["stale", "training", "finished", "waiting"]

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from zonalis.functions import codec, geometry, kbest
 from zonalis.functions.alphabet import ALPHABET
+from zonalis.functions.validate import issues
 from zonalis.operators import measure, reading
-from zonalis.plans.inputs import SQL_LINES, STATES, lines, pseudo, sql_field, sql_pseudo, table, work_folder
+from zonalis.plans.inputs import KNOWN, REFERENCE_YEAR, SQL_LINES, STATES, lines, pseudo, sql_field, sql_issues, sql_pseudo, table, work_folder
 from zonalis.sources import identities as synthetic
 from zonalis.sources import status
 from zonalis.streaming import monitor
@@ -371,3 +372,16 @@ def status_rows(spark: SparkSession, sf: str) -> DataFrame:
     made = table(spark, sf, "events").select("event_id", "event_type", F.regexp_replace("props", '"k"', '"step"').alias("raw"))
     read = made.select("event_id", "event_type", F.from_json("raw", status.SCHEMA, {"mode": "PERMISSIVE"}).alias("s"))
     return read.select("event_id", (F.col("event_type") == "view").alias("known"), F.col("s.step").alias("step"))
+
+
+_JUDGED = f"""{_GRADED}, glines AS (SELECT c_custkey, decoded1 AS line1, decoded2 AS noisy2 FROM graded), {sql_issues('noisy2', KNOWN).replace('FROM lines', 'FROM glines')},
+v AS (SELECT {_BUCKET} AS bucket, decoded1 = truth1 AS a, decoded2 = truth2 AS b, len(fields) = 0 AS ok FROM graded JOIN found USING (c_custkey)),
+t AS (SELECT bucket, count(*) AS documents, count(*) FILTER (a) AS line1, count(*) FILTER (b) AS line2, count(*) FILTER (a AND b) AS "both", count(*) FILTER (ok) AS validates FROM v GROUP BY bucket)"""
+
+
+@query(f"""{_JUDGED} SELECT *, 'line1 ' || {_PERCENT('line1 / documents')} || '  line2 ' || {_PERCENT('line2 / documents')} || '  document ' || {_PERCENT('"both" / documents')} || '  validates ' || {_PERCENT('validates / documents')} AS report FROM t""")
+def tally_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Tallies by severity, how many readings keep the rules included, and as text."""
+    g = graded(spark, sf).withColumn("bucket", geometry.severity_bucket(F.col("severity")))
+    valid = F.size(issues(F.col("decoded1"), F.col("decoded2"), REFERENCE_YEAR, KNOWN)) == 0
+    return measure.tally(g.withColumn("valid", valid), "bucket", got=("decoded1", "decoded2"), valid="valid").withColumn("report", reading.tally_text())
