@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from zonalis.llm import fuzzy_lines, media_avi, mixing, near_dup, packing, quality, secrets, sharding, url_reputation, warc
+from zonalis.llm import fuzzy_lines, licenses, lloyd, media_avi, mixing, near_dup, packing, quality, secrets, sharding, url_reputation, variants, warc
 from zonalis.llm.oracles import ORACLE_SQL as ORACLE_SQL
 
 
@@ -52,4 +52,16 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_sharding, op3_url_reputation, op4_near_duplicates, op5_avi_media, op6_secret_scan, op7_fuzzy_lines, op8_quality_outliers, op9_best_two_fit, op10_source_mix)}
+def op11_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.cluster_report(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_report(_table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variant_report(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_sharding, op3_url_reputation, op4_near_duplicates, op5_avi_media, op6_secret_scan, op7_fuzzy_lines, op8_quality_outliers, op9_best_two_fit, op10_source_mix, op11_lloyd, op12_license_scan, op13_spelling_variants)}
