@@ -290,7 +290,7 @@ def withheld_payload(spark: SparkSession, sf: str) -> DataFrame:
 _PERCENT = lambda x: f"printf('%.2f%%', 100.0 * ({x}))"
 
 
-@query(f"""{_READ}, m AS (SELECT cut, {_MEASURED} FROM read JOIN chars USING (c_custkey) GROUP BY cut) SELECT cut, array_to_string(list_filter([CASE WHEN not_located > 0 THEN not_located || ' of ' || documents || ' not located: the boxes, not the reader' END, 'documents ' || documents_read || '/' || documents, 'lines ' || lines_read || '/' || 2 * documents,
+@query(f"""{_READ}, m AS (SELECT cut, {_MEASURED} FROM read JOIN chars USING (c_custkey) GROUP BY cut) SELECT cut, array_to_string(list_filter([CASE WHEN not_located > 0 THEN not_located || ' of ' || documents || ' not located, which tells nothing of the reader' END, 'documents ' || documents_read || '/' || documents, 'lines ' || lines_read || '/' || 2 * documents,
 'characters ' || chars_read || '/' || chars_total || ' ' || {_PERCENT('chars_read / chars_total')}, CASE WHEN documents < 30 THEN documents || ' documents are too few for a percentage' END], lambda x: x IS NOT NULL), chr(10)) AS report FROM m""")
 def reading_report(spark: SparkSession, sf: str) -> DataFrame:
     return reading.measured(readings(spark, sf), "cut").select("cut", reading.report().alias("report"))

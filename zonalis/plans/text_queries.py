@@ -9,6 +9,7 @@ from zonalis.functions import codec, dates, kbest
 from zonalis.functions.alphabet import ALPHABET, LAYOUT, SPECIAL_STATES, VALUES, blind_class, char_value, is_mrz_char, is_protected, is_state, iso_states
 from zonalis.functions.validate import GUARDS, issues, line1_issues, line2_issues, trust
 from zonalis.operators import payload
+from zonalis.operators.dealing import spread
 from zonalis.plans.inputs import KNOWN, REFERENCE_YEAR, SQL_IDS, SQL_LINES, identities, lines, pseudo, sql_cd, sql_field, sql_issues, sql_pseudo, table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -224,15 +225,17 @@ SELECT c_custkey, CAST(rank AS INTEGER) AS rank, CAST(cost AS BIGINT) AS cost, t
 def kbest_full(spark: SparkSession, sf: str) -> DataFrame:
     """The eight cheapest readings of line 2 at full width, 44 places of 37 classes: at four places another class is nearly as cheap as the right one, anywhere else all others are out of reach."""
     own = lambda p: F.instr(F.lit(ALPHABET), F.substr(F.col("line2"), p + 1, F.lit(1))) - 1
+    far = F.array_repeat(F.lit(100_000).cast("long"), len(ALPHABET))
+    put = lambda costs, at, value: F.concat(F.slice(costs, F.lit(1), at), F.array(value), F.slice(costs, at + 2, len(ALPHABET) - 1 - at))
 
     def costs(p):
+        sure = lambda c: put(far, c, F.lit(0).cast("long"))
         gap = 1 + F.pmod(pseudo("gap", F.col("c_custkey"), p), F.lit(900))
-        live = p.isin(3, 17, 25, 40)
-        return kbest.bound(F.struct(own(p).alias("own"), gap.alias("gap")), lambda b: F.transform(F.sequence(F.lit(0), F.lit(36)), lambda c: F.when(c == b["own"], 0).when(live & (c == F.pmod(b["own"] + 1, F.lit(37))), b["gap"]).otherwise(100_000).cast("long")))
+        return kbest.bound(own(p), lambda c: F.when(p.isin(3, 17, 25, 40), put(sure(c), F.pmod(c + 1, F.lit(len(ALPHABET))).cast("int"), gap)).otherwise(sure(c)))
 
-    scores = lines(spark, sf).select("c_custkey", F.transform(F.sequence(F.lit(0), F.lit(43)), costs).alias("s"))
-    best = scores.select("c_custkey", F.posexplode(kbest.k_best(F.col("s"), 8, "long")).alias("rank", "b"))
-    return best.select("c_custkey", (F.col("rank") + 1).alias("rank"), "b.cost", kbest.text_of(F.col("b.path")).alias("text"))
+    scores = spread(lines(spark, sf), "c_custkey").select("c_custkey", F.transform(F.sequence(F.lit(0), F.lit(43)), costs).alias("s"))
+    best = scores.select("c_custkey", F.posexplode(kbest.k_best_texts(F.col("s"), 8, "long")).alias("rank", "b"))
+    return best.select("c_custkey", (F.col("rank") + 1).alias("rank"), "b.cost", "b.text")
 
 
 @query("""WITH c AS (SELECT DISTINCT unnest(string_split(p_name || p_brand || upper(p_type) || '<', '')) AS c FROM part) SELECT c, regexp_full_match(c, '[A-Z0-9<]') AS known FROM c""")
