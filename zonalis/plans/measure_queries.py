@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from zonalis.functions import codec, geometry, kbest
 from zonalis.functions.alphabet import ALPHABET
@@ -385,3 +386,32 @@ def tally_report(spark: SparkSession, sf: str) -> DataFrame:
     g = graded(spark, sf).withColumn("bucket", geometry.severity_bucket(F.col("severity")))
     valid = F.size(issues(F.col("decoded1"), F.col("decoded2"), REFERENCE_YEAR, KNOWN)) == 0
     return measure.tally(g.withColumn("valid", valid), "bucket", got=("decoded1", "decoded2"), valid="valid").withColumn("report", reading.tally_text())
+
+
+@query("""WITH r AS (SELECT event_type AS run, (day(ts) - 1) // 3 AS turn, count(*) AS n FROM events GROUP BY ALL), s AS (SELECT run, turn, sum(n) OVER (PARTITION BY run ORDER BY turn) AS step, sum(n) OVER (PARTITION BY run) AS total FROM r)
+SELECT run, CAST(step AS INTEGER) AS step, CAST(total AS INTEGER) AS total_steps, CASE WHEN step = total THEN 'finished' ELSE 'training' END AS state, CAST(1 AS BIGINT) AS seen FROM s""")
+def status_rewrites(spark: SparkSession, sf: str) -> DataFrame:
+    """Kinds of events as runs, their events so far as steps: every three days each run writes its one status file anew, and a stream that follows the files sees every state once. What is written is as much as there are kinds and days."""
+    e = table(spark, sf, "events")
+    own = Window.partitionBy("run").orderBy("turn")
+    counted = e.groupBy(F.col("event_type").alias("run"), F.floor((F.dayofmonth("ts") - 1) / 3).alias("turn")).agg(F.count(F.lit(1)).alias("n"))
+    steps = counted.select("run", "turn", F.sum("n").over(own).cast("int").alias("step"), F.sum("n").over(Window.partitionBy("run")).cast("int").alias("total")).collect()
+    folder = work_folder(spark)
+    writers = {run: status.StatusWriter(f"{folder}/runs/{run}", spark) for run in {r["run"] for r in steps}}
+    stream = status.stream_status(spark, f"{folder}/runs").select(F.element_at(F.split("path", "/"), -2).alias("run"), "step", "total_steps", "state")
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/seen/batch={batch}")
+
+    follower = stream.writeStream.option("checkpointLocation", f"{folder}/progress").foreachBatch(keep).trigger(processingTime="0 seconds").start()
+    try:
+        for turn in sorted({r["turn"] for r in steps}):
+            for r in steps:
+                if r["turn"] == turn:
+                    writers[r["run"]].update(float(turn), state="finished" if r["step"] == r["total"] else "training", step=r["step"], total_steps=r["total"])
+            follower.processAllAvailable()
+    finally:
+        follower.stop()
+    shape = "run string, step int, total_steps int, state string, batch int"
+    seen = spark.read.schema(shape).parquet(f"{folder}/seen") if steps else spark.createDataFrame([], shape)
+    return seen.groupBy("run", "step", "total_steps", "state").agg(F.count(F.lit(1)).alias("seen"))
