@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from zonalis.llm.shared import SPACE, forget, small_side, text_or_empty, words, written
 
@@ -132,17 +131,51 @@ def fit_mcd(rows: DataFrame, group: list[str], share: float = 0.75, falls: float
     return written(best.join(middle, group), "mcd"), n // 2
 
 
+#: So many rows' weight pulls a group's estimate to that of its language, that to the one of all rows, and that to a spread SPREAD times the least.
+PRIOR_ROWS, SPREAD = 30, 4
+
+
+def _covariance(prefix: str = "") -> dict[tuple[str, str], Column]:
+    """The covariance of a Cholesky factor's columns, less the least variances."""
+    factor = lambda a, b: F.col(f"{prefix}l_{a}_{b}")
+    return {(a, b): sum((factor(a, c) * factor(b, c) for c in NAMES[: i + 1]), F.lit(0.0)) - (FEATURES[a] ** 2 if a == b else 0.0) for i, a in enumerate(NAMES) for b in NAMES[i:]}
+
+
+_DIAGONAL = {f"c_{a}_{a}": a for a in FEATURES}
+
+
+def _pulled(own: dict[str, Column], to: dict[str, Column], n: Column) -> dict[str, Column]:
+    """Estimates of n rows, and of PRIOR_ROWS more as the others say."""
+    return {k: (n * v + PRIOR_ROWS * to[k]) / (n + PRIOR_ROWS) for k, v in own.items()}
+
+
+def _shrunk(fit: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, m_, l_, rows, parent's middle): fit_mcd's estimate of each group (level 0), pulled to its language's (level 1), which is pulled to that of all (level 2), by their numbers of rows. So a group of one row is judged as its language is, a large one by itself, and nothing turns at any size."""
+    named = lambda level: fit.where(F.col("_level") == level)
+    part = lambda level, on: named(level).select(*on, F.struct(*[F.col(c) for c in fit.columns if c.startswith(("m_", "l_"))], "rows", "middle").alias(f"_{level}"))
+    # each side has a row a group, a language, and one in all
+    both = part(0, keys).join(F.broadcast(part(1, keys[:1])), keys[0]).withColumn("_one", F.lit(1)).join(F.broadcast(part(2, []).withColumn("_one", F.lit(1))), "_one")
+
+    def of(level: int) -> dict[str, Column]:
+        at = f"_{level}."
+        own = {f"m_{a}": F.col(f"{at}m_{a}") for a in NAMES} | {f"c_{a}_{b}": v for (a, b), v in _covariance(at).items()} | {"middle": F.col(f"{at}middle")}
+        above = of(level + 1) if level < 2 else {k: v if k[0] == "m" else F.lit((SPREAD**2 - 1) * FEATURES[_DIAGONAL[k]] ** 2 if k in _DIAGONAL else 0.0) for k, v in own.items()}
+        return _pulled(own, above, F.col(f"{at}rows"))
+
+    made = both.select(*keys, F.col("_0.rows").alias("n"), *[v.alias(k) for k, v in of(0).items()])
+    return _factored(made, [*keys, "middle"]).withColumnRenamed("n", "rows")
+
+
 #: Median of the chi-square law with as many degrees of freedom as there are features, to which distances are scaled.
 CHI2_MEDIAN = 3.357
 
 
-def judged(docs: DataFrame, text_col: str = "text", cutoff: float = 75.0, least_rows: int = 30, keep_text: bool = False) -> DataFrame:
+def judged(docs: DataFrame, text_col: str = "text", cutoff: float = 75.0, keep_text: bool = False) -> DataFrame:
     """docs with the statistics, _base_failed, _distance and _kept; columns of those names that docs already has give way.
 
     A document is rejected by the base rules, or if its squared Mahalanobis distance to its language and source, scaled so that the median is the
-    chi-square one, exceeds the cutoff (far beyond the 0.9999 quantile, 23.5: clean documents have heavy tails). Groups of fewer than least_rows
-    documents that pass the base rules are judged with all such small groups of their language together, and where these are too few, with those of all such
-    languages; if that too holds fewer, too little is known to reject any of it by distance. Null language or source: groups of their own. Null or empty text: no words,
+    chi-square one, exceeds the cutoff (far beyond the 0.9999 quantile, 23.5: clean documents have heavy tails). A group's estimate is pulled to its language's, and that to the one of all documents,
+    the more the fewer documents that pass the base rules it has (see _shrunk); no size is judged otherwise than another. Null language or source: groups of their own. Null or empty text: no words,
     fails. Equal rows are judged alike and keep a row each, whatever their ids; an empty table gives an empty result. keep_text False: the result lacks the text, which is read once.
     """
     made = ("_base_failed", "_distance", "_kept")
@@ -152,19 +185,20 @@ def judged(docs: DataFrame, text_col: str = "text", cutoff: float = 75.0, least_
     plain = docs.select(text_or_empty(text_col).alias("text"), F.struct(F.lit(1).alias("_one"), *keys).alias("k"), F.struct(F.lit(1).alias("_one"), *[F.col(f"`{c}`") for c in named]).alias("row"))
     table = with_statistics(plain, "text", ["k", "row"])
     table = written(table.select("row", *STATISTICS, base_failed().alias("_base_failed"), key("lang").alias("_lang_"), key("source").alias("_source_")), "statistics")
-    group = ["_fit_", "_group_"]
-    narrow = table.where(~F.col("_base_failed")).select("_lang_", "_source_", *[v.alias(k) for k, v in _features().items()])
-    sizes = narrow.groupBy("_lang_", "_source_").agg(F.count(F.lit(1)).alias("_n"))
-    rest = F.sum(F.when(F.col("_n") < least_rows, F.col("_n"))).over(Window.partitionBy("_lang_"))
-    large = F.col("_n") >= least_rows
-    counts = sizes.withColumn("_rest", rest).select("_lang_", "_source_", F.when(large | (F.col("_rest") >= least_rows), F.col("_lang_")).otherwise("").alias("_fit_"), F.when(large, F.col("_source_")).otherwise("").alias("_group_"))
-    counts = written(counts, "groups")
-    n_sources = counts.count()
-    fit, n = fit_mcd(narrow.join(small_side(counts, n_sources), ["_lang_", "_source_"]).drop("_lang_", "_source_"), group)
-    out = table.join(small_side(counts, n_sources), ["_lang_", "_source_"], "left").withColumns({c: F.coalesce(c, F.lit("")) for c in group})
-    out = _distance(out.withColumns(_features()).join(small_side(fit, n), group, "left"))
+    group = ["_lang_", "_source_"]
+    narrow = table.where(~F.col("_base_failed")).select(*group, *[v.alias(k) for k, v in _features().items()])
+    level = lambda k, *kept: F.struct(F.lit(k).alias("_level"), *[(F.col(c) if c in kept else F.lit("")).alias(c) for c in group])
+    levels = F.explode(F.array(level(0, *group), level(1, "_lang_"), level(2))).alias("_at")
+    fit, n = fit_mcd(narrow.select(levels, *NAMES).select("_at.*", *NAMES), ["_level", *group])
+    pulled = written(_shrunk(fit, group), "pulled")
+    forget(fit)
+    own = _distance(narrow.join(small_side(pulled, n), group)).groupBy(*group).agg(F.percentile_approx("d2", 0.5, 2000).alias("_own"))
+    # the middle distance too is pulled to the language's
+    fit = written(pulled.join(small_side(own, n), group).withColumn("middle", (F.col("rows") * F.col("_own") + PRIOR_ROWS * F.col("middle")) / (F.col("rows") + PRIOR_ROWS)), "fit")
+    forget(pulled)
+    out = _distance(table.withColumns(_features()).join(small_side(fit, n), group, "left"))
     scaled = F.col("d2") * CHI2_MEDIAN / F.greatest(F.col("middle"), F.lit(0.5))
-    far = F.coalesce((F.col("rows") >= least_rows) & (scaled > cutoff), F.lit(False))
+    far = F.coalesce(scaled > cutoff, F.lit(False))
     return out.select(*[F.col(f"row.`{c}`").alias(c) for c in named], *STATISTICS, "_base_failed", scaled.alias("_distance"), (~F.col("_base_failed") & ~far).alias("_kept"))
 
 
