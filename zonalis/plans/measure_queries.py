@@ -166,9 +166,11 @@ def page_geometry(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", F.round(geometry.mm_to_px(F.lit(geometry.LINE_MM), dpi), 6).alias("line_px"), F.round(geometry.px_to_mm(F.col("p_retailprice"), dpi), 6).alias("mm"))
 
 
-@query("SELECT step, round(CASE WHEN step < 100 THEN 0.001 * (step + 1) / 100.0 ELSE 0.0005 * (1 + cos(pi() * least((step - 100) / 900.0, 1.0))) END, 9) AS rate FROM range(0, 1000) r(step)")
+@query("SELECT event_id, round(CASE WHEN s < 100 THEN 0.001 * (s + 1) / 100.0 ELSE 0.0005 * (1 + cos(pi() * least((s - 100) / 900.0, 1.0))) END, 9) AS rate FROM (SELECT event_id, event_id % 1200 AS s FROM events)")
 def lr_schedule(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.range(1000).select(F.col("id").alias("step"), F.round(geometry.learning_rate(F.col("id"), 1000, 0.001, 100), 9).alias("rate"))
+    """Events as steps of runs of 1200: each step's learning rate by a schedule of 1000, which then stays at its end."""
+    step = F.pmod("event_id", F.lit(1200))
+    return table(spark, sf, "events").select("event_id", F.round(geometry.learning_rate(step, 1000, 0.001, 100), 9).alias("rate"))
 
 
 _SECONDS = "(epoch_us(ts) / 1000000.0)"
@@ -225,9 +227,16 @@ def identity_generate(spark: SparkSession, sf: str) -> DataFrame:
     return made.select("index", "issuing_state", "birth_date", "sex", F.substring("expiry_date", 1, 2).cast("int").alias("expiry_yy"), (F.col("optional_data") == "").alias("bare"), "nationality", "primary_name", *number)
 
 
-@query("SELECT * FROM (VALUES (0, 'clean', 0.05, 0, 2000, 1), (1, 'light', 0.35, 2000, 8000, 104730), (2, 'moderate', 0.65, 8000, 18000, 209459), (3, 'heavy', 1.0, 18000, 38000, 314188)) t(stage_index, stage, high, first_step, past_step, seed)")
+_STAGES = "(VALUES (0, 'clean', 0.05, 0, 2000, 1), (1, 'light', 0.35, 2000, 8000, 104730), (2, 'moderate', 0.65, 8000, 18000, 209459), (3, 'heavy', 1.0, 18000, 38000, 314188)) t(stage_index, stage, high, first_step, past_step, seed)"
+
+
+@query(f"SELECT stage_index, stage, high, first_step, past_step, seed, count(event_id) AS n_steps, min(event_id) AS first_event FROM {_STAGES} LEFT JOIN events ON event_id * 7 % 40000 >= first_step AND event_id * 7 % 40000 < past_step GROUP BY ALL")
 def curriculum_plan(spark: SparkSession, sf: str) -> DataFrame:
-    return synthetic.curriculum(spark).select("stage_index", "stage", "high", "first_step", "past_step", "seed")
+    """The stages of a curriculum, and how many of the events' steps each of them has."""
+    stages = synthetic.curriculum(spark).select("stage_index", "stage", "high", "first_step", "past_step", "seed")
+    steps = table(spark, sf, "events").select("event_id", F.pmod(F.col("event_id") * 7, F.lit(40000)).alias("step"))
+    own = synthetic.stage_of(steps, stages).groupBy("stage_index").agg(F.count(F.lit(1)).alias("n_steps"), F.min("event_id").alias("first_event"))
+    return stages.join(own, "stage_index", "left").withColumn("n_steps", F.coalesce("n_steps", F.lit(0)))
 
 
 @query(ORACLE_SQL["latest_status"])
@@ -340,11 +349,10 @@ def charset_missing(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(c,) for c in ALPHABET], "c string").join(seen, "c", "left_anti")
 
 
-@query("""WITH s AS (SELECT * FROM (VALUES (0, 'clean', 0, 2000), (1, 'light', 2000, 8000), (2, 'moderate', 8000, 18000), (3, 'heavy', 18000, 38000)) t(stage_index, stage, a, b))
-SELECT step, stage_index, stage, step > 0 AND step % 100 = 0 AS logs, step > 0 AND step % 1000 = 0 AS evaluates, step > 0 AND step % 5000 = 0 AS measures FROM range(0, 40000) r(step) JOIN s ON step >= a AND step < b""")
+@query(f"""SELECT event_id, step, stage_index, stage, step > 0 AND step % 100 = 0 AS logs, step > 0 AND step % 1000 = 0 AS evaluates, step > 0 AND step % 5000 = 0 AS measures FROM (SELECT event_id, event_id * 25 % 40000 AS step FROM events) JOIN {_STAGES} ON step >= first_step AND step < past_step""")
 def step_stage(spark: SparkSession, sf: str) -> DataFrame:
-    """The stage of every step of a run, and what is due at it."""
-    steps = spark.range(40000).select(F.col("id").alias("step"))
+    """Events as steps of a run: the stage of each, and what is due at it."""
+    steps = table(spark, sf, "events").select("event_id", F.pmod(F.col("event_id") * 25, F.lit(40000)).alias("step"))
     return synthetic.with_cadence(synthetic.stage_of(steps, synthetic.curriculum(spark)))
 
 
@@ -357,11 +365,11 @@ def run_progress(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("event_id", F.round("rate", 6).alias("rate"), F.round("elapsed", 6).alias("elapsed"), F.round("eta", 0).alias("eta"))
 
 
-@query(f"""WITH g AS (SELECT i FROM range(0, 20000) r(i)), d AS (SELECT 2026 - {_D('age', 91)} AS born, {_D('expired', 10000)} < 1500 AS ended, {_D('unstated', 10000)} < 300 AS unstated, {_D('bare', 10000)} < 4500 AS bare, {_D('long', 10000)} < 800 AS long, {_D('one', 10000)} < 3500 AS one FROM g)
+@query(f"""WITH g AS (SELECT c_custkey AS i FROM customer), d AS (SELECT 2026 - {_D('age', 91)} AS born, {_D('expired', 10000)} < 1500 AS ended, {_D('unstated', 10000)} < 300 AS unstated, {_D('bare', 10000)} < 4500 AS bare, {_D('long', 10000)} < 800 AS long, {_D('one', 10000)} < 3500 AS one FROM g)
 SELECT count(*) AS n, round(avg(CAST(bare AS INTEGER)), 6) AS bare, round(avg(CAST(unstated AS INTEGER)), 6) AS unstated, round(avg(CAST(NOT long AND one AS INTEGER)), 6) AS one_given, round(avg(CAST(long AS INTEGER)), 6) AS long_name FROM d""")
 def event_rates(spark: SparkSession, sf: str) -> DataFrame:
-    """How often what is drawn with a stated chance happens among 20,000 identities."""
-    made = synthetic.random_identities(spark, 20_000, 1, states=list(STATES[:20]))
+    """How often what is drawn with a stated chance happens among identities that the customers' keys number."""
+    made = synthetic.identities_of(table(spark, sf, "customer").select(F.col("c_custkey").alias("index")), 1, states=list(STATES[:20]))
     share = lambda c, name: F.round(F.avg(c.cast("int")), 6).alias(name)
     long, one = F.contains("primary_name", F.lit("-")), ~F.contains("secondary_name", F.lit(" "))
     return made.agg(F.count(F.lit(1)).alias("n"), share(F.col("optional_data") == "", "bare"), share(F.col("sex") == "<", "unstated"), share(one & ~long, "one_given"), share(long, "long_name"))

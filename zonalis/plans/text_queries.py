@@ -85,12 +85,12 @@ def tokenize_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return ix.select("c_custkey", F.aggregate("ix", F.lit(0), lambda a, x: a + x).cast("long").alias("total"), F.get("ix", F.lit(0)).alias("first"), codec.decode_labels(F.col("ix")).alias("text"))
 
 
-@query(f"""WITH p AS (SELECT CAST(i AS INTEGER) AS place, nullif(substr('{ALPHABET}', CAST(i AS INTEGER) + 1, 1), '') AS c FROM range(0, 46) t(i))
-SELECT place, c, CASE WHEN c IS NOT NULL THEN CAST(greatest(instr('{VALUES}', c), 1) - 1 AS INTEGER) END AS value, CASE WHEN c IS NOT NULL THEN CAST((greatest(instr('{VALUES}', c), 1) - 1) % 10 AS INTEGER) END AS blind, place < 43 AND place NOT IN (10, 11, 12, 20) AS protected FROM p""")
+@query(f"""WITH {SQL_LINES}, p AS (SELECT CAST(i AS INTEGER) AS place, substr(line2, CAST(i AS INTEGER) + 1, 1) AS c, count(*) AS n FROM lines, range(0, 44) t(i) GROUP BY ALL)
+SELECT place, c, n, CAST(greatest(instr('{VALUES}', c), 1) - 1 AS INTEGER) AS value, CAST((greatest(instr('{VALUES}', c), 1) - 1) % 10 AS INTEGER) AS blind, place < 43 AND place NOT IN (10, 11, 12, 20) AS protected FROM p""")
 def blind_classes(spark: SparkSession, sf: str) -> DataFrame:
-    """Values and blind classes of the alphabet's characters, and the protection of line 2's places and two beyond it."""
-    p = spark.range(46).select(F.col("id").cast("int").alias("place"), F.nullif(F.substr(F.lit(ALPHABET), (F.col("id") + 1).cast("int"), F.lit(1)), F.lit("")).alias("c"))
-    return p.select("place", "c", char_value(F.col("c")).alias("value"), blind_class(F.col("c")).alias("blind"), is_protected(F.col("place")).alias("protected"))
+    """Which characters stand at each place of the customers' second lines, how often, with their values and blind classes, and whether a check digit covers the place."""
+    seen = lines(spark, sf).select(F.posexplode(codec.characters(F.col("line2"))).alias("place", "c")).groupBy("place", "c").agg(F.count(F.lit(1)).alias("n"))
+    return seen.select("place", "c", "n", char_value(F.col("c")).alias("value"), blind_class(F.col("c")).alias("blind"), is_protected(F.col("place")).alias("protected"))
 
 
 @query(f"""WITH {SQL_LINES}, d AS (SELECT c_custkey, substr(noisy2, 14, 6) AS b, substr(noisy2, 22, 6) AS e FROM lines),
@@ -246,14 +246,15 @@ def alphabet_test(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("c", is_mrz_char(F.col("c")).alias("known"))
 
 
-@query("SELECT 249 + 16 AS known, 249 AS iso, 0 AS in_both, true AS all_of_inputs")
+_SPECIAL = ", ".join(f"'{s}'" for s in SPECIAL_STATES)
+
+
+@query(f"""WITH {SQL_IDS}, c AS (SELECT unnest(['issuing_state', 'nationality']) AS field, unnest([issuing_state, nationality]) AS code FROM ids)
+SELECT field, code, CASE WHEN code IN ({_SPECIAL}) THEN 'special' WHEN code = 'QQQ' THEN 'unknown' ELSE 'iso' END AS kind, code <> 'QQQ' AS accepted, count(*) AS n, CAST(249 AS BIGINT) AS iso, CAST(265 AS BIGINT) AS known FROM c GROUP BY ALL""")
 def state_sets(spark: SparkSession, sf: str) -> DataFrame:
-    """The standard's country codes and the special ones: how many, none in both, and the codes of the customers' documents among them."""
-    iso = spark.createDataFrame([(s,) for s in iso_states(spark)], "s string")
-    special = spark.createDataFrame([(s,) for s in SPECIAL_STATES], "s string")
-    own = spark.createDataFrame([(s,) for s in KNOWN], "s string")
-    known = iso.union(special)
-    outside = own.join(known, "s", "left_anti").agg((F.count(F.lit(1)) == 0).alias("all_of_inputs"))
-    counts = known.agg(F.countDistinct("s").cast("int").alias("known")).withColumn("k", F.lit(1))
-    both = iso.intersect(special).agg(F.count(F.lit(1)).cast("int").alias("in_both")).withColumn("k", F.lit(1))
-    return counts.join(iso.agg(F.count(F.lit(1)).cast("int").alias("iso")).withColumn("k", F.lit(1)), "k").join(both, "k").join(outside.withColumn("k", F.lit(1)), "k").drop("k")
+    """The codes of the customers' documents: whether each is of the standard, a special one or unknown, by joins with both sets, and whether it is accepted; and how many codes the standard and both sets hold."""
+    kinds = spark.createDataFrame([(s, "iso") for s in iso_states(spark)] + [(s, "special") for s in SPECIAL_STATES], "code string, kind string")
+    sizes = kinds.agg(F.count_if(F.col("kind") == "iso").alias("iso"), F.countDistinct("code").alias("known"), F.lit(1).alias("_one"))
+    codes = identities(spark, sf).select(F.inline(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("code")) for c in ("issuing_state", "nationality")]))).groupBy("field", "code").agg(F.count(F.lit(1)).alias("n"))
+    named = codes.join(F.broadcast(kinds), "code", "left").withColumn("_one", F.lit(1)).join(F.broadcast(sizes), "_one")
+    return named.select("field", "code", F.coalesce("kind", F.lit("unknown")).alias("kind"), is_state(F.col("code"), [*iso_states(spark), *SPECIAL_STATES]).alias("accepted"), "n", "iso", "known")
