@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonalis.operators.measure import reconcile
+from zonalis.sources.status_files import folder_of
 
 TRUTH = "map<string,struct<line1:string,line2:string,box:array<double>>>"
 
@@ -16,7 +23,7 @@ def line_problem(text: Column) -> Column:
 
 
 def read_truth(spark: SparkSession, path: str) -> DataFrame:
-    """(name, line1, line2, box) from one JSON object of names."""
+    """(name, line1, line2, box) from a file that holds one JSON object of names, or a folder of such files."""
     raw = spark.read.text(path, wholetext=True).select(F.from_json("value", TRUTH).alias("truth"))
     return raw.select(F.explode("truth").alias("name", "is")).select("name", "is.line1", "is.line2", "is.box")
 
@@ -39,3 +46,29 @@ def load_measurement_set(spark: SparkSession, images: str, truth: str) -> DataFr
     if bad:
         raise ValueError("wrong truth: " + ", ".join(f"{r['name']} ({r['problem']})" for r in bad))
     return pictures.join(known, "name")
+
+
+def png(page: np.ndarray) -> bytes:
+    """A grey page as a PNG file."""
+    chunk = lambda name, body: struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
+    rows = np.pad(page, ((0, 0), (1, 0))).tobytes()  # every row begins with its filter, none
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", page.shape[1], page.shape[0], 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
+
+def write_measurement_set(pages: DataFrame, folder: str, names_in_file: int = 1000) -> None:
+    """Writes pages (name, height, width, data, line1, line2 and, if they have it, box) as a set that load_measurement_set reads from folder/images and folder/truth: a PNG file each, by the tasks that hold them, and the truth in files of about names_in_file names. The folder is one that all executors see."""
+
+    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, path = folder_of(f"{folder}/images")
+        store.create_dir(path, recursive=True)
+        for x in batches:
+            for name, h, w, data in zip(x["name"], x["height"], x["width"], x["data"], strict=True):
+                with store.open_output_stream(f"{path}/{name}") as f:
+                    f.write(png(np.frombuffer(data, np.uint8).reshape(h, w)))
+            yield x[["name"]]
+
+    n = pages.select("name", "height", "width", "data").mapInPandas(put, "name string").count()
+    box = F.col("box").cast("array<double>") if "box" in pages.columns else F.lit(None).cast("array<double>")
+    truth = pages.select("name", F.struct("line1", "line2", box.alias("box")).alias("is"), F.pmod(F.xxhash64("name"), F.lit(max(1, -(-n // names_in_file)))).alias("part"))
+    maps = truth.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("name", "is"))).alias("m"))
+    maps.select(F.to_json("m").alias("value")).write.option("maxRecordsPerFile", 1).text(f"{folder}/truth")
