@@ -17,6 +17,8 @@ from zonalis.llm.shared import small_side, text_or_empty, work_folder, written
 END = "\r\n"
 BETWEEN = END * 2
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Bytes of a record's headers, about; how many times larger than the mean record a payload of its class of files may be.
+HEADERS, SPAN = 600, 8
 HTTP = f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}{END}"
 
 
@@ -44,8 +46,34 @@ def resolve_revisits(pages: DataFrame, least_bytes: int = 1000, id_col: str = "p
     return joined.select(*rows.columns, revisit.alias("is_revisit"), F.when(revisit, F.col("_id")).alias("original_id"), F.when(revisit, F.col("_url")).alias("original_url"))
 
 
-def write_archives(resolved: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", file_bytes: int = 1 << 24, mean_bytes: float | None = None) -> None:
-    """WARC 1.1 records of resolve_revisits, gzipped, in files of about file_bytes before compression, by the mean size of a payload. Spark's text writer ends every record with the blank lines that the format wants, and its committer makes the files survive lost executors."""
+def _bits(size: Column) -> Column:
+    """Binary digits of a size: sizes of so many are below two to that power."""
+    return F.length(F.bin(size))
+
+
+def payload_sizes(sizes: DataFrame) -> dict[int, tuple[int, int]]:
+    """{binary digits: (payloads, bytes)} of a table of sizes (payload_bytes): one entry for each power of two."""
+    rows = sizes.groupBy(_bits(F.col("payload_bytes")).alias("bits")).agg(F.count(F.lit(1)).alias("n"), F.sum("payload_bytes").alias("bytes"))
+    return {r["bits"]: (r["n"], r["bytes"]) for r in rows.collect()}
+
+
+def file_classes(sizes: dict[int, tuple[int, int]], file_bytes: int) -> list[tuple[int, int, int]]:
+    """(least bits, most bits, records a file) of each class of payload sizes that occurs. The first class holds payloads up to SPAN times the mean record, each later one payloads up to SPAN times
+    larger, so a file's payloads are at most SPAN times file_bytes in all, or a single one. There is a class for an empty table too."""
+    mean = HEADERS + sum(b for _, b in sizes.values()) / max(1, sum(n for n, _ in sizes.values()))
+    step = SPAN.bit_length() - 1
+    low, high, records = 0, int(SPAN * mean).bit_length() - 1, file_bytes / mean
+    found = [(low, high, max(1, int(records)))]
+    while high < max(sizes, default=0):
+        low, high = high + 1, high + step
+        if any(low <= b <= high for b in sizes):
+            found.append((low, high, max(1, SPAN * file_bytes >> high)))
+    return found
+
+
+def write_archives(resolved: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", file_bytes: int = 1 << 24, sizes: dict[int, tuple[int, int]] | None = None) -> None:
+    """WARC 1.1 records of resolve_revisits, gzipped, in files of about file_bytes before compression. Spark's text writer counts records and not bytes, so payloads far larger than the mean are written
+    apart, fewer to a file (file_classes); sizes: payload_sizes of the records, if known. The writer ends every record with the blank lines that the format wants, and its committer makes the files survive lost executors."""
     line = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), value, F.lit(END))).otherwise("")
     plain = lambda name, value: F.lit(f"{name}: {value}{END}")
     wrapped = lambda value: F.concat(F.lit("<"), value, F.lit(">"))
@@ -54,9 +82,11 @@ def write_archives(resolved: DataFrame, path: str, date: str = "2024-01-01T00:00
     length = F.octet_length("payload") + F.lit(len(HTTP.encode()))
     response = F.concat(F.lit(f"WARC/1.1{END}WARC-Type: response{END}"), *shared, plain("Content-Type", "application/http; msgtype=response"), line("Content-Length", length.cast("string")), F.lit(END + HTTP), F.col("payload"))
     revisit = F.concat(F.lit(f"WARC/1.1{END}WARC-Type: revisit{END}"), *shared, plain("WARC-Profile", PROFILE), line("WARC-Refers-To", wrapped(original)), line("WARC-Refers-To-Target-URI", F.col("original_url")), plain("Content-Length", 0), F.lit(END))
-    mean = resolved.agg(F.avg("payload_bytes")).first()[0] or 0.0 if mean_bytes is None else mean_bytes
-    records = resolved.select(F.when(F.col("is_revisit"), revisit).otherwise(response).alias("value"))
-    records.write.option("lineSep", BETWEEN).option("compression", "gzip").option("maxRecordsPerFile", max(1, int(file_bytes / (mean + 600)))).text(path)
+    classes = file_classes(payload_sizes(resolved) if sizes is None else sizes, file_bytes)
+    for least, most, records in classes:
+        part = resolved if len(classes) == 1 else resolved.where(_bits(F.col("payload_bytes")).between(least, most))
+        out = part.select(F.when(F.col("is_revisit"), revisit).otherwise(response).alias("value"))
+        out.write.mode("append").option("lineSep", BETWEEN).option("compression", "gzip").option("maxRecordsPerFile", records).text(path)
 
 
 def parse_records(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -109,6 +139,6 @@ def revisit_report(pages: DataFrame) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to), a row for each page: writes the archives of all pages, reads them back and resolves the revisits. Null html is an empty payload; null ids are the smallest; repeated rows keep a row each; an empty table gives an empty result."""
     spark = pages.sparkSession
     path = f"{work_folder(spark)}/warc"
-    mean = pages.agg(F.avg(F.octet_length(text_or_empty("html")))).first()[0] or 0.0
-    write_archives(resolve_revisits(pages.select("page_id", "url", "html")), path, mean_bytes=mean)
+    sizes = payload_sizes(pages.select(F.octet_length(text_or_empty("html")).alias("payload_bytes")))
+    write_archives(resolve_revisits(pages.select("page_id", "url", "html")), path, sizes=sizes)
     return resolved_records(written(read_archives(spark, path), "records"))
