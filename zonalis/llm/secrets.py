@@ -92,6 +92,20 @@ def identifier_samples(docs: DataFrame, labels: DataFrame, most_docs: int = 1000
     return words.where(F.size("w") > 1).select(F.explode(F.concat("w", pair("_"), pair("-"), pair("/"), pair(""))).alias("token"), F.lit(False).alias("is_random"))
 
 
+def _meets(x: Column, spans: Column) -> Column:
+    """Whether x overlaps one of spans, which stand in order and don't overlap each other: the last one that starts before x's end has the largest end, and is found by halving."""
+    low, high = F.lit(0), F.size(spans)
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = ((s["low"] + s["high"] + 1) / 2).cast("int")
+        before = F.get(spans, mid - 1)["start"] < x["end"]
+        return F.struct(F.when(before, mid).otherwise(s["low"]).alias("low"), F.when(before, s["high"]).otherwise(mid - 1).alias("high"))
+
+    rounds = F.sequence(F.lit(0), F.floor(F.log2(F.size(spans))).cast("int"))
+    last = F.aggregate(rounds, F.struct(low.alias("low"), high.alias("high")), halve, lambda s: s["low"])
+    return F.when(F.size(spans) > 0, F.coalesce(F.get(spans, last - 1)["end"] > x["start"], F.lit(False))).otherwise(False)
+
+
 def scan_secrets(docs: DataFrame, table: list[float], least_ratio: float = 15.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, spans): the base kinds' spans, and kind `markov` for tokens that no base span overlaps and whose log-likelihood ratio is at least least_ratio.
 
@@ -102,10 +116,10 @@ def scan_secrets(docs: DataFrame, table: list[float], least_ratio: float = 15.0,
     assign, access, hexes = [_matches(F.col("_text"), p, k, i) for i, (k, p) in enumerate(KINDS.items())]
     df = docs.select(F.col(id_col).alias("doc_id"), text.alias("_text"))
     long = F.filter(assign, lambda x: F.length(F.regexp_extract(x["found"], ASSIGN, 2)) >= 8)
-    df = df.withColumn("_base", F.array_sort(F.concat(long, access, hexes)))
+    df = df.withColumns({"_assign": long, "_access": access, "_hex": hexes}).withColumn("_base", F.array_sort(F.concat("_assign", "_access", "_hex")))
     df = df.withColumn("_tokens", _matches(F.col("_text"), TOKEN, "markov", len(KINDS)))
     llr = F.from_json(F.lit(json.dumps(table)), "array<double>")
-    free = lambda x: ~F.exists("_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+    free = lambda x: ~(_meets(x, F.col("_assign")) | _meets(x, F.col("_access")) | _meets(x, F.col("_hex")))
     method = F.filter("_tokens", lambda x: free(x) & (ratio(x["found"], llr) >= least_ratio))
     return df.select("doc_id", "_base", F.array_sort(F.concat("_base", F.when(F.size("_tokens") > 0, method).otherwise(F.col("_tokens")))).alias("spans"))
 
