@@ -147,5 +147,5 @@ def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", t
         "keyed",
     )
     placed = keyed.withColumn("shard", shard_of(F.col("key"), minimax_cuts(keyed, shards)))
-    numbered = slots(placed, "shard", F.xxhash64("doc_id", F.lit(17)), ["doc_id", "key"])
+    numbered = slots(placed, "shard", F.xxhash64("doc_id", "key", F.lit(17)), ["doc_id", "key"])
     return numbered.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
