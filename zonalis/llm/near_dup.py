@@ -109,7 +109,8 @@ def linked_documents(docs: DataFrame, size: int = 4, share: tuple[int, int] = (8
     different components goes on: large nodes branch, and small ones are compared exhaustively where their documents' texts meet.
     Nodes still large at the last depth are compared whole, in pairs of blocks. A pair at similarity 0.8 shares a first node with a chance of 0.512 a tree.
 
-    Null text, or one without words: an empty set, linked with nothing. Null ids take part but never name a component unless all ids of it are null.
+    Null text, or one without words: an empty set, linked with nothing. A null id belongs to the component of the ids that share its set; where only null ids
+    have a set, it is linked with nothing and its component is null.
     Rows of one id are one vertex. An empty table gives an empty result.
     """
     table = written(profiles(docs, size, id_col, text_col), "profiles")
