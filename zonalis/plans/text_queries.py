@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -208,6 +210,28 @@ def best_reading(spark: SparkSession, sf: str) -> DataFrame:
     return best.select("c_custkey", F.col("b.text").alias("line2"), "b.n_issues")
 
 
+_OWN2 = "len(list_filter(fields, lambda x: x NOT IN ('document_code', 'issuing_state')))"
+_CLEAN_FOUND = reduce(lambda sql, name: sql.replace(f"{name} AS (", f"c{name} AS (").replace(f"FROM {name})", f"FROM c{name})"), ("parts", "dated", "years", "found"), sql_issues("line2", KNOWN))
+
+
+@query(f"""{_FOUND}, {_CLEAN_FOUND}, seconds AS (
+  SELECT c_custkey, 0 AS place2, line2, {_OWN2} AS n2, 0.25 AS cost2 FROM found UNION ALL SELECT c_custkey, 1, line2, {_OWN2}, 2.0 FROM cfound UNION ALL SELECT c_custkey, 2, replace(line2, '<', ' '), 0, 3.0 FROM cfound),
+firsts AS (SELECT c_custkey, place1, cost1, CASE place1 WHEN 0 THEN substr(line1, 1, 43) WHEN 1 THEN 'V' || substr(line1, 2) WHEN 2 THEN line1 ELSE lower(line1) END AS line1 FROM lines, (VALUES (0, 0.125), (1, 0.5), (2, 1.0), (3, 4.0)) t(place1, cost1)),
+judged AS (SELECT *, CAST(NOT starts_with(line1, 'P') AS INTEGER) + CAST(rtrim(substr(line1, 3, 3), '<') NOT IN ({", ".join(f"'{s}'" for s in KNOWN)}) AS INTEGER) AS n1 FROM firsts WHERE regexp_full_match(line1, '[A-Z0-9<]{{44}}')),
+paired AS (SELECT *, n1 + n2 AS n, cost1 + cost2 AS cost FROM judged JOIN seconds USING (c_custkey) WHERE regexp_full_match(line2, '[A-Z0-9<]{{44}}'))
+SELECT c_custkey, CAST(row_number() OVER (PARTITION BY c_custkey ORDER BY n, cost, place1, place2) AS INTEGER) AS rank, CAST(n AS INTEGER) AS n_issues, CAST(-cost AS DOUBLE) AS log_prob, line1, line2 FROM paired""")
+def reading_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """All pairings of four readings of line 1, one torn and one in small letters, with three of line 2, one with blanks: what can't be parsed pairs with nothing."""
+    told = lambda *c: F.array(*[F.struct(text.alias("text"), F.lit(p).alias("log_prob")) for text, p in c])
+    l1, l2 = F.col("line1"), F.col("line2")
+    first = told((F.substr(l1, F.lit(1), F.lit(43)), -0.125), (F.concat(F.lit("V"), F.substr(l1, F.lit(2))), -0.5), (l1, -1.0), (F.lower(l1), -4.0))
+    second = told((F.col("noisy2"), -0.25), (l2, -2.0), (F.translate(l2, "<", " "), -3.0))
+    both = spread(lines(spark, sf), "c_custkey").select("c_custkey", first.alias("one"), second.alias("two"))
+    pairs = kbest.pairings(F.col("one"), F.col("two"), lambda t: line1_issues(t, KNOWN), lambda t: line2_issues(t, REFERENCE_YEAR, KNOWN))
+    found = both.select("c_custkey", F.posexplode_outer(pairs).alias("rank", "p"))
+    return found.select("c_custkey", (F.col("rank") + 1).alias("rank"), "p.n_issues", (-F.col("p.cost")).alias("log_prob"), "p.line1", "p.line2")
+
+
 @query(f"{_FOUND} SELECT c_custkey, len(list_filter(fields, lambda x: x IN ('document_code', 'issuing_state'))) = 0 AS line1_fine FROM found")
 def line1_fine(spark: SparkSession, sf: str) -> DataFrame:
     return lines(spark, sf).select("c_custkey", (F.size(line1_issues(F.col("line1"), KNOWN)) == 0).alias("line1_fine"))
