@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from zonalis.operators import imaging
 from zonalis.operators.measure import reconcile
 from zonalis.sources.status_files import folder_of
 
@@ -39,13 +40,15 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
 def load_measurement_set(spark: SparkSession, images: str, truth: str) -> DataFrame:
     """Images with their truth, by name. Raises if either side has names the other lacks, or if a line isn't 44 characters of the alphabet."""
     pictures, known = read_images(spark, images), read_truth(spark, truth)
-    lone = reconcile(pictures.select("name"), known.select("name"), "name").limit(5).collect()
+    # names are listed, not read out of decoded images
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.{jpg,jpeg,png}").load(images).select(F.element_at(F.split(F.col("path"), "/"), -1).alias("name"))
+    lone = reconcile(listed, known.select("name"), "name").limit(5).collect()
     if lone:
         raise ValueError("without a counterpart: " + ", ".join(f"{r['name']} ({r['side']})" for r in lone))
     bad = known.select("name", F.coalesce(line_problem(F.col("line1")), line_problem(F.col("line2"))).alias("problem")).where("problem IS NOT NULL").limit(5).collect()
     if bad:
         raise ValueError("wrong truth: " + ", ".join(f"{r['name']} ({r['problem']})" for r in bad))
-    return pictures.join(known, "name")
+    return pictures.join(known.hint("shuffle_hash"), "name")  # images are dealt, not sorted
 
 
 def png(page: np.ndarray) -> bytes:
@@ -55,8 +58,8 @@ def png(page: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", page.shape[1], page.shape[0], 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
 
 
-def write_measurement_set(pages: DataFrame, folder: str, names_in_file: int = 1000) -> None:
-    """Writes pages (name, height, width, data, line1, line2 and, if they have it, box) as a set that load_measurement_set reads from folder/images and folder/truth: a PNG file each, by the tasks that hold them, and the truth in files of about names_in_file names. The folder is one that all executors see."""
+def write_measurement_set(pages: DataFrame, folder: str, names_in_file: int = 1000, draw: imaging.Drawing | None = None) -> None:
+    """Writes pages (name, height, width, data, line1, line2 and, if they have it, box) as a set that load_measurement_set reads from folder/images and folder/truth: a PNG file each, by the tasks that hold them, and the truth in files of about names_in_file names. The folder is one that all executors see. With draw, pages are rows of which it makes pages. Pages are made once."""
 
     def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, path = folder_of(f"{folder}/images")
@@ -65,10 +68,13 @@ def write_measurement_set(pages: DataFrame, folder: str, names_in_file: int = 10
             for name, h, w, data in zip(x["name"], x["height"], x["width"], x["data"], strict=True):
                 with store.open_output_stream(f"{path}/{name}") as f:
                     f.write(png(np.frombuffer(data, np.uint8).reshape(h, w)))
-            yield x[["name"]]
+            yield x[kept]
 
-    n = pages.select("name", "height", "width", "data").mapInPandas(put, "name string").count()
-    box = F.col("box").cast("array<double>") if "box" in pages.columns else F.lit(None).cast("array<double>")
-    truth = pages.select("name", F.struct("line1", "line2", box.alias("box")).alias("is"), F.pmod(F.xxhash64("name"), F.lit(max(1, -(-n // names_in_file)))).alias("part"))
+    kept = ["name", "line1", "line2", *["box"] * ("box" in pages.columns)]
+    done = imaging.over_pages(pages, [*kept, "height", "width", "data"], draw, put, ", ".join(f"{c} {'array<double>' if c == 'box' else 'string'}" for c in kept)).persist()
+    n = done.count()
+    box = F.col("box") if "box" in kept else F.lit(None).cast("array<double>")
+    truth = done.select("name", F.struct("line1", "line2", box.alias("box")).alias("is"), F.pmod(F.xxhash64("name"), F.lit(max(1, -(-n // names_in_file)))).alias("part"))
     maps = truth.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("name", "is"))).alias("m"))
     maps.select(F.to_json("m").alias("value")).write.option("maxRecordsPerFile", 1).text(f"{folder}/truth")
+    done.unpersist()
