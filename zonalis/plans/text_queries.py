@@ -195,8 +195,8 @@ SELECT c_custkey, CAST(rank AS INTEGER) AS rank, cost, path FROM ranked WHERE ra
 def kbest_lines(spark: SparkSession, sf: str) -> DataFrame:
     """The eight cheapest of all choices at every position, by the fold."""
     costs = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda p: F.transform(F.sequence(F.lit(0), F.lit(2)), lambda c: F.pmod(pseudo("cost", F.col("c_custkey"), p, c), F.lit(40))))
-    best = table(spark, sf, "customer").select("c_custkey", costs.alias("s")).select("c_custkey", kbest.k_best(F.col("s"), 8, "long").alias("b"))
-    return best.select("c_custkey", F.posexplode("b").alias("rank", "b")).select("c_custkey", (F.col("rank") + 1).alias("rank"), "b.cost", F.array_join("b.path", ",").alias("path"))
+    best = spread(table(spark, sf, "customer").select("c_custkey"), "c_custkey").select("c_custkey", costs.alias("s")).select("c_custkey", kbest.k_best(F.col("s"), 8, "long").alias("b"))
+    return best.select("c_custkey", F.posexplode_outer("b").alias("rank", "b")).select("c_custkey", (F.col("rank") + 1).alias("rank"), "b.cost", F.array_join("b.path", ",").alias("path"))
 
 
 @query(f"""{_FOUND}, clean AS (SELECT c_custkey, line1, line2 FROM lines), tried AS (
