@@ -130,9 +130,9 @@ def linked_documents(docs: DataFrame, size: int = 4, share: tuple[int, int] = (8
     links = written(_confirmed(_agreeing(star, reps).select("a", "b"), texts, size, share), "links0")
     labels = components(links)
 
-    leaf = leaves(labelled(members.select("node", "v", "w"), labels), labels, small, depth, lambda large: _branches(large.join(reps.drop("w"), "v"), [F.col("node")], CHILDREN))
+    leaf = leaves(members.select("node", "v", "w"), labels, small)
     held = leaf.join(reps.drop("w"), "v").join(texts, "v")
-    new = written(links_within(held, "text", _same_places, LEAST_AGREEING, lambda t: list(shingle_sets(t, size)), lambda p, q: _alike(p, q, share)), "links1")
+    new = written(links_within(held, "text", _same_places, LEAST_AGREEING, lambda t: list(shingle_sets(t, size)), lambda sets, one, two: [_alike(sets[i], sets[j], share) for i, j in zip(one, two, strict=True)]), "links1")
     if not new.isEmpty():
         labels = components(links.union(new))
     labels = written(labels, "labels")

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonalis.llm.shared import written
+from zonalis.llm.shingles import mixed
 
 
 def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -47,33 +49,65 @@ def around_largest(large: DataFrame, small: int) -> DataFrame:
     return inside.union(others)
 
 
-def leaves(rows: DataFrame, labels: DataFrame, small: int, depth: int, branch: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(node, v, c, part) of the nodes to compare, from rows (node, v, c, w): those of a weight of at most `small` that hold several components.
+def leaves(rows: DataFrame, labels: DataFrame, small: int) -> DataFrame:
+    """(node, v, c, part) of the nodes to compare, from rows (node, v, w): those of a weight of at most `small` that hold several components.
 
-    A larger node of which one component takes all but `small` is compared around that component. Others grow by `branch`, which makes (v, node, w) of (node, v, w), until
-    they are small; those still large at the last depth are dealt into pairs of blocks, so that all their pairs meet.
+    A larger node of which one component takes all but `small` is compared around that component; others are dealt into pairs of blocks. So any two rows of a node that are not of one
+    component meet for certain, however large it is; nothing is drawn.
     """
-    found, level = [], 0
-    while True:
-        kept = written(rows.join(mixed_nodes(rows), "node"), f"level{level}")
-        found.append(kept.where(F.col("n") <= small).select("node", "v", "c", F.lit(0).alias("part")))
-        large = kept.where(F.col("n") > small)
-        if large.isEmpty():
-            break
-        heaviest = large.groupBy("node", "c").agg(F.sum("w").alias("k")).groupBy("node").agg(F.max(F.struct("k", "c")).alias("m")).select("node", F.col("m.k").alias("weight"), F.col("m.c").alias("heavy"))
-        large = written(large.join(heaviest, "node"), f"large{level}")
-        one = F.col("n") - F.col("weight") <= small
-        found.append(around_largest(large.where(one), small))
-        large = large.where(~one)
-        if level == depth:
-            found.append(in_blocks(large, small))
-            break
-        level += 1
-        rows = labelled(branch(large.select("node", "v", "w")), labels)
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
-    return out
+    rows = labelled(rows, labels)
+    kept = written(rows.join(mixed_nodes(rows), "node"), "mixed")
+    out = kept.where(F.col("n") <= small).select("node", "v", "c", F.lit(0).alias("part"))
+    large = kept.where(F.col("n") > small)
+    if large.isEmpty():
+        return out
+    heaviest = large.groupBy("node", "c").agg(F.sum("w").alias("k")).groupBy("node").agg(F.max(F.struct("k", "c")).alias("m")).select("node", F.col("m.k").alias("weight"), F.col("m.c").alias("heavy"))
+    large = written(large.join(heaviest, "node"), "large")
+    one = F.col("n") - F.col("weight") <= small
+    return out.union(around_largest(large.where(one), small)).union(in_blocks(large.where(~one), small))
+
+
+def met(rows: DataFrame, nodes: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]], buckets: int) -> DataFrame:
+    """(node, v) of nodes that hold more than one vertex; `nodes` makes two arrays of them, each pair once, of a batch of rows. Pairs are dealt into buckets by their node and packed, a row for each batch and bucket, since most nodes
+    hold one vertex and go nowhere. A task holds one bucket, so buckets should grow in number with the rows."""
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, v = nodes(batch)
+            if not len(node):
+                continue
+            with np.errstate(over="ignore"):
+                bucket = (mixed(node.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            bucket, pairs = bucket[order], np.stack([node[order], v[order]], axis=1)
+            starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            packed = [pairs[x:y].tobytes() for x, y in zip(starts.tolist(), [*starts[1:].tolist(), len(pairs)], strict=True)]
+            yield pa.record_batch([pa.array(bucket[starts]), pa.array(packed, pa.binary())], ["bucket", "pairs"])
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            for bucket, pairs in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if bucket != now:
+                    yield from of(held)
+                    now, held = bucket, []
+                held.append(pairs.as_buffer())
+        yield from of(held)
+
+    def of(held: list) -> Iterator[pa.RecordBatch]:
+        if held:
+            node, v = np.frombuffer(b"".join(held), np.int64).reshape(-1, 2).T
+            order = np.argsort(node)
+            node = node[order]
+            same = np.concatenate([[False], node[1:] == node[:-1], [False]])
+            more = same[1:] | same[:-1]
+            found = np.flatnonzero(more)
+            for at in range(0, len(found), 10_000):
+                part = found[at : at + 10_000]
+                yield pa.record_batch([pa.array(node[part]), pa.array(v[order[part]])], ["node", "v"])
+
+    packed = rows.mapInArrow(dealt, "bucket int, pairs binary")
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(shared, "node long, v long")
 
 
 def with_partner(members: DataFrame, score: Callable[[np.ndarray, np.ndarray], np.ndarray], least: float, most: int = 2048) -> DataFrame:
@@ -115,14 +149,14 @@ def with_partner(members: DataFrame, score: Callable[[np.ndarray, np.ndarray], n
     return members.select("node", "v", "sig").repartition("node").sortWithinPartitions("node").mapInPandas(partner, "node long, v long")
 
 
-def links_within(members: DataFrame, payload: str, score: Callable[[np.ndarray, np.ndarray], np.ndarray], least: float, prepare: Callable[[pd.Series], list], alike: Callable[[object, object], bool], keys: Callable[[np.ndarray], np.ndarray] | None = None, possible: Callable[[list, np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
+def links_within(members: DataFrame, payload: str, score: Callable[[np.ndarray, np.ndarray], np.ndarray], least: float, prepare: Callable[[pd.Series], list], alike: Callable[[list, np.ndarray, np.ndarray], Iterable[bool]], keys: Callable[[np.ndarray], np.ndarray] | None = None, possible: Callable[[list, np.ndarray, np.ndarray], np.ndarray] | None = None, together: int = 1) -> DataFrame:
     """(a, b): of members (node, v, c, part, sig, payload), confirmed links of each node that join what were different components c.
 
-    Every pair of different components whose signatures score `least` or more is confirmed by `alike` on what `prepare` makes of their payloads, the
-    likeliest pairs first, but for those that links found before already join. So a node yields fewer links than it has members, however alike
+    Every pair of different components whose signatures score `least` or more is confirmed by `alike`, on all that `prepare` makes of payloads and the pairs' places in it, the
+    likeliest pairs first and `together` at once, but for those that links found before already join. So a node yields fewer links than it has members, however alike
     they are. Pairs within a part of a node of two parts are left to that part's own node. If nodes hold what shares one of the numbers that `keys` makes of sig,
-    a pair that also shares a number before those which its whole node shares is left to the node of that number. possible, of all that was prepared and the pairs' places
-    in it, tells cheaply which pairs may be alike at all. score takes two matrices of rows of bytes. Nodes are bounded in weight and come sorted; a task holds
+    a pair that also shares a number before those which its whole node shares is left to the node of that number. possible, of the same,
+    tells cheaply which pairs may be alike at all. score takes two matrices of rows of bytes. Nodes are bounded in weight and come sorted; a task holds
     one batch and the node that it ends in.
     """
 
@@ -170,11 +204,17 @@ def links_within(members: DataFrame, payload: str, score: Callable[[np.ndarray,
             return k
 
         links = []
-        for i, j, p, q in zip(*c[pairs].tolist(), *place.tolist(), strict=True):
-            i, j = find(i), find(j)
-            if i != j and alike(made[p], made[q]):
-                root[max(i, j)] = min(i, j)
-                links.append((p, q))
+        for at in range(0, pairs.shape[1], together):
+            ends = c[pairs[:, at : at + together]].tolist()
+            apart = [k for k, (i, j) in enumerate(zip(*ends, strict=True)) if find(i) != find(j)]
+            if not apart:
+                continue
+            p, q = place[:, at : at + together][:, apart]
+            for k, p, q, fine in zip(apart, p.tolist(), q.tolist(), alike(made, p, q), strict=True):
+                i, j = find(ends[0][k]), find(ends[1][k])
+                if fine and i != j:
+                    root[max(i, j)] = min(i, j)
+                    links.append((p, q))
         found = v[one[used]][np.array(links, np.int64).reshape(-1, 2)]
         return pd.DataFrame(found, columns=["a", "b"])
 
