@@ -52,10 +52,10 @@ def load_measurement_set(spark: SparkSession, images: str, truth: str) -> DataFr
 
 
 def png(page: np.ndarray) -> bytes:
-    """A grey page as a PNG file."""
+    """A grey page as a PNG file, packed at zlib's fastest level: the default takes seven times as long, three times as long as drawing, and saves a sixth of the bytes."""
     chunk = lambda name, body: struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
     rows = np.pad(page, ((0, 0), (1, 0))).tobytes()  # every row begins with its filter, none
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", page.shape[1], page.shape[0], 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", page.shape[1], page.shape[0], 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows, 1)) + chunk(b"IEND", b"")
 
 
 def write_measurement_set(pages: DataFrame, folder: str, names_in_file: int = 1000, draw: imaging.Drawing | None = None) -> None:
