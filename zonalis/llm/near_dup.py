@@ -12,12 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonalis.llm.components import components
-from zonalis.llm.nodes import labelled, leaves, links_within
+from zonalis.llm.nodes import leaves, links_within
 from zonalis.llm.shared import forget, numbered, text_or_empty, written
 from zonalis.llm.shingles import MinHash, shingle_sets
 
 #: Places of a signature; how many of them a branch takes; trees; weight of a small node; how deep a tree grows.
-WIDTH, STEP, TREES, SMALL, DEPTH = 64, 3, 20, 2048, 3
+WIDTH, STEP, TREES, SMALL = 64, 3, 20, 2048
 #: Children of a large node. A pair at similarity 0.8 enters each with a chance of 0.512, so with three it stays together in one or more with a chance that never falls under 0.78.
 CHILDREN = 3
 #: A document weighs one, and one more for each so many bytes of text, so that what a task holds of a node is bounded.
@@ -101,13 +101,12 @@ def _same_places(one: np.ndarray, others: np.ndarray) -> np.ndarray:
     return (np.ascontiguousarray(one).view(np.uint32) == np.ascontiguousarray(others).view(np.uint32)).mean(axis=1)
 
 
-def linked_documents(docs: DataFrame, size: int = 4, share: tuple[int, int] = (80, 100), trees: int = TREES, small: int = SMALL, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def linked_documents(docs: DataFrame, size: int = 4, share: tuple[int, int] = (80, 100), trees: int = TREES, small: int = SMALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id), one row for each row of docs.
 
     Documents with equal sets are one vertex, named by their smallest id. Every tree's first nodes are found; each node's documents are linked to
     its smallest one where that holds, so that large groups of copies become one component with as many checks as documents. What nodes still hold
-    different components goes on: large nodes branch, and small ones are compared exhaustively where their documents' texts meet.
-    Nodes still large at the last depth are compared whole, in pairs of blocks. A pair at similarity 0.8 shares a first node with a chance of 0.512 a tree.
+    different components is compared exhaustively, large nodes around their largest component or in pairs of blocks. A pair at similarity 0.8 shares a first node with a chance of 0.512 a tree.
 
     Null text, or one without words: an empty set, linked with nothing. A null id belongs to the component of the ids that share its set; where only null ids
     have a set, it is linked with nothing and its component is null.
