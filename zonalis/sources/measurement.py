@@ -29,33 +29,128 @@ def read_truth(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.explode("truth").alias("name", "is")).select("name", "is.line1", "is.line2", "is.box")
 
 
+IMAGES = "*.{jpg,jpeg,png}"
+
+
+def _path(path: Column) -> Column:
+    """A path without the host's empty place, which Spark's sources write or leave out."""
+    return F.regexp_replace(path, "^([A-Za-z0-9+.-]+):/+", "$1:/")
+
+
+def _decoded(spark: SparkSession, path: str) -> DataFrame:
+    df = spark.read.format("image").option("pathGlobFilter", IMAGES).load(path).select("image.*")
+    origin = F.url_decode(F.replace(F.col("origin"), F.lit("+"), F.lit("%2B")))  # this source alone encodes its paths
+    name = F.element_at(F.split(origin, "/"), -1)
+    data = F.when(F.col("height") > 0, F.col("data")).otherwise(F.raise_error(F.concat(F.lit("not an image: "), name)).cast("binary"))
+    return df.select(name.alias("name"), "height", "width", F.col("nChannels").alias("channels"), data.alias("data"), _path(origin).alias("path"))
+
+
 def read_images(spark: SparkSession, path: str) -> DataFrame:
     """(name, height, width, channels, data) of the JPEG and PNG files, decoded by Spark's image source; a file that can't be decoded is an error."""
-    df = spark.read.format("image").option("pathGlobFilter", "*.{jpg,jpeg,png}").load(path).select("image.*")
-    name = F.element_at(F.split(F.col("origin"), "/"), -1)
-    data = F.when(F.col("height") > 0, F.col("data")).otherwise(F.raise_error(F.concat(F.lit("not an image: "), name)).cast("binary"))
-    return df.select(name.alias("name"), "height", "width", F.col("nChannels").alias("channels"), data.alias("data"))
+    return _decoded(spark, path).drop("path")
+
+
+#: Tables of so many rows at most are broadcast.
+FEW_NAMES = 250_000
+
+
+def _image_files(spark: SparkSession, path: str) -> DataFrame:
+    """(name, path, content, plain) of the JPEG and PNG files. plain: a grey PNG of a byte a pixel, not interlaced, whose pixels follow its header."""
+    has = lambda at, hexes: F.substring("content", at, len(hexes) // 2) == F.unhex(F.lit(hexes))
+    plain = has(1, "89504E470D0A1A0A") & has(25, "0800000000") & has(38, "49444154")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", IMAGES).load(path)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), _path(F.col("path")).alias("path"), "content", plain.alias("plain"))
+
+
+def _small(df: DataFrame, n: int) -> DataFrame:
+    """df, of n rows, as the side of a join that is broadcast or hashed: images are never sorted."""
+    return F.broadcast(df) if n <= FEW_NAMES else df.hint("shuffle_hash")
+
+
+def packed_measurement_set(spark: SparkSession, images: str, truth: str) -> DataFrame:
+    """load_measurement_set's rows, but that plain files have no channels and their content as data: `unpacked` makes images of them where they are needed. Only other files go through Spark's image source, which takes eight times as long, and if names are few, no image is moved."""
+    known, files = read_truth(spark, truth), _image_files(spark, images)
+    listed = files.select("name", "path", "plain").persist()
+    try:
+        lone = reconcile(listed.select("name"), known.select("name"), "name").limit(5).collect()
+        if lone:
+            raise ValueError("without a counterpart: " + ", ".join(f"{r['name']} ({r['side']})" for r in lone))
+        bad = known.select("name", F.coalesce(line_problem(F.col("line1")), line_problem(F.col("line2"))).alias("problem")).where("problem IS NOT NULL").limit(5).collect()
+        if bad:
+            raise ValueError("wrong truth: " + ", ".join(f"{r['name']} ({r['problem']})" for r in bad))
+        n, others = listed.count(), listed.where("NOT plain").count()
+    finally:
+        listed.unpersist()
+    shape = [F.lit(None).cast("int").alias(c) for c in ("height", "width", "channels")]
+    pictures = files.where("plain").select("name", *shape, F.col("content").alias("data"))
+    if others:
+        rest = _small(files.where("NOT plain").select("path"), others)
+        pictures = pictures.union(_decoded(spark, images).join(rest, "path", "left_semi").drop("path"))
+    return pictures.join(_small(known, n), "name")
+
+
+def unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of packed_measurement_set with every image in pixels, few at a time."""
+    for x in imaging.few(batches):
+        pages = [unpacked_png(data) if n is None or n != n else None for n, data in zip(x["channels"], x["data"], strict=True)]
+        of = lambda c, own: [own(p) if p is not None else v for p, v in zip(pages, x[c], strict=True)]  # noqa: E731, B023
+        yield x.assign(height=of("height", lambda p: p.shape[0]), width=of("width", lambda p: p.shape[1]), channels=of("channels", lambda p: 1), data=of("data", np.ndarray.tobytes))
+
+
+def grey_files(keys: list[str]) -> imaging.Drawing:
+    """Makes (keys, height, width, data) of rows of packed_measurement_set: a byte a pixel."""
+    grey = imaging.greying(keys)
+    return lambda batches: grey(unpacked(batches))
 
 
 def load_measurement_set(spark: SparkSession, images: str, truth: str) -> DataFrame:
     """Images with their truth, by name. Raises if either side has names the other lacks, or if a line isn't 44 characters of the alphabet."""
-    pictures, known = read_images(spark, images), read_truth(spark, truth)
-    # names are listed, not read out of decoded images
-    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.{jpg,jpeg,png}").load(images).select(F.element_at(F.split(F.col("path"), "/"), -1).alias("name"))
-    lone = reconcile(listed, known.select("name"), "name").limit(5).collect()
-    if lone:
-        raise ValueError("without a counterpart: " + ", ".join(f"{r['name']} ({r['side']})" for r in lone))
-    bad = known.select("name", F.coalesce(line_problem(F.col("line1")), line_problem(F.col("line2"))).alias("problem")).where("problem IS NOT NULL").limit(5).collect()
-    if bad:
-        raise ValueError("wrong truth: " + ", ".join(f"{r['name']} ({r['problem']})" for r in bad))
-    return pictures.join(known.hint("shuffle_hash"), "name")  # images are dealt, not sorted
+    packed = packed_measurement_set(spark, images, truth)
+    return packed.mapInPandas(unpacked, packed.schema)
+
+
+def unpacked_png(content: bytes) -> np.ndarray:
+    """The page of a plain PNG file (see _image_files)."""
+    width, height = struct.unpack(">II", content[16:24])
+    at, parts, kind = 33, [], b""
+    while kind != b"IEND":
+        size, kind = struct.unpack(">I4s", content[at : at + 8])  # a file that ends too early is an error
+        if kind == b"IDAT":
+            parts.append(content[at + 8 : at + 8 + size])
+        at += 12 + size
+    rows = np.frombuffer(zlib.decompress(b"".join(parts)), np.uint8).reshape(height, width + 1)
+    return _unfiltered(rows[:, 0], rows[:, 1:]) if rows[:, 0].any() else rows[:, 1:]
+
+
+def _unfiltered(kinds: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Rows of pixels of rows of differences: from the pixel before (1), above (2), the mean of both (3), or that of both and the one above on the left which is nearest to their plane (4)."""
+    out, above = np.empty_like(rows), np.zeros(rows.shape[1], np.uint8)
+    for y, (kind, row) in enumerate(zip(kinds.tolist(), rows, strict=True)):
+        if kind > 4:
+            raise ValueError(f"not an image: a row has filter {kind}")
+        if kind in (0, 1, 2):
+            out[y] = row if kind == 0 else np.cumsum(row, dtype=np.uint8) if kind == 1 else row + above
+        else:
+            left = corner = 0
+            for x, (d, b) in enumerate(zip(row.tolist(), above.tolist(), strict=True)):
+                if kind == 3:
+                    near = left + b >> 1
+                else:
+                    p, q, r = abs(b - corner), abs(left - corner), abs(left + b - 2 * corner)
+                    near = left if p <= q and p <= r else b if q <= r else corner
+                out[y, x] = left = d + near & 255
+                corner = b
+        above = out[y]
+    return out
 
 
 def png(page: np.ndarray) -> bytes:
-    """A grey page as a PNG file, packed at zlib's fastest level: the default takes seven times as long, three times as long as drawing, and saves a sixth of the bytes."""
+    """A grey page as a PNG file, packed at zlib's fastest level and by the frequency of shades alone: the default takes seven times as long, three times as long as drawing, and grainy paper hardly repeats itself."""
     chunk = lambda name, body: struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
-    rows = np.pad(page, ((0, 0), (1, 0))).tobytes()  # every row begins with its filter, none
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", page.shape[1], page.shape[0], 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows, 1)) + chunk(b"IEND", b"")
+    rows = np.zeros((page.shape[0], page.shape[1] + 1), np.uint8)  # every row begins with its filter, none
+    rows[:, 1:] = page
+    pack = zlib.compressobj(1, strategy=zlib.Z_HUFFMAN_ONLY)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", page.shape[1], page.shape[0], 8, 0, 0, 0, 0)) + chunk(b"IDAT", pack.compress(rows) + pack.flush()) + chunk(b"IEND", b"")
 
 
 def write_measurement_set(pages: DataFrame, folder: str, names_in_file: int = 1000, draw: imaging.Drawing | None = None) -> None:
