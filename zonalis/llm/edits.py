@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 import numpy as np
 
-#: A group of pairs holds this many at most, and a table of places of this many numbers.
-GROUP, TABLE = 4096, 1 << 22
+#: A group of pairs holds this many at most, and a table of places of this many numbers; up to FULL pairs take hardly longer than one.
+GROUP, TABLE, FULL = 4096, 1 << 22, 512
 _ALL, _ONE, _TOP = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(1), np.uint64(63)
 
 
@@ -69,7 +69,7 @@ def _distances(places: np.ndarray, chars: np.ndarray, m: np.ndarray, n: np.ndarr
 
 
 def all_within(lines: list[str], one: np.ndarray, two: np.ndarray, most: np.ndarray, single: Callable[[str, str, int], bool]) -> np.ndarray:
-    """Of pairs of places in lines, whether the edit distance is within the pair's `most`. Pairs of like length go together; where few do, each is judged by `single`."""
+    """Of pairs of places in lines, whether the edit distance is within the pair's `most`. Pairs of like length go together, where few do with shorter ones down to half; where still few do, each is judged by `single`."""
     raw = [x.encode("utf-32-le") for x in lines]
     size = np.array([len(x) // 4 for x in raw], np.int64)
     out = np.abs(size[one] - size[two]) <= most
@@ -86,7 +86,9 @@ def all_within(lines: list[str], one: np.ndarray, two: np.ndarray, most: np.ndar
     at = 0
     while at < len(left):
         blocks = int(-(-size[long[left[at]]] // 64))
-        alike = int(np.searchsorted(-size[long[left]], -max(int(0.85 * size[long[left[at]]]), 32), "right"))
+        longest = int(size[long[left[at]]])
+        alike, half = (int(np.searchsorted(-size[long[left]], -max(int(x * longest), 32), "right")) for x in (0.85, 0.5))
+        alike = max(alike, min(half, at + FULL))
         own = left[at : min(max(alike, at + 1), at + GROUP, at + max(1, TABLE // (kinds * blocks)))]
         at += len(own)
         bound = int(most[own].max())

@@ -269,14 +269,33 @@ def _similar(least: float):
     return similar
 
 
+def _most(lines: list[str], one: np.ndarray, two: np.ndarray, least: float) -> np.ndarray:
+    """The edits that pairs of places in lines may differ by."""
+    size = np.array([len(x) for x in lines])
+    return ((1 - least) * np.maximum(size[one], size[two]) + 1e-9).astype(np.int64)
+
+
+def _all_within(least: float):
+    """Whether pairs of places in lines are within that similarity."""
+    return lambda lines, one, two: all_within(lines, one, two, _most(lines, one, two, least), within_distance)
+
+
+def _all_worded(least: float):
+    """Pairs of places in lines that are so by exchanged words alone."""
+
+    def worded(lines: list[str], one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        return np.array([_as_many_words(lines[p], lines[q]) <= t for p, q, t in zip(one.tolist(), two.tolist(), _most(lines, one, two, least).tolist(), strict=True)], bool)
+
+    return worded
+
+
 def _all_similar(least: float):
     """The same of many pairs of places in lines."""
+    worded, within = _all_worded(least), _all_within(least)
 
     def similar(lines: list[str], one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        size = np.array([len(x) for x in lines])
-        most = ((1 - least) * np.maximum(size[one], size[two]) + 1e-9).astype(np.int64)
-        found = np.array([_as_many_words(lines[p], lines[q]) <= t for p, q, t in zip(one.tolist(), two.tolist(), most.tolist(), strict=True)], bool)
-        found[~found] = all_within(lines, one[~found], two[~found], most[~found], within_distance)
+        found = worded(lines, one, two)
+        found[~found] = within(lines, one[~found], two[~found])
         return found
 
     return similar
@@ -353,7 +372,7 @@ def removed_lines(docs: DataFrame, least: float = LEAST_SIMILARITY, small: int =
     links = written(_confirmed(star, lines, least), "links")
     labels = components(links)
     leaf = leaves(members.select("node", "v", F.lit(1).alias("w")), labels, small)
-    more = written(links_within(leaf.join(lines, "v").withColumn("sig", _signature()), "normal", _agreement, 1, list, _all_similar(least), _node_keys, _possible(least), TOGETHER), "more")
+    more = written(links_within(leaf.join(lines, "v").withColumn("sig", _signature()), "normal", _agreement, 1, list, _all_within(least), _node_keys, _possible(least), TOGETHER, _all_worded(least)), "more")
     if not more.isEmpty():
         labels = components(links.union(more))
     labels = written(labels, "labels")

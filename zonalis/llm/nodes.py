@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from zonalis.llm.shared import written
 from zonalis.llm.shingles import mixed
 
+#: Where many pairs are judged at once, nodes are taken together until they hold so many rows or so many characters.
+ROWS, CHARS = 40_000, 1 << 24
+
 
 def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """rows (v, ...) with c, v's component; its own where labels (v, c) has none."""
@@ -149,15 +152,15 @@ def with_partner(members: DataFrame, score: Callable[[np.ndarray, np.ndarray], n
     return members.select("node", "v", "sig").repartition("node").sortWithinPartitions("node").mapInPandas(partner, "node long, v long")
 
 
-def links_within(members: DataFrame, payload: str, score: Callable[[np.ndarray, np.ndarray], np.ndarray], least: float, prepare: Callable[[pd.Series], list], alike: Callable[[list, np.ndarray, np.ndarray], Iterable[bool]], keys: Callable[[np.ndarray], np.ndarray] | None = None, possible: Callable[[list, np.ndarray, np.ndarray], np.ndarray] | None = None, together: int = 1) -> DataFrame:
+def links_within(members: DataFrame, payload: str, score: Callable[[np.ndarray, np.ndarray], np.ndarray], least: float, prepare: Callable[[pd.Series], list], alike: Callable[[list, np.ndarray, np.ndarray], Iterable[bool]], keys: Callable[[np.ndarray], np.ndarray] | None = None, possible: Callable[[list, np.ndarray, np.ndarray], np.ndarray] | None = None, together: int = 1, sure: Callable[[list, np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """(a, b): of members (node, v, c, part, sig, payload), confirmed links of each node that join what were different components c.
 
     Every pair of different components whose signatures score `least` or more is confirmed by `alike`, on all that `prepare` makes of payloads and the pairs' places in it, the
-    likeliest pairs first and `together` at once, but for those that links found before already join. So a node yields fewer links than it has members, however alike
-    they are. Pairs within a part of a node of two parts are left to that part's own node. If nodes hold what shares one of the numbers that `keys` makes of sig,
+    likeliest pairs first and `together` at once at most, but for those that links found before already join. So a node yields fewer links than it has members, however alike
+    they are. Of any two components one pair goes first, then four, then all, so that few are judged in vain; sure, of the same, tells cheaply of some pairs that they are alike. Pairs within a part of a node of two parts are left to that part's own node. If nodes hold what shares one of the numbers that `keys` makes of sig,
     a pair that also shares a number before those which its whole node shares is left to the node of that number. possible, of the same,
     tells cheaply which pairs may be alike at all. score takes two matrices of rows of bytes. Nodes are bounded in weight and come sorted; a task holds
-    one batch and the node that it ends in.
+    one batch and the node that it ends in, or, where pairs go together, batches up to ROWS rows or CHARS characters.
     """
 
     def of_nodes(x: pd.DataFrame) -> pd.DataFrame:
@@ -204,31 +207,50 @@ def links_within(members: DataFrame, payload: str, score: Callable[[np.ndarray,
             return k
 
         links = []
-        for at in range(0, pairs.shape[1], together):
-            ends = c[pairs[:, at : at + together]].tolist()
-            apart = [k for k, (i, j) in enumerate(zip(*ends, strict=True)) if find(i) != find(j)]
-            if not apart:
-                continue
-            p, q = place[:, at : at + together][:, apart]
-            for k, p, q, fine in zip(apart, p.tolist(), q.tolist(), alike(made, p, q), strict=True):
-                i, j = find(ends[0][k]), find(ends[1][k])
-                if fine and i != j:
+
+        def join(fine: np.ndarray) -> None:
+            for i, j, p, q in zip(*c[pairs[:, fine]].tolist(), *place[:, fine].tolist(), strict=True):
+                i, j = find(i), find(j)
+                if i != j:
                     root[max(i, j)] = min(i, j)
                     links.append((p, q))
+
+        left, several = np.arange(pairs.shape[1]), 1
+        if sure:
+            join(left[sure(made, *place)])
+        for k in left.tolist() if together == 1 else []:
+            i, j = c[pairs[:, k]].tolist()
+            if find(i) != find(j):
+                join(np.array([k])[np.fromiter(alike(made, *place[:, [k]]), bool, 1)])
+        while together > 1 and len(left):
+            low, high = np.sort(np.array([find(k) for k in range(len(root))])[c[pairs[:, left]]], axis=0)
+            left, ends = left[low != high], (low.astype(np.int64) * len(root) + high)[low != high]
+            if not len(left):
+                break
+            order = np.argsort(ends, kind="stable")
+            starts = np.flatnonzero(np.concatenate([[True], np.diff(ends[order]) > 0]))
+            nth = np.empty(len(left), np.int64)
+            nth[order] = np.arange(len(left)) - np.repeat(starts, np.diff(np.append(starts, len(left))))
+            now = np.flatnonzero(nth < several)[:together]
+            join(left[now][np.fromiter(alike(made, *place[:, left[now]]), bool, len(now))])
+            left, several = np.delete(left, now), several * (4 if several < 4 else len(v))
         found = v[one[used]][np.array(links, np.int64).reshape(-1, 2)]
         return pd.DataFrame(found, columns=["a", "b"])
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
+        chars = lambda x: sum(map(len, x[payload]))
+        held, rows, size = [], 0, 0
         for batch in batches:
-            batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            if not len(batch):
-                continue
-            last = (batch["node"] == batch["node"].iloc[-1]).to_numpy()
-            rest = batch[last]
-            if not last.all():
-                yield of_nodes(batch[~last])
-        if rest is not None and len(rest):
-            yield of_nodes(rest)
+            held.append(batch)
+            rows, size = rows + len(batch), size + (chars(batch) if together > 1 else 0)
+            if together == 1 or rows >= ROWS or size >= CHARS:
+                batch = pd.concat(held, ignore_index=True) if len(held) > 1 else batch
+                last = (batch["node"] == batch["node"].iloc[-1]).to_numpy() if len(batch) else np.zeros(0, bool)
+                held = [batch[last]]
+                rows, size = len(held[0]), chars(held[0]) if together > 1 else 0
+                if not last.all():
+                    yield of_nodes(batch[~last])
+        if rows:
+            yield of_nodes(pd.concat(held, ignore_index=True))
 
     return members.repartition("node").sortWithinPartitions("node").select("node", "v", "c", "part", "sig", payload).mapInPandas(link, "a long, b long")
